@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from larkspan.llm import sharding
+from larkspan.llm import outliers, sharding
 
 QUERIES = {
+    "op1_robust_outliers": outliers.query,
     "op7_minimax_shards": sharding.query,
 }
 ORACLES: dict = {}

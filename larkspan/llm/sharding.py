@@ -7,8 +7,9 @@ all contiguous partitions of the ordered atoms: binary search for the smallest
 capacity for which the greedy filling needs no more than ``shards`` shards, and
 the shards are cut where that filling cuts.
 
-The driver only ever holds two numbers for each (atom, lane): at most
-``atoms * lanes`` rows whatever the corpus holds. The capacity found is within
+The driver only ever holds one number for each atom, whatever the corpus
+holds; the numbering of rows within a shard is a running sum over the counts of
+(atom, lane), at most ``atoms * lanes`` rows. The capacity found is within
 one atom (1/``atoms`` of the bytes where no group is hot) of the best partition
 of the single groups.
 """
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, Window
 
 ATOMS = 4096
-LANES = 32
+LANES = 16
 
 
 def smallest_capacity(sizes: list[int], shards: int) -> int:
@@ -68,7 +69,6 @@ def shard_documents(
     sits in one atom but its rows are dealt over ``lanes`` lanes, each numbered
     by its own task.
     """
-    spark = docs.sparkSession
     body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(
         F.col(id_col).alias("_id"),
@@ -77,25 +77,20 @@ def shard_documents(
         F.pmod(F.shiftrightunsigned(F.xxhash64(body), 40), F.lit(atoms)).cast("int").alias("_atom"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(lanes)).cast("int").alias("_lane"),
     )
-    counts = sorted(
-        tuple(r) for r in rows.groupBy("_atom", "_lane").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+    counts = rows.groupBy("_atom", "_lane").agg(F.sum("size").alias("_b"), F.count("*").alias("_c"))
+    by_atom = {a: b for a, b in counts.groupBy("_atom").agg(F.sum("_b")).collect()}  # at most ``atoms`` rows
+    sizes = [by_atom.get(a, 0) for a in range(atoms)]
+    shard_of = greedy_cut(sizes, smallest_capacity(sizes, shards))
+    shard = sum((F.when(F.col("_atom") >= a, 1).otherwise(0) for a in range(1, atoms) if shard_of[a] != shard_of[a - 1]), F.lit(0))
+    before = Window.partitionBy("shard").orderBy("_atom", "_lane").rowsBetween(Window.unboundedPreceding, -1)
+    plan = (
+        counts.withColumn("shard", shard.cast("int"))
+        .select("_atom", "_lane", "shard", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
     )
-    by_atom: dict[int, int] = {}
-    for atom, _, b, _ in counts:
-        by_atom[atom] = by_atom.get(atom, 0) + b
-    order = sorted(by_atom)
-    sizes = [by_atom[a] for a in order]
-    shard_of = dict(zip(order, greedy_cut(sizes, smallest_capacity(sizes, shards)), strict=True))
-    start, offsets = {}, []
-    for atom, lane, _, n in counts:
-        s = shard_of[atom]
-        offsets.append((atom, lane, s, start.get(s, 0)))
-        start[s] = start.get(s, 0) + n
-    plan = spark.createDataFrame(offsets, "_atom int, _lane int, shard int, _start long")
     w = Window.partitionBy("_atom", "_lane").orderBy("_id", "text_crc32", "size")
     return (
         rows.withColumn("_n", F.row_number().over(w))
-        .join(F.broadcast(plan), ["_atom", "_lane"])  # at most atoms * lanes rows of 20 bytes
+        .join(plan, ["_atom", "_lane"])
         .select(
             F.col("_id").alias(id_col), "size", "text_crc32", "shard",
             (F.col("_start") + F.col("_n") - 1).alias("slot"),
