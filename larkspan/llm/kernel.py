@@ -13,6 +13,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from larkspan.session import ship
 
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -147,9 +151,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable[[Texts, in
 
     ``schema`` describes the kept columns, then those of ``fn`` by name.
     """
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    ship(df.sparkSession)
     out_schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out_schema)
 

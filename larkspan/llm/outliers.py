@@ -28,7 +28,7 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DIM = 5
 UNIT = 256
 #: Floor of the standard deviation of each transformed statistic.
-RIDGE = (0.35, 0.06, 0.75, 0.12, 0.08)
+RIDGE = (0.8, 0.06, 0.75, 0.2, 0.15)
 MIN_GROUP = 50
 STEPS = 4
 #: 0.9999 quantile and median of chi-squared with five degrees of freedom.
