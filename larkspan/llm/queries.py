@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from larkspan.llm import outliers, sharding
+from larkspan.llm import outliers, sharding, simhash
 
 QUERIES = {
     "op1_robust_outliers": outliers.query,
+    "op2_popcount_simhash": simhash.query,
     "op7_minimax_shards": sharding.query,
 }
 ORACLES: dict = {}
