@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from larkspan.llm import linededup, mixing, outliers, sharding, simhash
+from larkspan.llm import langid, linededup, mixing, outliers, sharding, simhash
 
 QUERIES = {
     "op1_robust_outliers": outliers.query,
     "op2_popcount_simhash": simhash.query,
+    "op4_cross_parsing_langid": langid.query,
     "op5_range_line_dedup": linededup.query,
     "op6_systematic_mix": mixing.query,
     "op7_minimax_shards": sharding.query,
