@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspan.llm import langid, linededup, mixing, outliers, sharding, simhash, substrings
+from larkspan.llm import digests, langid, linededup, mixing, outliers, sharding, simhash, substrings
 
 QUERIES = {
     "op1_robust_outliers": outliers.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_range_line_dedup": linededup.query,
     "op6_systematic_mix": mixing.query,
     "op7_minimax_shards": sharding.query,
+    "op8_improbable_digest": digests.query,
     "op10_relative_lz": substrings.query,
 }
 ORACLES: dict = {
