@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from larkspan.llm import digests, langid, linededup, mixing, outliers, sharding, simhash, substrings
+from larkspan.llm import digests, langid, linededup, mixing, outliers, packing, sharding, simhash, substrings, weaklabels
 
 QUERIES = {
     "op1_robust_outliers": outliers.query,
     "op2_popcount_simhash": simhash.query,
+    "op3_conflict_best_fit": packing.query,
     "op4_cross_parsing_langid": langid.query,
     "op5_range_line_dedup": linededup.query,
     "op6_systematic_mix": mixing.query,
     "op7_minimax_shards": sharding.query,
     "op8_improbable_digest": digests.query,
+    "op9_weak_label_quality": weaklabels.query,
     "op10_relative_lz": substrings.query,
 }
 ORACLES: dict = {
