@@ -223,6 +223,29 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return out.withColumnRenamed("_id", id_col)
 
 
+def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language can be told, with all their columns.
+
+    Rejects what ``predict`` calls ``und`` and texts that the best language does
+    not describe at all: whose estimate reaches the bits of a symbol drawn at
+    random from the alphabet.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)  # bounded by MODEL_SYMBOLS
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            for i, j, texts in kernel.chunks(b.column(at), CHUNK):
+                new = m.predict(texts, j - i)
+                told = np.array([x != UNDETERMINED for x in new["lang_pred"]], bool)
+                yield b.slice(i, j - i).filter(pa.array(told & (new["bits"] < math.log2(m.alphabet.size))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: predicted language of all ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from larkspan.llm import graphs, kernel
 from larkspan.session import materialize, ship
@@ -142,6 +142,13 @@ def near_duplicates(
     return fps.join(classes, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each group of near-duplicates, that of the smallest id, with all its columns; repeated rows count once."""
+    kept = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    one = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
+    return docs.join(kept, id_col, "left_semi").withColumn("_one", one).where("_one = 1").select(docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: components of all ``documents``."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
