@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from larkspan.llm import kernel
@@ -131,11 +132,13 @@ def spans(starts: list[int], window: int) -> list[tuple[int, int]]:
     return out
 
 
-def _map(df: DataFrame, fn, schema: str) -> DataFrame:
+def _map(df: DataFrame, fn, schema: str, which) -> DataFrame:
+    """``fn(batch, texts)`` over the rows for which ``which(batch)`` is true."""
     ship(df.sparkSession)
 
     def run(batches):
         for b in batches:
+            b = b.filter(pc.fill_null(which(b), False))
             for i, j, texts in kernel.chunks(b.column(1)):
                 yield fn(b.slice(i, j - i), texts)
 
@@ -156,14 +159,19 @@ def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     base = src.join(flags.hint("shuffle_hash"), "_id", "left")
 
-    def lenders(df):
-        return df.where("lends").select("_id", "text")
+    # Every reader takes all rows of ``base`` and skips inside Python what it has no use for: a filter or an inner join
+    # would be pushed below the exchange of the text, which then could not be shared.
+    def lent(batch, texts):
+        return _find_anchors(batch.column(0), texts, window)
 
-    anchor = _map(lenders(base), lambda b, t: _find_anchors(b.column(0), t, window), f"_id {id_type}, pos int, h long")
+    def lookup(batch, texts):
+        return _find_blocks(batch.column(0), texts, batch.column(3).to_pylist(), window)
+
+    anchor = _map(base.select("_id", "text", "lends"), lent, f"_id {id_type}, pos int, h long", lambda b: b.column(2))
     again = anchor.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     at = anchor.join(again, "h").groupBy("_id").agg(F.collect_list("pos").alias("at"))
-    near = base.where("lends").join(at.hint("shuffle_hash"), "_id").select("_id", "text", "at")
-    blocks = _map(near, lambda b, t: _find_blocks(b.column(0), t, b.column(2).to_pylist(), window), f"_id {id_type}, start int, d1 long, d2 long")
+    near = base.join(at.hint("shuffle_hash"), "_id", "left").select("_id", "text", "lends", "at")
+    blocks = _map(near, lookup, f"_id {id_type}, start int, d1 long, d2 long", lambda b: pc.and_(b.column(2), pc.is_valid(b.column(3))))
     index = blocks.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
     found = blocks.join(index, ["d1", "d2"]).groupBy("_id").agg(F.collect_list("start").alias("starts"))
     return base, found
