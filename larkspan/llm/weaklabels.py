@@ -21,7 +21,7 @@ ABSTAIN, GOOD, BAD = 0, 1, 2
 LABELLERS = ("symbols", "repeats", "capitals", "shouting", "length", "word_length", "sentences", "tables", "odd_ends", "variety")
 BUCKETS = 1 << 15
 #: Documents of each posterior label that the scorer is trained on.
-SAMPLE = 2000
+SAMPLE = 1000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>{}[]=\\^~_")] = True
 _UPPER = np.zeros(256, bool)
@@ -146,28 +146,34 @@ class Scorer:
             out = out + np.diff(sums) / np.maximum(1, np.diff(at))
         return out
 
-    def fit(self, texts: kernel.Texts, target: np.ndarray, weight: np.ndarray, epochs: int = 150, rate: float = 40.0) -> None:
+    def fit(self, texts: list[str], target: np.ndarray, weight: np.ndarray, epochs: int = 120, rate: float = 40.0) -> None:
         """Gradient descent on the weighted logistic loss, with momentum; ``target`` are posteriors."""
-        streams = _streams(texts)
         weight = weight / weight.sum()
-        grad, speed, drift = np.zeros_like(self.weights), np.zeros_like(self.weights), 0.0
-        sparse = []
-        for ids, at in streams:  # counts of each bucket in each text, as shares
-            doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            key, n = np.unique(doc * BUCKETS + ids, return_counts=True)
-            doc, ids = key // BUCKETS, key % BUCKETS
-            sparse.append((doc, ids, n / np.maximum(1, np.diff(at))[doc]))
+        sparse = _shares(texts)
+        speed, drift = np.zeros_like(self.weights), 0.0
         for _ in range(epochs):
             z = self.bias + sum(np.bincount(doc, w[ids] * x, minlength=len(target)) for w, (doc, ids, x) in zip(self.weights, sparse, strict=True))
             err = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target)
+            speed *= 0.9
             for k, (doc, ids, x) in enumerate(sparse):
-                grad[k] = np.bincount(ids, err[doc] * x, minlength=BUCKETS)
-            speed = 0.9 * speed - rate * grad
+                speed[k] -= rate * np.bincount(ids, err[doc] * x, minlength=BUCKETS)
             drift = 0.9 * drift - err.sum()
             self.weights += speed
             self.bias += drift
 
 
+def _shares(texts: list[str], block: int = 50) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each stream (document, bucket, share of the document's features) of the buckets that occur, built block by block."""
+    parts: list[list] = [[], []]
+    for i in range(0, len(texts), block):
+        for k, (ids, at) in enumerate(_streams(_texts(texts[i : i + block]))):
+            doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            key, n = np.unique(doc * BUCKETS + ids, return_counts=True)
+            doc, ids = key // BUCKETS, key % BUCKETS
+            parts[k].append(((doc + i).astype(np.int32), ids.astype(np.int32), (n / np.maximum(1, np.diff(at))[doc]).astype(np.float32)))
+    return [tuple(np.concatenate(x) for x in zip(*p, strict=True)) for p in parts]
+
+
 def _texts(parts: list[str]) -> kernel.Texts:
     raw = [p.encode("utf-8") for p in parts]
     return kernel.Texts(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
@@ -201,7 +207,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
             chosen |= {r[0]: (r[1], share[v] / len(picked)) for r in picked}
     if chosen:
         texts = sorted((r[0], r[1] or "") for r in src.where(F.col("_id").isin(list(chosen))).dropDuplicates(["_id"]).collect())
-        scorer.fit(_texts([t for _, t in texts]), np.array([post[chosen[i][0]] for i, _ in texts]), np.array([chosen[i][1] for i, _ in texts], float))
+        scorer.fit([t for _, t in texts], np.array([post[chosen[i][0]] for i, _ in texts]), np.array([chosen[i][1] for i, _ in texts], float))
     ship(spark)
     shared = spark.sparkContext.broadcast((scorer, post))  # BUCKETS weights and 3**L posteriors
 
