@@ -29,6 +29,11 @@ def _accents() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def let(value: Column, fn) -> Column:
+    """``fn`` of ``value``, which is evaluated once however often ``fn`` uses it, lambdas included."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def strip_accents(c: Column) -> Column:
     return F.translate(c, *_accents())
 
@@ -52,8 +57,7 @@ def focus_terms(c: Column, limit: int = TERM_LIMIT) -> Column:
 
 def matched(terms: Column, text: Column) -> Column:
     """How many of the terms occur in the text, whatever the case."""
-    low = F.lower(text)
-    return F.size(F.filter(terms, lambda t: F.contains(low, F.lower(t))))
+    return let(F.lower(text), lambda low: F.size(F.filter(terms, lambda t: F.contains(low, F.lower(t)))))
 
 
 def normalise_query(c: Column) -> Column:
@@ -92,19 +96,22 @@ def words(c: Column) -> Column:
 
 def shingles(tokens: Column, n: int = 5) -> Column:
     """Distinct runs of ``n`` tokens, each joined by a space; none of a shorter list."""
-    return F.array_distinct(F.when(F.size(tokens) >= n, F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "),
-    )).otherwise(F.array().cast("array<string>")))
+    return let(tokens, lambda w: F.array_distinct(F.when(F.size(w) >= n, F.transform(
+        F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "),
+    )).otherwise(F.array().cast("array<string>"))))
 
 
 def snippet(body: Column, terms: Column, size: int = SNIPPET_CHARS) -> Column:
     """About ``size`` characters around the first term found, a quarter of them before it, with ellipses where cut."""
     clean = F.trim(F.regexp_replace(body, "\\s+", " "))
-    low = F.lower(clean)
-    at = F.coalesce(F.array_min(F.filter(F.transform(terms, lambda t: F.instr(low, F.lower(t)) - 1), lambda p: p >= 0)), F.lit(0))
-    start = F.greatest(F.lit(0), at - size // 4)
-    piece = F.trim(F.substring(clean, start + 1, F.lit(size)))
-    return F.concat(F.when(start > 0, "…").otherwise(""), piece, F.when(start + size < F.length(clean), "…").otherwise(""))
+
+    def cut(c):
+        at = let(F.lower(c), lambda low: F.array_min(F.filter(F.transform(terms, lambda t: F.instr(low, F.lower(t)) - 1), lambda p: p >= 0)))
+        start = F.greatest(F.lit(0), F.coalesce(at, F.lit(0)) - size // 4)
+        return let(start, lambda s: F.concat(
+            F.when(s > 0, "…").otherwise(""), F.trim(F.substring(c, s + 1, F.lit(size))), F.when(s + size < F.length(c), "…").otherwise("")))
+
+    return let(clean, cut)
 
 
 def compact_pages(c: Column) -> Column:
