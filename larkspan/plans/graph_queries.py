@@ -11,14 +11,14 @@ from larkspan.session import table
 
 def _edges(spark, d, least):
     """Part to the next line's part in one order."""
-    li = table(spark, d, "lineitem").where(F.col("l_quantity") >= least).select("l_orderkey", "l_linenumber", "l_partkey")
-    a = li.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("s"))
-    return a.join(li.withColumnRenamed("l_partkey", "t"), ["l_orderkey", "l_linenumber"]).select("s", "t").distinct()
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    a = li.where(F.col("l_quantity") >= least).select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("s"))
+    return a.join(li.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("t")), ["l_orderkey", "l_linenumber"]).select("s", "t").distinct()
 
 
 def _e(least):
     return f"""e AS (SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b
-  ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_quantity >= {least} AND b.l_quantity >= {least})"""
+  ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_quantity >= {least})"""
 
 
 @query("edge_collapse", """
@@ -41,50 +41,50 @@ def dangling_edges(spark, d):
 
 
 @query("bfs_depths", f"""
-WITH RECURSIVE {_e(44)}, w(node, depth) AS (
+WITH RECURSIVE {_e(45)}, w(node, depth) AS (
   SELECT s, 0 FROM (SELECT min(s) AS s FROM e) UNION SELECT t, depth + 1 FROM w JOIN e ON s = node WHERE depth < 12)
 SELECT node, min(depth) AS depth FROM w GROUP BY node""")
 def bfs_depths(spark, d):
-    e = _edges(spark, d, 44)
+    e = _edges(spark, d, 45)
     return gr.bfs(e, e.select(F.min("s")), "s", "t", 12)
 
 
 @query("reverse_reach", f"""
-WITH RECURSIVE {_e(44)}, w(node, depth) AS (
+WITH RECURSIVE {_e(45)}, w(node, depth) AS (
   SELECT t, 0 FROM (SELECT max(t) AS t FROM e) UNION SELECT s, depth + 1 FROM w JOIN e ON t = node WHERE depth < 3 AND (depth = 0 OR node % 5 <> 0))
 SELECT node, min(depth) AS depth FROM w GROUP BY node""")
 def reverse_reach(spark, d):
     """Bounded reach backwards that stops at tests (parts divisible by five); the start is passed through."""
-    e = _edges(spark, d, 44)
+    e = _edges(spark, d, 45)
     seed = e.select(F.max("t").alias("node"))
     tests = e.select(F.col("s").alias("node")).where("node % 5 = 0").distinct().join(seed, "node", "left_anti")
     return gr.bfs(e, seed, "t", "s", 3, stop_at=tests)
 
 
 @query("flow_edges", f"""
-WITH RECURSIVE {_e(44)}, w(node, depth) AS (
+WITH RECURSIVE {_e(45)}, w(node, depth) AS (
   SELECT s, 0 FROM (SELECT min(s) AS s FROM e) UNION SELECT t, depth + 1 FROM w JOIN e ON s = node WHERE depth < 5),
 r AS (SELECT node, min(depth) AS depth FROM w GROUP BY node)
 SELECT hop, caller, callee, place FROM (SELECT depth + 1 AS hop, s AS caller, t AS callee, row_number() OVER (ORDER BY depth + 1, s, t)::INT AS place
   FROM r JOIN e ON s = node) WHERE place <= 60""")
 def flow_edges(spark, d):
-    e = _edges(spark, d, 44)
+    e = _edges(spark, d, 45)
     return gr.flow(e, e.agg(F.min("s")).first()[0], "s", "t")
 
 
 @query("reach_counts", f"""
-WITH RECURSIVE {_e(47)}, w(s, t, n) AS (SELECT s, t, 1 FROM e WHERE s <> t UNION SELECT w.s, e.t, n + 1 FROM w JOIN e ON e.s = w.t WHERE n < 4)
+WITH RECURSIVE {_e(49)}, w(s, t, n) AS (SELECT s, t, 1 FROM e WHERE s <> t UNION SELECT w.s, e.t, n + 1 FROM w JOIN e ON e.s = w.t WHERE n < 4)
 SELECT s AS node, count(DISTINCT t) AS reach FROM w WHERE s <> t GROUP BY s""")
 def reach_counts(spark, d):
-    return gr.reach_counts(_edges(spark, d, 47), "s", "t", 4)
+    return gr.reach_counts(_edges(spark, d, 49), "s", "t", 4)
 
 
 @query("scc_cycles", f"""
-WITH RECURSIVE {_e(48)}, w(s, t) AS (SELECT s, t FROM e UNION SELECT w.s, e.t FROM w JOIN e ON e.s = w.t),
+WITH RECURSIVE {_e(47)}, w(s, t) AS (SELECT s, t FROM e UNION SELECT w.s, e.t FROM w JOIN e ON e.s = w.t),
 m AS (SELECT a.s AS node, b.s AS other FROM w a JOIN w b ON a.t = b.s AND a.s = b.t)
 SELECT node, min(least(node, other)) AS component FROM m GROUP BY node""")
 def scc_cycles(spark, d):
-    return gr.strong_components(_edges(spark, d, 48), "s", "t")
+    return gr.strong_components(_edges(spark, d, 47), "s", "t")
 
 
 @query("dead_nodes", f"""
@@ -192,14 +192,14 @@ def flow_stamps(spark, d):
 
 
 @query("entry_points", f"""
-WITH RECURSIVE {_e(47)}, w(s, t, n) AS (SELECT s, t, 1 FROM e WHERE s <> t UNION SELECT w.s, e.t, n + 1 FROM w JOIN e ON e.s = w.t WHERE n < 6),
+WITH RECURSIVE {_e(49)}, w(s, t, n) AS (SELECT s, t, 1 FROM e WHERE s <> t UNION SELECT w.s, e.t, n + 1 FROM w JOIN e ON e.s = w.t WHERE n < 6),
 r AS (SELECT s AS node, count(DISTINCT t) AS reach FROM w WHERE s <> t GROUP BY s),
 n AS (SELECT p_partkey AS node FROM part)
 SELECT node, coalesce(reach, 0) AS reach, 'declared' AS reason FROM n LEFT JOIN r USING (node) WHERE node % 400 = 1
 UNION ALL (SELECT node, reach, 'root' FROM n JOIN r USING (node) WHERE node % 400 <> 1 AND reach >= 3 AND node NOT IN (SELECT t FROM e WHERE s <> t) ORDER BY reach DESC, node LIMIT 40)""")
 def entry_points(spark, d):
     n = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
-    return gr.entry_points(_edges(spark, d, 47), n, "node", "s", "t", F.col("node") % 400 == 1)
+    return gr.entry_points(_edges(spark, d, 49), n, "node", "s", "t", F.col("node") % 400 == 1)
 
 
 @query("removed_callers", """
