@@ -1 +1,188 @@
+"""Corpus maintenance over ``documents`` as files: doc_id is the path, source the folder."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larkspan.functions import text as tx
+from larkspan.operators import snapshots as sn, windows as wi
+from larkspan.plans.registry import query
+from larkspan.session import table
+from larkspan.sources import corpus
+
+_SNAPS = """
+o AS (SELECT doc_id, sha256(text) AS h, n_chars FROM documents WHERE doc_id % 10 <> 1),
+n AS (SELECT CASE WHEN doc_id % 50 = 3 THEN doc_id + 1000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 10 = 2 THEN sha256(text || '!') ELSE sha256(text) END AS h,
+  CASE WHEN doc_id % 20 = 4 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 10 <> 0)"""
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents")
+
+
+def _snaps(spark, d):
+    docs = _docs(spark, d)
+    old = docs.where("doc_id % 10 <> 1").select("doc_id", F.sha2("text", 256).alias("h"), "n_chars")
+    new = docs.where("doc_id % 10 <> 0").select(
+        F.when(F.col("doc_id") % 50 == 3, F.col("doc_id") + 1000000).otherwise(F.col("doc_id")).alias("doc_id"),
+        F.when(F.col("doc_id") % 10 == 2, F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(F.sha2("text", 256)).alias("h"),
+        F.when(F.col("doc_id") % 20 == 4, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n_chars"),
+    )
+    return old, new
+
+
+@query("skip_reason_counts", """
+SELECT CASE WHEN strlen(text) = 0 THEN 'empty' WHEN strlen(text) > 1048576 THEN 'too_large' WHEN strlen(text) >= 8192 AND NOT contains(text[1:8192], chr(10)) AND NOT contains(text, chr(10)) THEN 'minified'
+  WHEN strlen(text) > 2000 AND strlen(text) / greatest(length(text) - length(replace(text, chr(10), '')), 1) > 2000 THEN 'minified' ELSE 'indexed' END AS reason, count(*) AS n
+FROM documents GROUP BY 1""")
+def skip_reason_counts(spark, d):
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    reason = corpus.skip_reason(path, F.encode("text", "UTF-8"))
+    return _docs(spark, d).groupBy(F.coalesce(reason, F.lit("indexed")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("manifest_diff", f"WITH {_SNAPS} SELECT change, count(*) AS n FROM (SELECT CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' WHEN o.h <> n.h THEN 'changed' ELSE 'same' END AS change FROM o FULL JOIN n USING (doc_id)) GROUP BY change")
+def manifest_diff(spark, d):
+    return sn.manifest_diff(*_snaps(spark, d), "doc_id", "h").groupBy("change").agg(F.count("*").alias("n"))
+
+
+@query("rename_detect", f"""
+WITH {_SNAPS}, g AS (SELECT h, count(*) AS c, min(doc_id) AS a FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n) GROUP BY h),
+c AS (SELECT h, count(*) AS c, min(doc_id) AS b FROM n WHERE doc_id NOT IN (SELECT doc_id FROM o) GROUP BY h)
+SELECT a AS renamed_from, b AS renamed_to FROM g JOIN c USING (h) WHERE g.c = 1 AND c.c = 1""")
+def rename_detect(spark, d):
+    return sn.renames(*_snaps(spark, d), "doc_id", "h")
+
+
+@query("stale_files", f"""
+WITH {_SNAPS} SELECT doc_id, CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'removed' ELSE 'changed' END AS state FROM o FULL JOIN n USING (doc_id)
+WHERE o.h IS NULL OR n.h IS NULL OR o.n_chars <> n.n_chars""")
+def stale_files(spark, d):
+    return sn.stale_files(*_snaps(spark, d), "doc_id", ["n_chars"])
+
+
+@query("view_compare", f"""
+WITH {_SNAPS} SELECT count(*) FILTER (WHERE o.h IS NULL) AS added, count(*) FILTER (WHERE n.h IS NULL) AS removed, count(*) FILTER (WHERE o.h <> n.h) AS changed, count(*) FILTER (WHERE o.h = n.h) AS unchanged FROM o FULL JOIN n USING (doc_id)""")
+def view_compare(spark, d):
+    c = sn.manifest_diff(*_snaps(spark, d), "doc_id", "h")
+    return c.agg(*[F.sum((F.col("change") == k).cast("int")).alias(a) for k, a in (("added", "added"), ("removed", "removed"), ("changed", "changed"), ("same", "unchanged"))])
+
+
+@query("upsert_manifest", f"WITH {_SNAPS} SELECT * FROM n UNION ALL SELECT * FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n)")
+def upsert_manifest(spark, d):
+    return sn.upsert(*_snaps(spark, d), ["doc_id"])
+
+
+@query("counter_upsert", """
+WITH o AS (SELECT event_type, user_id % 20 AS g, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY ALL), n AS (SELECT event_type, user_id % 20 AS g, count(*) AS n FROM events WHERE event_id % 2 = 1 AND user_id % 3 = 0 GROUP BY ALL)
+SELECT event_type, g, coalesce(o.n, 0) + coalesce(n.n, 0) AS n FROM o FULL JOIN n USING (event_type, g)""")
+def counter_upsert(spark, d):
+    e = table(spark, d, "events").withColumn("g", F.col("user_id") % 20)
+    old = e.where("event_id % 2 = 0").groupBy("event_type", "g").agg(F.count("*").alias("n"))
+    new = e.where("event_id % 2 = 1 AND user_id % 3 = 0").groupBy("event_type", "g").agg(F.count("*").alias("n"))
+    return sn.merge_columns(old, new, ["event_type", "g"], ["n"])
+
+
+@query("vector_cache_misses", """
+SELECT sha256('v1' || chr(0) || text) AS key, min(lang) AS lang FROM documents GROUP BY 1
+HAVING sha256('v1' || chr(0) || any_value(text)) NOT IN (SELECT sha256('v1' || chr(0) || text) FROM documents WHERE doc_id % 3 = 0)""")
+def vector_cache_misses(spark, d):
+    docs = _docs(spark, d)
+    contract = F.lit("v1")
+    cache = docs.where("doc_id % 3 = 0").select(tx.content_key(contract, F.col("text")).alias("key"))
+    return sn.cache_misses(docs, cache, contract, F.col("text")).groupBy("key").agg(F.min("lang").alias("lang"))
+
+
+@query("chunk_lines")
+def chunk_lines(spark, d):
+    out = corpus.chunks(_docs(spark, d), "doc_id")
+    return out.select("doc_id", "start_line", "end_line", F.length("chunk").alias("chars"))
+
+
+@query("chunk_rebuild", "SELECT doc_id, sha256(text) AS digest, 0::BIGINT AS gaps FROM documents WHERE length(text) - length(replace(text, chr(10), '')) < 10000 AND len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 8000)) = 0")
+def chunk_rebuild(spark, d):
+    docs = _docs(spark, d).where(~F.exists(F.split("text", "\n"), lambda x: F.length(x) > 8000))
+    c = corpus.chunks(docs, "doc_id").select(F.col("doc_id").alias("path"), "start_line", F.col("chunk").alias("text"))
+    return sn.rebuild_text(c).select(F.col("path").alias("doc_id"), F.sha2("text", 256).alias("digest"), F.col("gaps").cast("long").alias("gaps"))
+
+
+@query("chunk_counts")
+def chunk_counts(spark, d):
+    docs = _docs(spark, d).select(F.col("doc_id").alias("path"), "text")
+    return sn.chunk_counts(docs, corpus.chunks(docs.where("path % 5 <> 0")))
+
+
+@query("view_inventory", """
+SELECT source, lang, count(*) AS files, sum(n_chars)::BIGINT AS bytes, source = 'src3' AS current FROM documents GROUP BY source, lang""")
+def view_inventory(spark, d):
+    files = _docs(spark, d).withColumn("size", F.col("n_chars"))
+    return sn.view_inventory(files, spark.createDataFrame([("src3",)], ["source"]), "source", "lang")
+
+
+@query("directory_inspection", """
+SELECT source, count(*) AS files, sum(n_chars)::BIGINT AS total, max(len(string_split(text, chr(10))))::INT AS depth, count(DISTINCT lang) AS kinds FROM documents GROUP BY ROLLUP (source)""")
+def directory_inspection(spark, d):
+    return _docs(spark, d).rollup("source").agg(
+        F.count("*").alias("files"), F.sum("n_chars").alias("total"), F.max(F.size(F.split("text", "\n"))).alias("depth"), F.countDistinct("lang").alias("kinds"))
+
+
+@query("folder_rollup", """
+WITH p AS (SELECT ['', lang, lang || '/' || source] AS a, n_chars FROM documents)
+SELECT folder, count(*) AS files, sum(n_chars)::BIGINT AS chars FROM (SELECT unnest(a) AS folder, n_chars FROM p) GROUP BY folder""")
+def folder_rollup(spark, d):
+    docs = _docs(spark, d).withColumn("path", F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")))
+    return wi.folder_totals(docs, "path", {"files": F.count("*"), "chars": F.sum("n_chars")})
+
+
+@query("coverage_rollup", """
+SELECT source, count(*) AS items, count(quality) AS covered, (100 * count(quality)) // count(*) AS percent FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ROLLUP (source)""")
+def coverage_rollup(spark, d):
+    docs = _docs(spark, d).join(table(spark, d, "labels"), "doc_id", "left")
+    return docs.rollup("source").agg(F.count("*").alias("items"), F.count("quality").alias("covered")).withColumn("percent", F.expr("(100 * covered) div items"))
+
+
+@query("best_window", """
+WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos, len(ls) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+h AS (SELECT *, contains(lower(line), 'that')::INT + contains(lower(line), 'with')::INT AS hits FROM l),
+w AS (SELECT doc_id, pos, n, sum(hits) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)::BIGINT AS score FROM h)
+SELECT doc_id, pos::INT AS start, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS k FROM w WHERE pos <= greatest(n - 2, 1)) WHERE k = 1""")
+def best_window(spark, d):
+    terms = F.array(F.lit("that"), F.lit("with"))
+    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("pos", F.col("pos") + 1)
+    return wi.best_window(lines, ["doc_id"], "pos", tx.matched(terms, F.col("line")), 3)
+
+
+@query("line_runs", """
+WITH k AS (SELECT DISTINCT l_suppkey AS path, l_orderkey % 200 AS line FROM lineitem), g AS (SELECT *, line - row_number() OVER (PARTITION BY path ORDER BY line) AS r FROM k)
+SELECT path, min(line) AS "start", max(line) AS "end" FROM g GROUP BY path, r""")
+def line_runs(spark, d):
+    k = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("path"), (F.col("l_orderkey") % 200).alias("line")).distinct()
+    return wi.runs(k, ["path"], "line")
+
+
+@query("hunk_ranges", """
+SELECT o_orderkey, (o_orderkey % 90 + 1)::INT AS first, (o_orderkey % 90 + 3)::INT AS last FROM orders""")
+def hunk_ranges(spark, d):
+    diff = F.format_string("@@ -1,2 +%d,3 @@ x\n@@ -9 +%d,0 @@", F.col("o_orderkey") % 90 + 1, F.col("o_orderkey"))
+    return table(spark, d, "orders").select("o_orderkey", F.explode(corpus.hunk_ranges(diff)).alias("r")).select("o_orderkey", "r.first", "r.last")
+
+
+@query("storage_totals", """
+SELECT lang, count(*) AS views, sum(n_chars)::BIGINT AS bytes, count(*) FILTER (WHERE doc_id % 7 = 0 AND source <> 'src1') AS stale FROM documents GROUP BY lang""")
+def storage_totals(spark, d):
+    stale = (F.col("doc_id") % 7 == 0) & (F.col("source") != "src1")
+    return _docs(spark, d).groupBy("lang").agg(F.count("*").alias("views"), F.sum("n_chars").alias("bytes"), F.sum(stale.cast("int")).alias("stale"))
+
+
+@query("budget_fold")
+def budget_fold(spark, d):
+    """Documents of each source read in order within a budget: those that do not fit are skipped, and a reading that stops at the first overflow."""
+    docs = _docs(spark, d).select("source", "doc_id", "n_chars")
+    return wi.fit_in_order(docs, ["source"], "doc_id", "n_chars", 20000)
+
+
+@query("stop_at_overflow", """
+WITH r AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents)
+SELECT source, count(*) AS taken, max(used)::BIGINT AS used FROM r WHERE used <= 20000 GROUP BY source""")
+def stop_at_overflow(spark, d):
+    return wi.until_overflow(_docs(spark, d), ["source"], "doc_id", "n_chars", 20000).groupBy("source").agg(F.count("*").alias("taken"), F.max("used").alias("used"))
