@@ -1 +1,73 @@
+"""``events`` as a stream; each query drains what is available and returns it."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larkspan.plans.registry import query
+from larkspan.session import table
+from larkspan.streaming import events as st
+
+
+def _stream(spark, d):
+    return st.parquet_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_hourly_counts", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS calls FROM events GROUP BY ALL")
+def stream_hourly_counts(spark, d):
+    return st.run_available(st.hourly_counts(_stream(spark, d), "ts", ["event_type"]), "complete", "hourly")
+
+
+@query("stream_bursts", """
+WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 3600000000 THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g)
+SELECT user_id, min(ts) AS first_at, count(*) AS events, count(DISTINCT event_type) AS items, count(DISTINCT event_type) > 3 AS full_scan FROM b GROUP BY user_id, burst""")
+def stream_bursts(spark, d):
+    return st.run_available(st.bursts(_stream(spark, d), "ts", ["user_id"], F.col("event_type"), "1 hour", 3), "complete", "bursts")
+
+
+@query("stream_breaker", """
+WITH r AS (SELECT *, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events)
+SELECT user_id, event_id, sum((event_type = 'error')::INT) OVER w AS busy_count, event_type = 'error' AND sum((event_type = 'error')::INT) OVER w >= 3 AS opens FROM r WINDOW w AS (PARTITION BY user_id, run ORDER BY ts, event_id)""")
+def stream_breaker(spark, d):
+    e = _stream(spark, d)
+    outcome = F.when(F.col("event_type") == "error", "busy").when(F.col("event_type") == "purchase", "ok").otherwise("other")
+    return st.run_available(st.breaker(e.withColumn("outcome", outcome), "user_id", "ts", "event_id", "outcome"), "append", "breaker")
+
+
+@query("stream_alerts")
+def stream_alerts(spark, d):
+    return st.run_available(st.once_a_day(_stream(spark, d).where("event_type = 'error'"), "user_id", "ts", "event_id"), "append", "alerts")
+
+
+@query("stream_adaptive_jobs")
+def stream_adaptive_jobs(spark, d):
+    return st.run_available(st.adaptive_jobs(_stream(spark, d), "event_type", "ts", "event_id"), "append", "jobs")
+
+
+@query("stream_in_flight")
+def stream_in_flight(spark, d):
+    return st.run_available(st.in_flight(_stream(spark, d), ["user_id", "event_type"], "ts", "10 days").select("user_id", "event_type"), "append", "inflight")
+
+
+@query("lease_claims", """
+WITH q AS (SELECT o_orderkey AS id, o_orderdate AS updated_at, (o_orderkey % 40 + 1) AS size, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'leased' ELSE 'done' END AS status, o_orderkey % 3 AS attempts FROM orders),
+f AS (SELECT *, status = 'pending' OR (status = 'leased' AND id % 2 = 0) AS free FROM q),
+u AS (SELECT *, sum(size) OVER (PARTITION BY free AND attempts < 2 ORDER BY updated_at, id) AS used FROM f)
+SELECT id, CASE WHEN free AND attempts >= 2 THEN 'failed' WHEN free AND used <= 500 THEN 'leased' ELSE status END AS status, (attempts + (free AND attempts < 2 AND used <= 500)::INT)::BIGINT AS attempts FROM u""")
+def lease_claims(spark, d):
+    now = F.to_timestamp(F.lit("2024-06-01 00:00:00"))
+    q = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("updated_at"), (F.col("o_orderkey") % 40 + 1).alias("size"),
+        F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "leased").otherwise("done").alias("status"), (F.col("o_orderkey") % 3).alias("attempts"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.to_timestamp(F.lit("2024-05-31 00:00:00"))).otherwise(F.to_timestamp(F.lit("2024-06-02 00:00:00"))).alias("lease_until"),
+    )
+    return st.claim(q, now, 500).select("id", "status", "attempts")
+
+
+@query("dirty_flags", """
+WITH f AS (SELECT user_id AS id, event_id AS seq FROM events WHERE event_type = 'click'), j AS (SELECT user_id AS id, max(event_id) AS m FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT f.id, f.seq FROM f LEFT JOIN j USING (id) WHERE m IS NULL OR seq > m""")
+def dirty_flags(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "event_type")
+    return st.clear_flags(e.where("event_type = 'click'").drop("event_type"), e.where("event_type = 'purchase'").drop("event_type"))
