@@ -1,12 +1,13 @@
 """Line deduplication that moves hashes and bitmaps, never text.
 
 Every line long enough is reduced to a 128-bit hash. The (hash, document,
-position) rows are range-partitioned on (hash, document) and sorted by hash,
-document and position within each range, so the lines of one hash stream past
-together with the largest document first, and a hash held by a third of all
-documents spreads over as many ranges as its rows fill. Each range reduces a
-hash to a document count and its first document; those partial results are
-merged, and each document receives a bitmap of the lines that it loses.
+position) rows are partitioned by equal ranges of the hash and by lanes of
+documents, and sorted by hash, document and position within, so the lines of
+one hash stream past together with the largest document first, and a hash held
+by a third of all documents spreads over the lanes of its range. Each lane
+reduces a hash to a document count and its first document; those partial
+results are merged, and each document receives a bitmap of the lines that it
+loses.
 
 A bitmap is run-compressed: an array of (first, last) positions of dropped
 lines; whatever lies between the runs is kept.
@@ -18,12 +19,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from larkspan.session import materialize
+from larkspan.functions.text import let
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS = 40
 MIN_DOCS = 5
+#: Lanes of documents over which the lines of one hash are spread.
+LANES = 16
 
 
 def _lines(text):
@@ -32,13 +35,15 @@ def _lines(text):
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(hash, _id, pos) of every line whose key has at least ``min_chars`` code points."""
-    key = F.translate(F.btrim("line", F.lit(SPACE)), UPPER, LOWER)
+    line = F.btrim("line", F.lit(SPACE))
+    ascii_only = F.octet_length("key") == F.length("key")  # lower() then touches A-Z alone, and is faster
+    key = F.when(ascii_only, F.lower("key")).otherwise(F.translate("key", UPPER, LOWER))
     return (
         docs.select(F.col(id_col).alias("_id"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
         .where(F.length("line") >= min_chars)
-        .select("_id", "pos", key.alias("key"))
+        .select("_id", "pos", line.alias("key"))
         .where(F.length("key") >= min_chars)
-        .select(F.unhex(F.md5("key")).alias("hash"), "_id", "pos")
+        .select(F.md5(key).alias("hash"), "_id", "pos")
     )
 
 
@@ -50,21 +55,26 @@ def drop_bitmaps(
     A line's key is the line with white space (0x20, 0x09-0x0D) stripped at both
     ends and A-Z lower-cased. Keys of at least ``min_chars`` code points found in
     at least ``min_docs`` documents are lost by all documents but the one of the
-    largest id. Rows of one id are taken as copies of one document; a null id
-    never loses lines; a null text is one empty line. Empty tables give an
+    largest id. Rows of one id are taken as copies of one document; a row with a
+    null id neither loses lines nor counts; a null text is one empty line. Empty tables give an
     empty result and other columns are not read.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialize(line_rows(docs, id_col, text_col, min_chars), "lines")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = line_rows(docs, id_col, text_col, min_chars).withColumns({
+        # digests are uniform, so equal ranges of them need no sampling
+        "range": F.floor(F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") * n / F.lit(1 << 32)),
+        "lane": F.pmod(F.xxhash64("_id"), F.lit(LANES)).cast("int"),
+        "hash": F.unhex("hash"),
+    }).where("hash IS NOT NULL AND _id IS NOT NULL")  # as the join below implies; said here, both readers share one exchange
     held = (
-        rows.repartitionByRange(n, F.col("hash"), F.col("_id").desc())
+        rows.repartition(n, "range", "lane")
         .sortWithinPartitions("hash", F.col("_id").desc(), "pos")
-        .groupBy("hash", "_id").agg(F.collect_set("pos").alias("at"))
+        .groupBy("range", "lane", "hash", "_id").agg(F.collect_set("pos").alias("at"))
     )
+    # ``lines`` is never below ``docs``; asking for it keeps the positions in this branch, so both share one exchange
     spread = (
-        held.groupBy("hash").agg(F.count("*").alias("docs"), F.max("_id").alias("keeper"))
-        .where(F.col("docs") >= min_docs).select("hash", "keeper")
+        held.groupBy("hash").agg(F.count("*").alias("docs"), F.max("_id").alias("keeper"), F.sum(F.size("at")).alias("lines"))
+        .where((F.col("docs") >= min_docs) & (F.col("lines") >= F.col("docs"))).select("hash", "keeper")
     )
     lost = held.join(spread, "hash").where(F.col("_id") != F.col("keeper"))
     at = lost.groupBy("_id").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("at"))
@@ -73,18 +83,24 @@ def drop_bitmaps(
     return at.select(F.col("_id").alias(id_col), F.arrays_zip(first.alias("first"), last.alias("last")).alias("runs"))
 
 
+def _kept(text, runs):
+    """The lines of ``text`` outside ``runs``, joined again."""
+    def of(lines):
+        before = lambda j: F.when(j == 0, 0).otherwise(F.get(runs, j - 1)["last"] + 1)
+        until = lambda j: F.when(j == F.size(runs), F.size(lines)).otherwise(F.get(runs, j)["first"])
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), lambda j: F.slice(lines, before(j) + 1, until(j) - before(j)))), "\n")
+
+    return let(_lines(text), of)
+
+
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns ``_kept`` (the text that stays), ``_n_lines`` and ``_n_dropped``."""
-    joined = docs.join(bitmaps.withColumnRenamed("runs", "_runs"), id_col, "left")
-    joined = joined.withColumns({"_split": _lines(F.col(text_col)), "_runs": F.coalesce("_runs", F.array().cast(bitmaps.schema["runs"].dataType))})
-    before = lambda j: F.when(j == 0, 0).otherwise(F.get("_runs", j - 1)["last"] + 1)
-    until = lambda j: F.when(j == F.size("_runs"), F.size("_split")).otherwise(F.get("_runs", j)["first"])
-    gaps = F.transform(F.sequence(F.lit(0), F.size("_runs")), lambda j: F.slice("_split", before(j) + 1, until(j) - before(j)))
-    return joined.withColumns({
-        "_kept": F.when(F.size("_runs") == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.flatten(gaps), "\n")),
-        "_n_lines": F.size("_split").cast("long"),
-        "_n_dropped": F.aggregate("_runs", F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1),
-    }).drop("_split", "_runs")
+    """``docs`` with the columns ``_kept`` (the text that stays) and ``_runs`` (null for documents that lose nothing).
+
+    Bitmaps are hashed against the shuffled documents, so text is not sorted.
+    """
+    joined = docs.join(bitmaps.withColumnRenamed("runs", "_runs").hint("shuffle_hash"), id_col, "left")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return joined.withColumn("_kept", F.when(F.col("_runs").isNull(), text).otherwise(_kept(text, F.col("_runs"))))
 
 
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -98,8 +114,9 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op5: line counts and the digest of the kept text of all ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = apply_bitmaps(docs, drop_bitmaps(docs))
+    dropped = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
     return out.select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+        "doc_id", F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), F.coalesce(dropped, F.lit(0).cast("long")).alias("n_dropped"),
         F.sha2(F.encode("_kept", "UTF-8"), 256).alias("kept_sha256"),
     )
 
