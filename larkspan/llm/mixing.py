@@ -98,7 +98,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with every row as often as the mix takes it; ids identify rows."""
     taken = copies(docs, id_col, **options).where("copies > 0").groupBy(id_col).agg(F.max("copies").alias("_copies"))
     return (
-        docs.join(taken, id_col)
+        docs.join(taken.hint("shuffle_hash"), id_col)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
         .select(docs.columns)
     )

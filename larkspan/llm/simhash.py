@@ -143,10 +143,16 @@ def near_duplicates(
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest id, with all its columns; repeated rows count once."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    one = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
-    return docs.join(kept, id_col, "left_semi").withColumn("_one", one).where("_one = 1").select(docs.columns)
+    """One row of each group of near-duplicates, that of the smallest id, with all its columns; repeated rows count once.
+
+    The ids that stay are hashed against the shuffled rows, so text is never sorted but for the rows of repeated ids.
+    """
+    out = near_duplicates(docs, id_col, text_col, **options)
+    kept = out.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_n"))
+    joined = docs.join(kept.hint("shuffle_hash"), id_col)
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
+    many = joined.where("_n > 1").withColumn("_first", first).where("_first = 1")
+    return joined.where("_n = 1").select(docs.columns).union(many.select(docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
