@@ -35,7 +35,8 @@ def let(value: Column, fn) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, *_accents())
+    """Base letters for letters with diacritics; a text of ASCII alone is left as it is, which is much faster."""
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(c, *_accents()))
 
 
 def tokens(c: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from larkspan.functions import text as tx, vectors as vx
+from larkspan.session import spread
 
 ALPHA = 0.75
 K1, B = 1.2, 0.75
@@ -30,40 +31,47 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: st
 
 def bm25(
     queries: DataFrame, docs: DataFrame, fields: dict[str, float], query_id: str = "query_id", terms: str = "terms", doc_id: str = "doc_id",
-    accept: Column | None = None,
+    accept: Column | None = None, filters: tuple[str, ...] = (),
 ) -> DataFrame:
     """(query_id, doc_id, score): BM25 of every document that holds any term of a query.
 
     ``queries`` has an array of terms; a term with an underscore is a phrase of
-    its parts. ``fields`` gives the weight of each text column. ``accept``
-    filters documents after the statistics are taken.
+    its parts. ``fields`` gives the weight of each text column. ``accept``, over
+    the columns ``filters``, filters documents after the statistics are taken.
 
-    The documents are read for two narrow results: their lengths with the global
-    counts, and the positions of the few tokens that begin some query term.
+    The documents are read twice, once for the number of tokens of each field
+    and once for the occurrences of the tokens that begin some query term; each
+    occurrence carries its document's length, so neither is joined to texts.
+    Only occurrences that begin a phrase of several tokens go back to the text.
     """
+    docs = spread(docs.select(doc_id, *dict.fromkeys([*fields, *filters])))
     asked = queries.select(query_id, F.explode(terms).alias("term")).distinct()
-    parts = tx.tokens(F.col("term"))
-    asked = asked.withColumn("parts", parts).where(F.size("parts") > 0)
+    asked = asked.withColumn("parts", tx.tokens(F.col("term"))).where(F.size("parts") > 0)
     phrases = asked.select(F.array_join("parts", " ").alias("phrase"), "parts", F.get("parts", F.lit(0)).alias("head")).distinct()
-    names = list(fields)
+    count = sum((F.regexp_count(F.coalesce(F.col(f), F.lit("")), F.lit("[\\p{L}\\p{N}]+")) for f in fields), F.lit(0))
+    stats = docs.select(count.alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     tokens = docs.select(
         F.col(doc_id).alias("_doc"), (F.lit(True) if accept is None else accept).alias("_in"),
-        *[tx.tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(names)],
+        *[tx.tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(fields)],
     )
-    lengths = tokens.select("_doc", "_in", sum((F.size(f"_t{i}") for i in range(len(names))), F.lit(0)).alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    found = None
-    for i, f in enumerate(names):
-        at = tokens.select("_doc", F.posexplode(f"_t{i}").alias("pos", "head"), F.lit(fields[f]).alias("w"), F.col(f"_t{i}").alias("all"))
-        hit = at.join(phrases, "head").where(F.slice("all", F.col("pos") + 1, F.size("parts")) == F.col("parts"))
-        hit = hit.groupBy("phrase", "_doc").agg((F.count("*") * F.first("w")).alias("f"))
-        found = hit if found is None else found.union(hit)
-    tf = found.groupBy("phrase", "_doc").agg(F.sum("f").alias("f"))
+    dl = sum((F.size(f"_t{i}") for i in range(len(fields))), F.lit(0))
+
+    def marked(i: int, weight: float) -> Column:
+        return F.transform(f"_t{i}", lambda t, k: F.struct(t.alias("head"), k.alias("pos"), F.lit(i).alias("field"), F.lit(float(weight)).alias("w")))
+
+    every = F.concat(*[marked(i, w) for i, w in enumerate(fields.values())])
+    at = tokens.select("_doc", "_in", dl.alias("dl"), F.explode(every).alias("o")).select("_doc", "_in", "dl", "o.*").join(phrases, "head")
+    single = at.where(F.size("parts") == 1).select("_doc", "_in", "dl", "phrase", "w")
+    begun = at.where(F.size("parts") > 1)
+    field = F.get(F.array(*[F.col(f"_t{i}") for i in range(len(fields))]), F.col("field"))
+    several = begun.drop("_in").join(tokens, "_doc").where(F.slice(field, F.col("pos") + 1, F.size("parts")) == F.col("parts"))
+    found = single.union(several.select("_doc", "_in", "dl", "phrase", "w"))
+    tf = found.groupBy("phrase", "_doc", "_in", "dl").agg(F.sum("w").alias("f"))
     df = tf.groupBy("phrase").agg(F.count("*").alias("n"))
     idf = F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weights = df.crossJoin(stats).select("phrase", "avgdl", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))  # one row of statistics
     gain = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(weights, "phrase").join(lengths.where("_in"), "_doc").select("_doc", "phrase", (F.col("idf") * gain).alias("s"))
+    scored = tf.where("_in").join(weights, "phrase").select("_doc", "phrase", (F.col("idf") * gain).alias("s"))
     wanted = asked.select(query_id, "term", F.array_join("parts", " ").alias("phrase"))
     return (
         wanted.join(scored, "phrase").groupBy(query_id, "_doc").agg(F.sum("s").alias("score"))

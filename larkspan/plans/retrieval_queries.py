@@ -41,7 +41,7 @@ def _benchmark_terms(spark, d):
 
 
 def _bm25(spark, d, accept=None):
-    return rt.bm25(_benchmark_terms(spark, d), table(spark, d, "documents"), {"source": 3.0, "text": 1.0}, "item_id", accept=accept)
+    return rt.bm25(_benchmark_terms(spark, d), table(spark, d, "documents"), {"source": 3.0, "text": 1.0}, "item_id", accept=accept, filters=("lang",))
 
 
 def _ranked(hits, k):
