@@ -11,10 +11,11 @@ TERM_LIMIT = 24
 SNIPPET_CHARS = 160
 # English and Portuguese function words left out of focus terms.
 STOPWORDS = (
-    "a an and are as at be by can did do does for from get has have how if in into is it its make of on or that the "
-    "their this to use was were what when where which who why will with you "
-    "ao aos as como com da das de do dos e em esta este isso na nas no nos o onde os ou para pela pelo por porque "
-    "qual quando que quem se sem ser sua suas um uma"
+    "the and for how what where which does with from that this are when who why into used use uses its has have code "
+    "project file files como onde qual quais que quem por para com uma dos das nos nas pelo pela ele ela isso esse essa "
+    "este esta fica ficam usa usado usada sobre entre depois antes quando cada seu sua seus suas não sem mais código "
+    "projeto arquivo arquivos decide funciona is in to of on at by an as it or be do if so we no up me my he us am de da "
+    "em na os um se ao ou eu te é já só"
 ).split()
 
 

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 FOLLOW_SECONDS = 900
 ALERT_FLOOR, ALERT_FACTOR, ALERT_HOURS = 100, 2, 168
+# What error texts say.
+STATUS = "HTTP(?: Error)? (\\d{3})"
+TIMED_OUT = "(?i)timed out|timeout|WinError 10060|Errno 110\\b"
+NO_CONNECTION = "(?i)URLError|ConnectionError|ConnectionRefused|ConnectionReset|refused|reset|getaddrinfo"
 FAILING_CALLS, FAILING_RATE = 5, 0.5
 
 
@@ -71,14 +75,12 @@ def reason_shape(c: Column) -> Column:
 def failure_class(error: Column) -> Column:
     """Class of an error text: a status code in it wins over its words."""
     e = F.coalesce(error, F.lit(""))
-    code = F.try_to_number(F.regexp_extract(e, "(?i)\\b(?:http|status|code)\\D{0,12}(\\d{3})\\b", 1), F.lit("999"))
+    code = F.nullif(F.regexp_extract(e, STATUS, 1), F.lit("")).cast("int")
     return (
-        F.when(e.startswith("circuit open"), "circuit_open")
-        .when(code.isin(429, 503), code.cast("int").cast("string"))
-        .when(code.isin(401, 403), "auth")
+        F.when(e.startswith("CircuitOpen:"), "circuit_open")
+        .when(code.isin(429, 503), code.cast("string")).when(code.isin(401, 403), "auth")
         .when(code >= 500, "5xx").when(code.isNotNull(), "other")
-        .when(e.rlike("(?i)timed? ?out|timeout"), "timeout")
-        .when(e.rlike("(?i)connection|unreachable|refused|reset"), "connection").otherwise("other")
+        .when(e.rlike(TIMED_OUT), "timeout").when(e.rlike(NO_CONNECTION), "connection").otherwise("other")
     )
 
 

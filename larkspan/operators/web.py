@@ -10,7 +10,8 @@ from larkspan.functions import text as tx, urls
 TTL = {"high": 0, "medium": 86_400, "low": 604_800}
 MAX_AGE = 30 * 86_400
 THIN_CHARS, PLACEHOLDER_CHARS = 1500, 5000
-PLACEHOLDERS = ("enable javascript", "loading...", "please wait", "checking your browser")
+# Fixed value: what a page says that has not been rendered.
+PLACEHOLDERS = ("carregando", "loading...", "enable javascript", "habilite o javascript", "ative o javascript")
 
 
 def federate(tiers: dict[str, DataFrame]) -> DataFrame:

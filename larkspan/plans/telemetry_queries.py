@@ -85,7 +85,7 @@ def reason_shapes(spark, d):
     return e.orderBy(F.col("n").desc(), "reason", "event_type").limit(8)
 
 
-_ERROR = """CASE CAST(json_extract_string(props, '$.k') AS INT) % 7 WHEN 0 THEN 'HTTP 429 too many' WHEN 1 THEN 'status 503' WHEN 2 THEN 'http code 401'
+_ERROR = """CASE CAST(json_extract_string(props, '$.k') AS INT) % 7 WHEN 0 THEN 'HTTP 429 too many' WHEN 1 THEN 'HTTP Error 503 busy' WHEN 2 THEN 'HTTP 401 who'
   WHEN 3 THEN 'HTTP 500' WHEN 4 THEN 'request timed out' WHEN 5 THEN 'connection refused' ELSE 'odd failure' END"""
 _CLASS = """CASE CAST(json_extract_string(props, '$.k') AS INT) % 7 WHEN 0 THEN '429' WHEN 1 THEN '503' WHEN 2 THEN 'auth'
   WHEN 3 THEN '5xx' WHEN 4 THEN 'timeout' WHEN 5 THEN 'connection' ELSE 'other' END"""
@@ -93,7 +93,7 @@ _CLASS = """CASE CAST(json_extract_string(props, '$.k') AS INT) % 7 WHEN 0 THEN
 
 def _with_error(e):
     k = F.get_json_object("props", "$.k").cast("int") % 7
-    texts = ("HTTP 429 too many", "status 503", "http code 401", "HTTP 500", "request timed out", "connection refused", "odd failure")
+    texts = ("HTTP 429 too many", "HTTP Error 503 busy", "HTTP 401 who", "HTTP 500", "request timed out", "connection refused", "odd failure")
     return e.withColumn("error", F.get(F.array(*[F.lit(t) for t in texts]), k))
 
 

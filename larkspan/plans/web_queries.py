@@ -136,7 +136,7 @@ def volatility_annotation(spark, d):
 
 
 @query("thin_pages", """
-SELECT doc_id FROM documents WHERE length(trim(text)) < 1500 OR (length(trim(text)) < 5000 AND (contains(lower(substr(trim(text), 1, 600)), 'please wait') OR contains(lower(substr(trim(text), 1, 600)), 'enable javascript')))""")
+SELECT doc_id FROM documents WHERE length(trim(text)) < 1500 OR (length(trim(text)) < 5000 AND (contains(lower(substr(trim(text), 1, 600)), 'loading...') OR contains(lower(substr(trim(text), 1, 600)), 'enable javascript')))""")
 def thin_pages(spark, d):
     return table(spark, d, "documents").where(web.thin(F.col("text"))).select("doc_id")
 
