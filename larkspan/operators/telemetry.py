@@ -9,7 +9,7 @@ ALERT_FLOOR, ALERT_FACTOR, ALERT_HOURS = 100, 2, 168
 # What error texts say.
 STATUS = "HTTP(?: Error)? (\\d{3})"
 TIMED_OUT = "(?i)timed out|timeout|WinError 10060|Errno 110\\b"
-NO_CONNECTION = "(?i)URLError|ConnectionError|ConnectionRefused|ConnectionReset|refused|reset|getaddrinfo"
+NO_CONNECTION = "(?i)URLError|ConnectionError|ConnectionRefused|ConnectionReset|refused|reset|getaddrinfo|WinError 1006[01]|WinError 10054|Name or service|unreachable"
 FAILING_CALLS, FAILING_RATE = 5, 0.5
 
 

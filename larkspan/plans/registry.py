@@ -24,11 +24,11 @@ def query(name: str, sql: str | None = None):
 
 
 from larkspan.plans import (  # noqa: E402
-    corpus_queries, duplicate_queries, extra_queries, graph_queries, history_queries, retrieval_queries, rule_queries,
+    corpus_queries, duplicate_queries, extra_queries, graph_queries, history_queries, impact_queries, retrieval_queries, rule_queries,
     stream_queries, telemetry_queries, web_queries,
 )
 
 __all__ = [
-    "QUERIES", "ORACLES", "query", "corpus_queries", "duplicate_queries", "extra_queries", "graph_queries", "history_queries",
+    "QUERIES", "ORACLES", "query", "corpus_queries", "duplicate_queries", "extra_queries", "graph_queries", "impact_queries", "history_queries",
     "retrieval_queries", "rule_queries", "stream_queries", "telemetry_queries", "web_queries",
 ]
