@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from larkspan.llm import kernel
@@ -132,6 +133,33 @@ def spans(starts: list[int], window: int) -> list[tuple[int, int]]:
     return out
 
 
+def _pack(df: DataFrame, schema: str) -> DataFrame:
+    """(_id, text) with the text compressed, for the one shuffle that it goes through."""
+    ship(df.sparkSession)
+
+    def run(batches):
+        zip_ = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            packed = [zip_(t.as_py().encode("utf-8")) if t.is_valid else None for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["_id", "text"])
+
+    return df.mapInArrow(run, schema)
+
+
+def _unpacked(column: pa.Array, limit: int = kernel.CHUNK) -> Iterator[tuple[int, int, pa.Array]]:
+    """(first row, end row, texts) of pieces of about ``limit`` bytes of a column of compressed texts."""
+    unzip = zstandard.ZstdDecompressor().decompress
+    start, size, part = 0, 0, []
+    for i, z in enumerate(column):
+        part.append(unzip(z.as_py()).decode("utf-8") if z.is_valid else None)
+        size += len(part[-1] or "")
+        if size >= limit:
+            yield start, i + 1, pa.array(part, pa.large_string())
+            start, size, part = i + 1, 0, []
+    if part:
+        yield start, len(column), pa.array(part, pa.large_string())
+
+
 def _map(df: DataFrame, fn, schema: str, which) -> DataFrame:
     """``fn(batch, texts)`` over the rows for which ``which(batch)`` is true."""
     ship(df.sparkSession)
@@ -139,14 +167,15 @@ def _map(df: DataFrame, fn, schema: str, which) -> DataFrame:
     def run(batches):
         for b in batches:
             b = b.filter(pc.fill_null(which(b), False))
-            for i, j, texts in kernel.chunks(b.column(1)):
-                yield fn(b.slice(i, j - i), texts)
+            for i, j, column in _unpacked(b.column(1)):
+                for k, n, texts in kernel.chunks(column, 1 << 62):
+                    yield fn(b.slice(i + k, n - k), texts)
 
     return df.mapInArrow(run, schema)
 
 
 def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """``base`` (_id, text, copies) and ``found`` (_id, starts) of the documents that hold repeated blocks.
+    """``base`` (_id, compressed text, copies, lends) and ``found`` (_id, starts) of the documents that hold repeated blocks.
 
     Text is shuffled once, by id; the stages that read it share that exchange.
     """
@@ -157,7 +186,7 @@ def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flags = keyed.join(classes, "key").groupBy("_id").agg(
         F.max("copies").alias("copies"), F.max(F.col("_id") == F.col("lender")).alias("lends"),
     )
-    base = src.join(flags.hint("shuffle_hash"), "_id", "left")
+    base = _pack(src, f"_id {id_type}, text binary").join(flags.hint("shuffle_hash"), "_id", "left")
 
     # Every reader takes all rows of ``base`` and skips inside Python what it has no use for: a filter or an inner join
     # would be pushed below the exchange of the text, which then could not be shared.
@@ -194,10 +223,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_type = joined.schema["_id"].dataType.simpleString()
 
     def run(batches):
+        unzip = zstandard.ZstdDecompressor().decompress
         for b in batches:
             n_words, n_removed, kept, where = [], [], [], []
             for text, copies, starts in zip(b.column(1), b.column(2), b.column(3), strict=True):
-                words = WORD.findall(text.as_py() or "")
+                words = WORD.findall(unzip(text.as_py()).decode("utf-8") if text.is_valid else "")
                 if (copies.as_py() or 1) > 1 and len(words) >= window:
                     cover = [(0, len(words))]
                 else:
