@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES: dict = {
     "op5_range_line_dedup": linededup.ORACLE,
     "op6_systematic_mix": mixing.ORACLE,
+    "op10_relative_lz": substrings.ORACLE,
 }

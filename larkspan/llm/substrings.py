@@ -255,3 +255,21 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op10: words removed from all ``documents``."""
     out = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+b AS (
+  SELECT doc_id, s, md5(array_to_string(list_slice(ws, s, s + 34), ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS s FROM w WHERE len(ws) >= 35)
+), again AS (SELECT h FROM b GROUP BY h HAVING count(*) > 1),
+cover AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM b JOIN again USING (h)),
+word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+m AS (SELECT word.doc_id, word.p, word, cover.p IS NOT NULL AS gone FROM word LEFT JOIN cover ON cover.doc_id = word.doc_id AND cover.p = word.p),
+r AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept
+  FROM m GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN r USING (doc_id)
+"""
