@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from larkspan.llm import graphs, kernel
+from larkspan.llm import graphs
 from larkspan.session import materialize, ship
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
