@@ -19,7 +19,10 @@ GAPS = (60, 120, 240, 480, 900)
 
 
 def parquet_stream(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A file stream over a Parquet file or folder of files."""
+    """A file stream over a Parquet file or folder of files.
+
+    A stream does not take the path of a single file, but takes a pattern that only that file matches.
+    """
     schema = schema or spark.read.parquet(path).schema
     return spark.readStream.schema(schema).parquet(path[:-1] + "?")
 
