@@ -143,11 +143,15 @@ def near_duplicates(
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest id, with all its columns; repeated rows count once.
+    """One row of each group of near-duplicates, that of the smallest id, with all its columns; repeated rows count once."""
+    return one_of_each(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
+
+
+def one_of_each(docs: DataFrame, out: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is its own component in ``out`` (id, component_id), each id once.
 
     The ids that stay are hashed against the shuffled rows, so text is never sorted but for the rows of repeated ids.
     """
-    out = near_duplicates(docs, id_col, text_col, **options)
     kept = out.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_n"))
     joined = docs.join(kept.hint("shuffle_hash"), id_col)
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
