@@ -1,6 +1,7 @@
 """Similarity digests from statistically improbable features.
 
-A feature is a window of ``WINDOW`` bytes that starts with a word. Its entropy,
+A feature is a window of ``WINDOW`` bytes that starts with a word, or anywhere
+in a word longer than itself that holds it whole. Its entropy,
 over sixteen classes of bytes, falls into a bin; how rare that bin is over the
 whole corpus ranks the feature. Among every ``NEIGHBOURS`` consecutive features
 the rarest gains a point, and features with ``POINTS`` or more are selected.
@@ -46,12 +47,17 @@ _TOP = 64 * WINDOW * 4  # sixteen classes: at most four bits a byte
 
 
 def features(texts: kernel.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, text, entropy bin) of every feature: windows at word starts that lie within their text.
+    """(start, text, entropy bin) of every feature: windows at word starts that lie within their text,
+    and those at every other byte of a longer word that lie within the word.
 
     A text that has no such window is one feature by itself, in bin 0, if it has any bytes.
     """
-    start, _, first = texts.words()
-    doc = kernel.owner(first)
+    start, end, _ = texts.words()
+    more = np.maximum(0, end - start - WINDOW)
+    if more.any():
+        inside = np.repeat(start - np.cumsum(more) + more, more) + np.arange(1, more.sum() + 1)
+        start = np.sort(np.concatenate([start, inside]), kind="stable")
+    doc = np.searchsorted(texts.at, start, side="right") - 1
     fits = start + WINDOW <= texts.at[1:][doc]
     start, doc = start[fits], doc[fits]
     low, high = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(t[texts.buf])]) for t in (_LOW, _HIGH))
