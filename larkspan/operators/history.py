@@ -87,9 +87,11 @@ def rename_chain(renames: DataFrame, old: str, new: str, most: int = 50) -> Data
 
 
 def release_groups(commits: DataFrame, tags: DataFrame, time: str, tag_time: str, tag: str) -> DataFrame:
-    """Commits under the first tag at or after them; null where unreleased."""
-    events = commits.select(F.col(time).alias("_t"), F.struct(*commits.columns).alias("c"), F.lit(None).cast("string").alias("_tag"), F.lit(0).alias("_k"))
-    marks = tags.select(F.col(tag_time), F.lit(None).cast(events.schema["c"].dataType), F.col(tag), F.lit(1))
-    day = Window.orderBy("_t", "_k").rowsBetween(0, Window.unboundedFollowing)
-    both = events.union(marks).withColumn("release", F.first("_tag", ignorenulls=True).over(day))
-    return both.where("_k = 0").select("c.*", "release")
+    """Commits under the first tag at or after them, by time and name; null where unreleased.
+
+    The tags are few: they travel as one sorted array beside the commits, which are not shuffled.
+    """
+    marks = tags.where(F.col(tag_time).isNotNull()).agg(F.sort_array(F.collect_list(F.struct(F.col(tag_time).alias("t"), F.col(tag).alias("tag")))).alias("_tags"))
+    both = commits.crossJoin(F.broadcast(marks))  # one row
+    later = F.filter("_tags", lambda x: x["t"] >= F.col(time))
+    return both.withColumn("release", F.get(later, F.lit(0))["tag"]).select(*commits.columns, "release")

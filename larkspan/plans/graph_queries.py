@@ -213,6 +213,18 @@ def removed_callers(spark, d):
     return gr.removed_callers(p.select(name), p.where("p_type <> 'PROMO'").select(name), sites, "name", "site")
 
 
+@query("removed_callers_all", """
+WITH o AS (SELECT DISTINCT p_brand || '.' || p_type AS name FROM part), n AS (SELECT DISTINCT p_brand || '.' || p_type AS name FROM part WHERE p_type <> 'PROMO'),
+g AS (SELECT name, regexp_extract(name, '[^.]*$') AS short FROM (SELECT * FROM o EXCEPT SELECT * FROM n))
+SELECT DISTINCT g.name, p_partkey AS site FROM g JOIN part ON p_type = short""")
+def removed_callers_all(spark, d):
+    """As ``removed_callers``, with every part as a call site."""
+    p = table(spark, d, "part")
+    name = F.concat_ws(".", "p_brand", "p_type").alias("name")
+    sites = p.select(F.col("p_type").alias("callee"), F.col("p_partkey").alias("site"))
+    return gr.removed_callers(p.select(name), p.where("p_type <> 'PROMO'").select(name), sites, "name", "site")
+
+
 @query("changed_signatures", """
 WITH o AS (SELECT p_name, count(*) AS n, any_value(p_size) AS h FROM part WHERE p_partkey % 2 = 0 GROUP BY p_name), n AS (SELECT p_name, count(*) AS n, any_value(p_size) AS h FROM part WHERE p_partkey % 2 = 1 GROUP BY p_name)
 SELECT o.p_name, o.h AS before, n.h AS after FROM o JOIN n USING (p_name) WHERE o.n = 1 AND n.n = 1 AND o.h <> n.h""")
