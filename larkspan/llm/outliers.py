@@ -5,20 +5,29 @@ held against the minimum-covariance-determinant (MCD) estimate of location and
 scatter of its (language, source) group, and a document too far away by
 Mahalanobis distance is rejected.
 
-The MCD is found by concentration steps from a deterministic start (medians and
-scaled absolute deviations): distances of every row, the half of each group
-with the least, mean and covariance of that half, again. The transformed
-statistics are integers in units of 1/256, so every sum is exact and no result
-depends on the partitioning. Statistics such as the symbol share are zero for
-most documents; a fixed ridge on the diagonal keeps the scatter regular, as in
-the regularised MCD.
+Spark reduces the vectors of a group to grid cells with exact moments: counts,
+sums and cross products, integers throughout, so nothing depends on the
+partitioning. The cells are as fine as keeps their number bounded; in a group
+of few distinct vectors every vector is a cell. One task a group then searches
+the half of least determinant: from several starts, concentration steps take
+the cells nearest by the last estimate, the last of them in part, until the
+determinant stops falling, and the least determinant wins.
+
+The scatter is regularised in two ways, neither tuned to data. One count more
+or less (a word, a character, a symbol, a repeated line, a repeated window) in
+a text of the group's median size is never evidence, so its square is added to
+the diagonal: many statistics are zero for most documents, and the half's own
+variance is then zero. And a group's estimate is averaged with that of its
+language, and a language's with that of the whole corpus, which weighs
+``PRIOR`` documents; so a group of any size has an estimate, and the more of
+its own the larger it is.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import DataFrame, functions as F
 
 from larkspan.llm import kernel
 from larkspan.session import materialize
@@ -27,12 +36,18 @@ U = np.uint64
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DIM = 5
 UNIT = 256
-#: Floor of the standard deviation of each transformed statistic.
-RIDGE = (0.8, 0.06, 0.75, 0.2, 0.15)
-MIN_GROUP = 50
-STEPS = 4
-#: 0.9999 quantile and median of chi-squared with five degrees of freedom.
-CHI2_CUT, CHI2_MEDIAN = 25.745, 4.3515
+#: Documents that the estimate of the wider group weighs.
+PRIOR = 10
+#: Cells of a group, to the accuracy of an approximate count, and how often their sides can double.
+CELLS, LEVELS = 16_384, 14
+#: Random starts beside the two deterministic ones, concentration steps before the best are chosen, and how many are followed to the end.
+STARTS, FIRST_STEPS, FOLLOWED, MOST_STEPS = 8, 2, 3, 100
+#: 0.9999 quantile of chi-squared with five degrees of freedom.
+CHI2_CUT = 25.745
+#: What makes the scatter of the nearest half consistent at the normal distribution in five dimensions.
+HALF_FACTOR = 1.913
+#: Words, and characters a word, that a text is thought to go on for, so that the mean of a short text strays less.
+SMOOTH_WORDS, USUAL_CHARS = 50, 5
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -73,10 +88,12 @@ def statistics(texts: kernel.Texts, rows: int, window: int = 8) -> dict:
 
 def _transformed() -> list:
     """The statistics as roughly symmetric values, in units of 1/UNIT."""
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
+    words = F.greatest(F.col("n_words"), F.lit(1))
+    chars = F.greatest(F.col("word_chars"), F.lit(1))
+    mean = (F.col("word_chars") + SMOOTH_WORDS * USUAL_CHARS) / (F.col("n_words") + SMOOTH_WORDS)
     values = (
         F.log1p(F.col("n_words")),
-        F.log(chars / words),
+        F.log(mean),
         F.log1p(1000 * F.col("n_symbols") / chars),
         F.sqrt(10 * F.col("n_dup_lines") / words),
         F.sqrt(F.col("n_repeat_words") / words),
@@ -84,114 +101,179 @@ def _transformed() -> list:
     return [F.round(v * UNIT).cast("long").alias(f"_x{i}") for i, v in enumerate(values)]
 
 
-def _distance():
-    """Squared Mahalanobis distance by the columns _m0.. (centre) and _a00.. (upper triangle of the precision)."""
-    d = [F.col(f"_x{i}") - F.col(f"_m{i}") for i in range(DIM)]
-    out = None
-    for i in range(DIM):
-        for j in range(i, DIM):
-            t = d[i] * d[j] * F.col(f"_a{i}{j}") * (1 if i == j else 2)
-            out = t if out is None else out + t
-    return out
+def grain(words: float, chars_a_word: float) -> np.ndarray:
+    """What one count more does to each transformed statistic of a text of ``words`` words."""
+    chars = max(1.0, words * chars_a_word)
+    words = max(1.0, words)
+    return np.array([1 / words, 1 / chars, np.log1p(1000 / chars), np.sqrt(10 / words), np.sqrt(8 / words)])
 
 
-_PARAMS = ", ".join(["_g1 string", "_g2 string", "_n long"] + [f"_m{i} double" for i in range(DIM)] + [f"_a{i}{j} double" for i in range(DIM) for j in range(i, DIM)])
+class Cells:
+    """The cells of one group: number of rows, mean, and scatter of the rows around the mean; in units of one."""
 
+    def __init__(self, n: np.ndarray, mean: np.ndarray, scatter: np.ndarray) -> None:
+        self.n, self.mean, self.scatter = n.astype(float), mean, scatter
+        self.total = float(self.n.sum())
+        self.half = float((int(self.total) + DIM + 1) // 2) if self.total > DIM else self.total
 
-def _params(g1, g2, n, centre: np.ndarray, cov: np.ndarray) -> tuple:
-    a = np.linalg.inv(cov + np.diag([(r * UNIT) ** 2 for r in RIDGE]))
-    return (g1, g2, n, *centre.tolist(), *(float(a[i, j]) for i in range(DIM) for j in range(i, DIM)))
+    def moments(self, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and covariance of ``share`` rows of each cell."""
+        w = share.sum()
+        m = share @ self.mean / w
+        d = self.mean - m
+        return m, ((d * share[:, None]).T @ d + np.tensordot(share / self.n, self.scatter, 1)) / w
 
+    def nearest(self, centre: np.ndarray, cov: np.ndarray) -> np.ndarray:
+        """How many rows of each cell the half nearest to ``centre`` takes; ties go to the first cell."""
+        d = self.mean - centre
+        order = np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d), kind="stable")
+        share = np.zeros(len(order))
+        share[order] = np.clip(self.half - np.concatenate([[0.0], np.cumsum(self.n[order])[:-1]]), 0, self.n[order])
+        return share
 
-def _start(x: DataFrame) -> DataFrame:
-    """Medians and scaled median absolute deviations of each group, from counts of distinct values."""
-    v = (
-        x.select("_g1", "_g2", F.posexplode(F.array(*[f"_x{i}" for i in range(DIM)])).alias("_d", "_v"))
-        .groupBy("_g1", "_g2", "_d", "_v").agg(F.count("*").alias("_c"))
-    )
-    g = ["_g1", "_g2", "_d"]
-
-    def lower_median(df, value, name):
-        w = Window.partitionBy(*g)
-        return (
-            df.withColumn("_s", F.sum("_c").over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)))
-            .withColumn("_t", F.sum("_c").over(w))
-            .groupBy(*g).agg(F.min(F.when(2 * F.col("_s") >= F.col("_t"), F.col(value))).alias(name), F.first("_t").alias("_n"))
-        )
-
-    med = lower_median(v, "_v", "_med")
-    off = v.join(med.drop("_n"), g).withColumn("_o", F.abs(F.col("_v") - F.col("_med")))
-    mad = lower_median(off.groupBy(*g, "_o").agg(F.sum("_c").alias("_c")), "_o", "_mad").drop("_n")
-    both = med.join(mad, g).groupBy("_g1", "_g2").agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("_d", "_med", "_mad"))).alias("_all"))
+    def median(self, axis: int) -> float:
+        order = np.argsort(self.mean[:, axis], kind="stable")
+        return float(self.mean[order[np.searchsorted(np.cumsum(self.n[order]), self.total / 2)], axis])
 
-    def fit(batches):
-        for pdf in batches:
-            yield pd.DataFrame(
-                [_params(r[0], r[1], r[2], np.array([float(t["_med"]) for t in r[3]]), np.diag([(1.4826 * float(t["_mad"])) ** 2 for t in r[3]])) for r in pdf.itertuples(index=False)],
-                columns=[c.split()[0] for c in _PARAMS.split(", ")],
-            )
 
-    return both.mapInPandas(fit, _PARAMS)
+def mcd(cells: Cells, pool: tuple | None = None, starts: int = STARTS, steps: int = MOST_STEPS) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """(centre, scatter, log determinant, rows taken of each cell) of the half of least determinant that was found.
 
-
-_BIN = 8  # histogram bins for each doubling of 1 + squared distance
+    ``pool`` is (centre, scatter) of a wider group. ``steps`` bounds the concentration steps; 0 leaves the first start as it is.
+    """
+    median = np.array([cells.median(i) for i in range(DIM)])
+    noise = np.diag(grain(np.expm1(median[0]), np.exp(median[1])) ** 2)
+    weight = PRIOR if pool else 0
+    own = cells.half / (cells.half + weight)
+
+    def fit(share):
+        m, s = cells.moments(share)
+        cov = own * HALF_FACTOR * s + (1 - own) * (pool[1] if pool else 0) + noise
+        return m, cov, float(np.linalg.slogdet(cov)[1])
+
+    def follow(m, cov, most):
+        share, least = None, np.inf
+        for _ in range(most):
+            taken = cells.nearest(m, cov)
+            m, cov, det = fit(taken)
+            if det >= least - 1e-9:
+                break
+            share, least = taken, det
+        return share, least
+
+    whole = cells.moments(cells.n)[1]
+    first = (median, np.diag(np.diag(whole)) + noise)
+    begin = [first, (median, whole + noise)]
+    rng = np.random.default_rng(len(cells.n))
+    if len(cells.n) > DIM + 1:
+        for _ in range(starts):
+            m = cells.mean[rng.choice(len(cells.n), DIM + 1, replace=False, p=cells.n / cells.total)]
+            begin.append((m.mean(0), np.cov(m.T, bias=True) + noise))
+    if steps:
+        tried = sorted((follow(m, c, min(steps, FIRST_STEPS)) for m, c in begin), key=lambda t: t[1])[:FOLLOWED]
+        share = min((follow(*fit(t[0])[:2], steps) for t in tried), key=lambda t: t[1])[0]
+    else:
+        share = cells.nearest(*first)
+    m, cov, det = fit(share)
+    if pool:
+        m = own * m + (1 - own) * pool[0]
+    return m, cov, det, share
+
+
+_UPPER = [(i, j) for i in range(DIM) for j in range(i, DIM)]
+_PARAMS = ["_k1 string", "_k2 string", *(f"_m{i} double" for i in range(DIM)), *(f"_s{i}{j} double" for i, j in _UPPER), *(f"_a{i}{j} double" for i, j in _UPPER)]
+_NAMES = [p.split()[0] for p in _PARAMS]
+
+
+def _square(values) -> np.ndarray:
+    out = np.zeros((DIM, DIM))
+    for (i, j), v in zip(_UPPER, values, strict=True):
+        out[i, j] = out[j, i] = v
+    return out
 
 
-def _binned(x: DataFrame, params: DataFrame) -> DataFrame:
-    d = x.join(params, ["_g1", "_g2"]).withColumn("_d2", _distance())
-    return d.withColumn("_bin", F.floor(F.log2(1 + F.col("_d2")) * _BIN))
+def _cells(x: DataFrame) -> DataFrame:
+    """Cells of every group (_k1, _k2) of ``x``: corner, side, count, sums and cross products of the rows' offsets."""
+    sketches = [F.approx_count_distinct(F.xxhash64(*[F.shiftright(f"_x{i}", k) for i in range(DIM)])).alias(f"_n{k}") for k in range(LEVELS)]
+    level = F.coalesce(*[F.when(F.col(f"_n{k}") <= CELLS, k) for k in range(LEVELS)], F.lit(LEVELS))
+    levels = x.groupBy("_k1", "_k2").agg(*sketches).select("_k1", "_k2", level.alias("_level"))
+    put = x.join(levels, ["_k1", "_k2"]).selectExpr("_k1", "_k2", "_level", *[f"shiftright(_x{i}, _level) AS _c{i}" for i in range(DIM)], *[f"_x{i}" for i in range(DIM)])
+    put = put.selectExpr("*", *[f"_x{i} - shiftleft(_c{i}, _level) AS _o{i}" for i in range(DIM)])
+    return put.groupBy("_k1", "_k2", "_level", *[f"_c{i}" for i in range(DIM)]).agg(
+        F.count("*").alias("_n"), *[F.sum(f"_o{i}").alias(f"_t{i}") for i in range(DIM)],
+        *[F.sum(F.col(f"_o{i}") * F.col(f"_o{j}")).alias(f"_p{i}{j}") for i, j in _UPPER],
+    )
 
 
-def _half(binned: DataFrame) -> DataFrame:
-    """The least bin of each group up to which at least half of its rows lie."""
-    c = binned.groupBy("_g1", "_g2", "_bin").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy("_g1", "_g2")
-    return (
-        c.withColumn("_s", F.sum("_c").over(w.orderBy("_bin").rangeBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_t", F.sum("_c").over(w))
-        .groupBy("_g1", "_g2").agg(F.min(F.when(2 * F.col("_s") >= F.col("_t"), F.col("_bin"))).alias("_cut"))
-    )
+def _fit_group(pdf: pd.DataFrame, starts: int, steps: int) -> pd.DataFrame:
+    """The parameters of one group from its cells, which carry those of the wider group in _m*, _s* (null for none)."""
+    pdf = pdf.sort_values([f"_c{i}" for i in range(DIM)], kind="stable")
+    n = pdf["_n"].to_numpy(float)
+    sums = pdf[[f"_t{i}" for i in range(DIM)]].to_numpy(float)
+    side = 2.0 ** pdf["_level"].to_numpy()[:, None]
+    mean = (pdf[[f"_c{i}" for i in range(DIM)]].to_numpy(float) * side + sums / n[:, None]) / UNIT
+    cross = np.stack([_square(r) for r in pdf[[f"_p{i}{j}" for i, j in _UPPER]].to_numpy(float)])
+    scatter = (cross - sums[:, :, None] * sums[:, None, :] / n[:, None, None]) / UNIT**2
+    first = pdf.iloc[0]
+    pool = None
+    if not np.isnan(first["_m0"]):
+        pool = first[[f"_m{i}" for i in range(DIM)]].to_numpy(float), _square(first[[f"_s{i}{j}" for i, j in _UPPER]].to_numpy(float))
+    m, cov, _, _ = mcd(Cells(n, mean, scatter), pool, starts, steps)
+    a = np.linalg.inv(cov)
+    row = [first["_k1"], first["_k2"], *m, *(cov[i, j] for i, j in _UPPER), *(a[i, j] for i, j in _UPPER)]
+    return pd.DataFrame([row], columns=_NAMES)
+
+
+def _fit(x: DataFrame, k1, k2, wider, pool: DataFrame | None, starts: int, steps: int) -> DataFrame:
+    """Parameters of the groups that the columns ``k1`` and ``k2`` make.
+
+    ``pool`` holds those of the wider groups; ``wider`` of ``_k1`` names a group's.
+    """
+    cells = _cells(x.select(k1.alias("_k1"), k2.alias("_k2"), *[f"_x{i}" for i in range(DIM)]))
+    names = [n for n in _NAMES if n[1] in "ms"]
+    if pool is None:
+        cells = cells.select("*", *[F.lit(None).cast("double").alias(n) for n in names])
+    else:
+        wide = pool.select(F.col("_k1").alias("_w"), *names)
+        cells = cells.join(wide, wider == F.col("_w"), "left").drop("_w")
+    return materialize(cells.groupBy("_k1", "_k2").applyInPandas(lambda pdf: _fit_group(pdf, starts, steps), ", ".join(_PARAMS)), "mcd")
 
 
-def _concentrate(x: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of the nearer half of each group."""
-    binned = _binned(x, params)
-    inner = binned.join(_half(binned), ["_g1", "_g2"]).where(F.col("_bin") <= F.col("_cut"))
-    sums = [F.sum(f"_x{i}").alias(f"s{i}") for i in range(DIM)]
-    cross = [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"c{i}{j}") for i in range(DIM) for j in range(i, DIM)]
-    total = inner.groupBy("_g1", "_g2").agg(F.max("_n").alias("_n"), F.count("*").alias("_h"), *sums, *cross)
+def _distance():
+    """Squared Mahalanobis distance by the columns _m0.. (centre) and _a00.. (upper triangle of the precision)."""
+    d = [F.col(f"_x{i}") / UNIT - F.col(f"_m{i}") for i in range(DIM)]
+    out = None
+    for i, j in _UPPER:
+        t = d[i] * d[j] * F.col(f"_a{i}{j}") * (1 if i == j else 2)
+        out = t if out is None else out + t
+    return out
 
-    def fit(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                m = np.array([r[f"s{i}"] / r["_h"] for i in range(DIM)])
-                cov = np.array([[r[f"c{min(i, j)}{max(i, j)}"] / r["_h"] - m[i] * m[j] for j in range(DIM)] for i in range(DIM)])
-                rows.append(_params(r["_g1"], r["_g2"], r["_n"], m, cov))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PARAMS.split(", ")])
 
-    return total.mapInPandas(fit, _PARAMS)
+def _key(name: str):
+    """A group's key: a null is a group of its own."""
+    return F.when(F.col(name).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(name)))
 
 
 def robust_outliers(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    min_words: int = 20, repeat_percent: int = 30, cut: float = CHI2_CUT, min_group: int = MIN_GROUP, steps: int = STEPS,
+    min_words: int = 20, repeat_percent: int = 30, cut: float = CHI2_CUT, starts: int = STARTS, steps: int = MOST_STEPS,
 ) -> DataFrame:
     """Base statistics, base rules and the MCD verdict for every row of ``docs``.
 
     Returns the id, the five statistics, ``base_failed``, ``kept`` and
-    ``distance`` (squared, scaled so that the median of a group is that of
-    chi-squared). A null text has no words, so it fails the base rules; a null
-    language or source is a group of its own. Groups of fewer than
-    ``min_group`` rows are pooled by language, and what is then still small is
-    pooled over languages; a pool that is small even so rejects nothing and has
-    a null distance. An empty table gives an empty result, repeated rows count
-    as often as they occur, and other columns are not read.
-
-    The table of group estimates has one row for each group with
-    ``min_group`` rows; Spark broadcasts it only where its size is under
-    ``spark.sql.autoBroadcastJoinThreshold`` and otherwise splits hot groups of
-    the shuffled join.
+    ``distance`` (squared Mahalanobis distance to the row's own language and
+    source, null where no document of that group passes the base rules). The
+    estimates are of the documents that pass the base rules. A null text has
+    no words, so it fails them; so does an empty one. A very long text is one
+    row like any other. A null language or source is a group of its own; a
+    group of one document has an estimate, near its language's. Documents of
+    equal statistics get equal verdicts; repeated rows count as often as they
+    occur, null and repeated ids are carried through. An empty table gives an
+    empty result; other columns are not read, whatever their names.
+
+    The statistics are written to the scratch folder while the plan is built,
+    and the estimates are fitted then. A group reaches its task as at most
+    about ``CELLS`` cells, whatever its size.
     """
     src = docs.select(
         F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"),
@@ -202,29 +284,18 @@ def robust_outliers(
         src, ["_id", "_lang", "_source"], "_text", statistics,
         f"_id {id_type}, _lang string, _source string, " + ", ".join(f"{c} long" for c in BASE),
     ), "stats")
-    null = "\x00null"
-    named = stats.withColumns({"_l": F.coalesce("_lang", F.lit(null)), "_s": F.coalesce("_source", F.lit(null))})
-    sizes = named.groupBy("_l", "_s").agg(F.count("*").alias("_c"))
-    small = F.when(F.col("_c") < min_group, F.lit("\x00rest")).otherwise(F.col("_s"))
-    groups = sizes.withColumn("_g2", small)
-    pooled = F.sum("_c").over(Window.partitionBy("_l", "_g2"))
-    groups = groups.withColumn("_g1", F.when(pooled < min_group, F.lit("\x00rest")).otherwise(F.col("_l")))
-    groups = groups.withColumn("_all", F.sum("_c").over(Window.partitionBy("_g1", "_g2"))).where(F.col("_all") >= min_group)
-    groups = materialize(groups.select("_l", "_s", "_g1", "_g2"), "groups")
-    x = named.select("_l", "_s", *_transformed()).join(groups, ["_l", "_s"]).drop("_l", "_s")
-    params = materialize(_start(x), "mcd")
-    for _ in range(steps):
-        params = materialize(_concentrate(x, params), "mcd")
-    half = _half(_binned(x, params)).withColumn("_median", F.pow(F.lit(2.0), (F.col("_cut") + 0.5) / _BIN) - 1)
-    scale = params.join(half, ["_g1", "_g2"]).withColumn("_scale", F.lit(CHI2_MEDIAN) / F.greatest("_median", F.lit(CHI2_MEDIAN)))
-    final = materialize(groups.join(scale.drop("_cut", "_median"), ["_g1", "_g2"]).drop("_g1", "_g2"), "mcd")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+    named = stats.select("*", _key("_lang").alias("_l"), _key("_source").alias("_s"), failed.alias("base_failed"), *_transformed())
+    x, every = named.where("NOT base_failed"), F.lit("all")
+    corpus = _fit(x, every, every, None, None, starts, steps)
+    languages = _fit(x, F.col("_l"), every, every, corpus, starts, steps)
+    groups = _fit(x, F.col("_l"), F.col("_s"), F.col("_k1"), languages, starts, steps)
+    params = groups.select(F.col("_k1").alias("_l"), F.col("_k2").alias("_s"), *[n for n in _NAMES if n[1] in "ma"])
     return (
-        named.select("*", *_transformed()).join(final, ["_l", "_s"], "left")
-        .withColumns({"base_failed": failed, "distance": F.round(_distance() * F.col("_scale"), 6)})
+        named.join(params, ["_l", "_s"], "left").withColumn("distance", F.round(_distance(), 6))
         .select(
             F.col("_id").alias(id_col), *BASE, "base_failed",
-            (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)).alias("kept"), "distance",
+            (~F.col("base_failed") & (F.col("distance") <= cut)).alias("kept"), "distance",
         )
     )
 

@@ -65,7 +65,7 @@ def words(t):
 
 
 def test_statistics(docs, rows):
-    out = by_id(outliers.robust_outliers(docs, min_group=10), *outliers.BASE, "base_failed", "kept")
+    out = by_id(outliers.robust_outliers(docs), *outliers.BASE, "base_failed", "kept")
     for i, t, *_ in rows:
         w = words(t)
         lines = [x for x in (t or "").split("\n") if WORD.search(x)]
@@ -335,8 +335,10 @@ def test_substrings(docs, rows):
 
 
 def test_factors_join_at_boundaries():
-    assert list(substrings.factors([1, 2, 3, 10, 50], 35)) == [(1, 38), (10, 45), (50, 85)]
-    assert substrings.spans([1, 2, 3, 10, 50], 35) == [(1, 45), (50, 85)]
+    found = [(1, 101), (2, 102), (3, 103), (4, 900), (10, 906), (11, 907), (50, 0)]
+    parsed = list(substrings.factors(found, 35))
+    assert parsed == [(1, 38, 101), (4, 39, 900), (10, 46, 906), (50, 85, 0)]
+    assert substrings.spans(parsed) == [(1, 46), (50, 85)]
 
 
 def test_windows_of_any_length():
