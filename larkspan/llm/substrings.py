@@ -193,7 +193,7 @@ def _map(df: DataFrame, fn, schema: str, which) -> DataFrame:
     def run(batches):
         for b in batches:
             b = b.filter(pc.fill_null(which(b), False))
-            for i, j, column in _unpacked(b.column(2)):
+            for i, j, column in _unpacked(b.column(3)):
                 for k, n, texts in kernel.chunks(column, 1 << 62):
                     yield fn(b.slice(i + k, n - k), texts)
 
@@ -227,18 +227,18 @@ def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     base = _pack(src.drop("key"), f"r1 long, r2 long, _id {id_type}, text binary").join(flags.hint("shuffle_hash"), ["r1", "r2"], "left")
 
-    # Every reader takes all rows of ``base`` and skips inside Python what it has no use for: a filter or an inner join
-    # would be pushed below the exchange of the text, which then could not be shared.
+    # Every reader takes all rows and columns of ``base`` and skips inside Python what it has no use for: a filter, an inner
+    # join or a shorter row would be pushed below the exchange of the text, which then could not be shared.
     def lent(batch, texts):
         return _find_anchors(batch, texts, window)
 
     def lookup(batch, texts):
-        return _find_blocks(batch, texts, batch.column(4).to_pylist(), window)
+        return _find_blocks(batch, texts, batch.column(6).to_pylist(), window)
 
-    anchor = _map(base.select("r1", "r2", "text", "lends"), lent, "r1 long, r2 long, pos int, h long", lambda b: b.column(3))
+    anchor = _map(base, lent, "r1 long, r2 long, pos int, h long", lambda b: b.column(5))
     at = _again(anchor, ["h"]).groupBy("r1", "r2").agg(F.collect_list("pos").alias("at"))
-    near = base.join(at.hint("shuffle_hash"), ["r1", "r2"], "left").select("r1", "r2", "text", "lends", "at")
-    blocks = _map(near, lookup, "r1 long, r2 long, start int, d1 long, d2 long", lambda b: pc.and_(b.column(3), pc.is_valid(b.column(4))))
+    near = base.join(at.hint("shuffle_hash"), ["r1", "r2"], "left")
+    blocks = _map(near, lookup, "r1 long, r2 long, start int, d1 long, d2 long", lambda b: pc.and_(b.column(5), pc.is_valid(b.column(6))))
     last = (1 << POSITION_BITS) - 1
     place = F.shiftleft(F.shiftrightunsigned("r1", POSITION_BITS + 1), POSITION_BITS) + F.least(F.col("start"), F.lit(last))
     found = _again(blocks, ["d1", "d2"], F.min(place).alias("least"), F.max(place).alias("greatest"))
@@ -263,7 +263,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     not read, whatever their names.
     """
     base, found = repeated_blocks(docs, id_col, text_col, window)
-    joined = base.join(found.hint("shuffle_hash"), ["r1", "r2"], "left").select("_id", "text", "copies", "blocks")
+    joined = base.join(found.hint("shuffle_hash"), ["r1", "r2"], "left")
     id_type = joined.schema["_id"].dataType.simpleString()
     span = [("first", pa.int32()), ("end", pa.int32())]
 
@@ -271,7 +271,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         unzip = zstandard.ZstdDecompressor().decompress
         for b in batches:
             n_words, n_removed, kept, where, parsed = [], [], [], [], []
-            for text, copies, blocks in zip(b.column(1), b.column(2), b.column(3), strict=True):
+            for text, copies, blocks in zip(b.column(3), b.column(4), b.column(6), strict=True):
                 words = WORD.findall(unzip(text.as_py()).decode("utf-8") if text.is_valid else "")
                 factor = []
                 if (copies.as_py() or 1) > 1 and len(words) >= window:
@@ -292,7 +292,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 where.append([{"first": a, "end": e} for a, e in cover])
                 parsed.append([{"first": a, "end": e, "place": s} for a, e, s in factor])
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()),
+                b.column(2), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()),
                 pa.array(where, pa.list_(pa.struct(span))), pa.array(parsed, pa.list_(pa.struct([*span, ("place", pa.int64())]))),
             ], names=["_id", "n_words", "n_removed", "kept", "spans", "factors"])
 
