@@ -7,11 +7,16 @@ phrases. The number of phrases, times the logarithm of the length of the
 reference, divided by the length of the document, estimates the cross entropy;
 the language that needs least wins.
 
-The greedy parse only ever asks for the next state, so an automaton becomes a
-dense table that also says how many phrases end on a step. Documents advance
-through all languages' tables together, one numpy gather per symbol for
-thousands of lanes. A lane is at most ``SEGMENT`` symbols; a longer document is
-parsed as several lanes and its phrases add up, so every text is parsed whole.
+Whole texts of the sampled documents make the automata, over all their letters.
+An automaton has at most three transitions a symbol, so those of all languages
+are kept in one open-addressing hash table, and thousands of lanes of documents
+advance through all languages together, a few numpy operations a symbol.
+
+A lane is at most ``SEGMENT`` symbols. A longer document is parsed as several
+lanes that all start a phrase; then the true parse of the lane before is
+carried into each lane until it starts a phrase where the lane's own parse
+starts one, from where the two are one. So every text has the phrases of one
+greedy parse from its first symbol to its last.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -26,17 +32,20 @@ from larkspan.llm import kernel
 from larkspan.session import ship
 
 UNDETERMINED = "und"
-#: Reference symbols of one language, and of all together.
-LANGUAGE_SYMBOLS, MODEL_SYMBOLS = 10_000, 160_000
-#: Labelled documents read for one language, and symbols taken of each.
-SAMPLE_DOCS, SAMPLE_SYMBOLS = 48, 1_000
+#: Labelled documents that teach one language; they are learned whole.
+SAMPLE_DOCS = 24
 SEGMENT = 1024
-CHUNK = 1 << 22
-_SHIFT = 28
-_MASK = (1 << _SHIFT) - 1
+#: Symbols times languages parsed at once.
+CHUNK = 1 << 23
+#: Phrases that the two ends of a text may cost beyond what its language explains.
+ENDS = 2
+_NEXT, _SYMBOL = 24, 16
+_MASK = np.uint64((1 << _NEXT) - 1)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_EMPTY = np.uint64((1 << 64) - 1)
 
 
-def suffix_automaton(text: bytes) -> list[dict[int, int]]:
+def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     """Transitions of the automaton that reads exactly the substrings of ``text``; state 0 is the start."""
     step, link, length = [{}], [-1], [0]
     last = 0
@@ -66,132 +75,209 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
     return step
 
 
-class Alphabet:
-    """Symbols: 0 for anything but letters, 1.. for the reference's letters in lower case, the last for other letters."""
+def letters(text: str) -> list[int]:
+    """The symbols of reference text: letters in lower case by code point, and 0 for a run of anything else."""
+    out = [0]
+    for ch in text:
+        if ch.isalpha():
+            low = ch.lower()
+            out.append(ord(low) if len(low) == 1 else ord(ch))
+        elif out[-1]:
+            out.append(0)
+    return out
 
-    def __init__(self, texts: list[str], limit: int = 200) -> None:
-        seen: dict[str, int] = {}
-        for t in texts:
-            for ch in t.lower():
-                if ch.isalpha():
-                    seen[ch] = seen.get(ch, 0) + 1
-        letters = sorted(sorted(seen, key=lambda c: (-seen[c], c))[:limit])
-        self.size = len(letters) + 2
-        self.table = np.zeros(0x110000, np.uint8)
-        self.table[[i for i in range(0x110000) if chr(i).isalpha()]] = self.size - 1
-        for k, ch in enumerate(letters, 1):
-            for form in {ch, ch.upper()}:
-                if len(form) == 1:
-                    self.table[ord(form)] = k
 
-    def symbols(self, text: str) -> np.ndarray:
-        """The symbols of ``text``, runs of 0 as one."""
-        s = self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        keep = np.ones(len(s), bool)
-        keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
-        return s[keep]
+class Model:
+    """Automata of all languages.
 
+    ``parts`` maps a language to (length of its reference, transitions as rows
+    of state, code point, next state).
+    """
 
-class Model:
-    """The tables of all languages in one array."""
-
-    def __init__(self, samples: dict[str, list[str]]) -> None:
-        self.languages = sorted(samples)
-        self.alphabet = Alphabet([t[: 4 * SAMPLE_SYMBOLS] for ts in samples.values() for t in ts])
-        a = self.alphabet.size
-        limit = min(LANGUAGE_SYMBOLS, MODEL_SYMBOLS // max(1, len(samples)))
-        tables, base, self.start, self.bits = [], 0, [], []
-        for lang in self.languages:
-            part = [self.alphabet.symbols(" " + t)[:SAMPLE_SYMBOLS] for t in samples[lang]]
-            text = np.concatenate(part)[:limit] if part else np.zeros(0, np.uint8)
-            steps = suffix_automaton(text[text != a - 1].tobytes())
-            root = np.array([steps[0].get(c, -1) for c in range(a)])
-            # after a phrase ends, its next symbol starts a phrase from the root, or is one by itself
-            known = root >= 0
-            table = np.tile(np.where(known, (root * a + base) | (1 << _SHIFT), base | (2 << _SHIFT)), (len(steps), 1)).astype(np.int32)
-            table[0] = np.where(known, root * a + base, base | (1 << _SHIFT))
-            for s, step in enumerate(steps):
-                for c, to in step.items():
-                    table[s, c] = to * a + base
-            tables.append(table.ravel())
+    def __init__(self, parts: dict[str, tuple[int, np.ndarray]]) -> None:
+        self.languages = sorted(parts)
+        points = np.unique(np.concatenate([np.zeros(1, np.int64), *(parts[k][1][:, 1] for k in self.languages)]))
+        self.size = len(points) + 1  # 0 for anything but letters, the reference's letters, and one for other letters
+        if self.size >= 1 << _SYMBOL:
+            raise ValueError("more letters than there are symbols")
+        self.table = np.zeros(0x110000, np.uint16)
+        self.table[[i for i in range(0x110000) if chr(i).isalpha()]] = self.size - 1
+        for k, point in enumerate(points[1:].tolist(), 1):
+            for form in {chr(point), chr(point).upper()}:
+                if len(form) == 1:
+                    self.table[ord(form)] = k
+        self.root = np.full((len(self.languages), self.size), -1, np.int64)
+        self.start, self.bits, keys, to = [], [], [], []
+        base = 0
+        for row, lang in enumerate(self.languages):
+            length, steps = parts[lang]
+            symbol = np.searchsorted(points, steps[:, 1])
+            keys.append(((steps[:, 0] + base) << _SYMBOL) | symbol)
+            to.append(steps[:, 2] + base)
+            first = steps[:, 0] == 0
+            self.root[row, symbol[first]] = steps[first, 2] + base
             self.start.append(base)
-            self.bits.append(math.log2(max(2, len(text))))
-            base += table.size
-        if base > _MASK:
-            raise ValueError("the language model outgrows its table")
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-
-    def phrases(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Phrases (language, lane) that the greedy parse of each lane needs."""
+            self.bits.append(math.log2(max(2, length)))
+            base += int(steps[:, 2].max(initial=0)) + 1
+        if base >= 1 << _NEXT:
+            raise ValueError("more states than the table can number")
+        self._enter(np.concatenate([np.zeros(0, np.int64), *keys]).astype(np.uint64), np.concatenate([np.zeros(0, np.int64), *to]).astype(np.uint64))
+
+    def _enter(self, keys: np.ndarray, to: np.ndarray) -> None:
+        size = 1 << max(4, (4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - size.bit_length() + 1)
+        self.slots = np.full(size + 1, _EMPTY)
+        at = ((keys * _SPREAD) >> self.shift).astype(np.int64)
+        value = (keys << np.uint64(_NEXT)) | to
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.slots[at[left]] == _EMPTY]
+            self.slots[at[free]] = value[free]  # of several keys for one slot the last stays
+            left = left[self.slots[at[left]] != value[left]]
+            at[left] = (at[left] + 1) % size
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(language, lane): the next states, and where a phrase starts with this symbol."""
+        key = np.ascontiguousarray((state.astype(np.uint64) << np.uint64(_SYMBOL)) | symbol.astype(np.uint64))
+        at = ((key * _SPREAD) >> self.shift).astype(np.int64)
+        slot = self.slots.take(at)
+        miss = (slot >> np.uint64(_NEXT)) != key
+        todo = np.flatnonzero(miss & (slot != _EMPTY))
+        while len(todo):
+            to = (at.ravel()[todo] + 1) % (len(self.slots) - 1)
+            at.ravel()[todo] = to
+            seen = self.slots.take(to)
+            hit = (seen >> np.uint64(_NEXT)) == key.ravel()[todo]
+            slot.ravel()[todo[hit]] = seen[hit]
+            miss.ravel()[todo[hit]] = False
+            todo = todo[~hit & (seen != _EMPTY)]
+        home = np.array(self.start, np.int64)[:, None]
+        begins = miss | (state == home)
+        root = self.root[:, symbol]
+        return np.where(miss, np.where(root < 0, home, root), (slot & _MASK).astype(np.int64)), begins
+
+    def phrases(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Phrases (language, text) of the greedy parse of each text; ``at`` has the start of each and the end of the last."""
+        size = np.diff(at)
+        pieces = -(-size // SEGMENT)
+        owner = np.repeat(np.arange(len(size)), pieces)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = at[owner] + nth * SEGMENT
+        length = np.minimum(SEGMENT, at[owner + 1] - start)
+        begins = np.zeros((len(self.languages), len(symbols)), bool)
+        last = np.repeat(np.array(self.start, np.int64)[:, None], len(start), axis=1)
         order = np.argsort(-length, kind="stable")
-        start, length = start[order], length[order]
-        home = np.array(self.start, np.int32)[:, None]
-        state = np.repeat(home, len(start), axis=1)
-        count = np.zeros(state.shape, np.int32)
-        active = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), side="right")
-        for t, k in enumerate(active):
-            v = self.table.take(state[:, :k] + symbols[start[:k] + t])
-            count[:, :k] += v >> _SHIFT
-            np.bitwise_and(v, _MASK, out=state[:, :k])
-        count += state != home
-        out = np.empty_like(count)
-        out[:, order] = count
-        return out
-
-    def predict(self, texts: kernel.Texts, rows: int) -> dict:
+        state = last[:, order]
+        for t in range(int(length.max(initial=0))):
+            k = int(np.searchsorted(-length[order], -t, side="left"))
+            where = start[order[:k]] + t
+            state[:, :k], begins[:, where] = self._step(state[:, :k], symbols[where])
+        last[:, order] = state
+        follows = np.flatnonzero(nth > 0)
+        while len(follows):
+            follows = self._carry(symbols, begins, last, follows, start, length)
+        sums = np.concatenate([np.zeros((len(begins), 1), np.int64), np.cumsum(begins, axis=1, dtype=np.int64)], axis=1)
+        return sums[:, at[1:]] - sums[:, at[:-1]]
+
+    def _carry(self, symbols, begins, last, lanes, start, length) -> np.ndarray:
+        """Carry the parse of the lane before into each of ``lanes``; the lanes behind those whose end that changes."""
+        state, changed = last[:, lanes - 1].copy(), np.zeros(len(lanes), bool)
+        open_ = np.ones(state.shape, bool)
+        active = np.arange(len(lanes))
+        for t in range(SEGMENT):
+            ended = active[length[lanes[active]] == t]
+            if len(ended):
+                moved = open_[:, ended] & (last[:, lanes[ended]] != state[:, ended])
+                last[:, lanes[ended]] = np.where(open_[:, ended], state[:, ended], last[:, lanes[ended]])
+                changed[ended] = moved.any(axis=0)
+            active = active[(length[lanes[active]] > t) & open_[:, active].any(axis=0)]
+            if not len(active):
+                break
+            where = start[lanes[active]] + t
+            nxt, new = self._step(state[:, active], symbols[where])
+            own = begins[:, where]
+            still = open_[:, active] & ~(new & own)
+            begins[:, where] = np.where(still, new, own)
+            state[:, active], open_[:, active] = nxt, still
+        if len(active):
+            moved = open_[:, active] & (last[:, lanes[active]] != state[:, active])
+            last[:, lanes[active]] = np.where(open_[:, active], state[:, active], last[:, lanes[active]])
+            changed[active] = moved.any(axis=0)
+        after = lanes[changed] + 1
+        after = after[after < len(start)]
+        return after[start[after] == start[after - 1] + SEGMENT] if len(after) else after
+
+    def symbols(self, texts: kernel.Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of the texts, runs of 0 as one, and where each text's begin."""
         points = np.frombuffer(texts.buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         at = np.concatenate([[0], np.cumsum((texts.buf & 0xC0) != 0x80)])[texts.at]
-        s = self.alphabet.table[points]
+        s = self.table[points]
         keep = np.ones(len(s), bool)
         keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
         keep[at[:-1][at[:-1] < len(s)]] = True
-        at = np.concatenate([[0], np.cumsum(keep)])[at]
-        s = s[keep].astype(np.int32)
-        letters = np.diff(np.concatenate([[0], np.cumsum(s > 0)])[at])
-        size = np.diff(at)
-        pieces = np.maximum(1, -(-size // SEGMENT))
-        owner = np.repeat(np.arange(rows), pieces)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = at[owner] + nth * SEGMENT
-        length = np.minimum(SEGMENT, at[owner + 1] - start)
+        return s[keep].astype(np.int64), np.concatenate([[0], np.cumsum(keep)])[at]
+
+    def predict(self, texts: kernel.Texts, rows: int) -> dict:
+        """``lang_pred``, ``score``, ``bits`` a symbol and ``told``, whether the best language explains the text at all."""
+        s, at = self.symbols(texts)
+        has = np.diff(np.concatenate([[0], np.cumsum(s > 0)])[at]) > 0
         if not self.languages:
-            return {"lang_pred": [UNDETERMINED] * rows, "score": np.zeros(rows), "bits": np.zeros(rows)}
-        count = np.add.reduceat(self.phrases(s, start, length), np.cumsum(pieces) - pieces, axis=1)
-        bits = count * np.array(self.bits)[:, None] / np.maximum(1, size)
+            return {"lang_pred": [UNDETERMINED] * rows, "score": np.zeros(rows), "bits": np.zeros(rows), "told": np.zeros(rows, bool)}
+        size = np.maximum(1, np.diff(at))
+        count, cost = self.phrases(s, at), np.array(self.bits)[:, None]
+        bits = count * cost / size
         best = bits.argmin(axis=0)
         least = bits[best, np.arange(rows)]
-        second = np.partition(bits, 1, axis=0)[1] if len(bits) > 1 else np.full(rows, math.log2(self.alphabet.size))
+        random = math.log2(self.size)
+        second = np.partition(bits, 1, axis=0)[1] if len(bits) > 1 else np.full(rows, random)
         score = np.clip(1 - least / np.maximum(second, 1e-12), 0, 1)
-        ok = letters > 0
+        told = has & (np.maximum(count - ENDS, 0) * cost < random * size).any(axis=0)
         return {
-            "lang_pred": [self.languages[b] if f else UNDETERMINED for b, f in zip(best, ok, strict=True)],
-            "score": np.where(ok, score, 0.0), "bits": np.where(ok, least, 0.0),
+            "lang_pred": [self.languages[b] if f else UNDETERMINED for b, f in zip(best, has, strict=True)],
+            "score": np.where(has, score, 0.0), "bits": np.where(has, least, 0.0), "told": told,
         }
 
 
 def held_out(id_col):
-    """Whether a document is kept from learning: crc32 of its id as text, modulo 4, is 2."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2
+    """Whether a document is kept from learning: crc32 of its id as text, modulo 4, is 2; a null id is kept from it too."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(True))
+
 
+def learn(texts: list[str]) -> tuple[int, np.ndarray]:
+    """Length and transitions (state, code point, next state) of the automaton of ``texts``."""
+    symbols = [c for t in texts for c in letters(t)]
+    steps = suffix_automaton(symbols)
+    rows = [(s, c, to) for s, step in enumerate(steps) for c, to in step.items()]
+    return len(symbols), np.array(rows, np.int64).reshape(-1, 3)
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from labelled rows that are not held out.
 
-    At most ``SAMPLE_DOCS`` documents of each language, those of the least hash
-    of the id, give at most ``SAMPLE_SYMBOLS`` symbols each; the references hold
-    ``MODEL_SYMBOLS`` symbols together whatever the number of languages.
+    ``sample_docs`` documents of each language, those of the least hash of the
+    id that have a text, are learned whole, each language in a task of its own; the driver
+    receives the automata.
     """
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
-    chosen = (
-        docs.select(id_col, lang_col).where(F.col(lang_col).isNotNull() & ~held_out(id_col))
-        .withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE_DOCS).select(id_col, lang_col).collect()
-    )
-    lang = {r[0]: r[1] for r in chosen}
-    texts = docs.where(F.col(id_col).isin(list(lang))).select(id_col, F.substring(text_col, 1, 4 * SAMPLE_SYMBOLS)).collect() if lang else []
-    samples: dict[str, list[str]] = {}
-    for i, t in sorted((r[0], r[1]) for r in texts if r[1]):
-        samples.setdefault(lang[i], []).append(t)
-    return Model(samples)
+    src = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"), (~held_out(id_col)).alias("o"))
+    usable = src.where("l IS NOT NULL AND o AND length(t) > 0")
+    h = F.xxhash64("i", F.md5("t"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    chosen = usable.select("l", h.alias("h")).withColumn("r", rank).where(F.col("r") <= sample_docs).select("h").collect()
+    if not chosen:
+        return Model({})
+    ship(docs.sparkSession)
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, steps = learn(pdf.sort_values("h")["t"].tolist())
+        return pd.DataFrame({"l": [pdf["l"].iloc[0]], "n": [n], "steps": [steps.astype("<i4").tobytes()]})
+
+    picked = usable.select("l", "t", h.alias("h")).where(F.col("h").isin([r[0] for r in chosen])).dropDuplicates(["l", "h"])
+    parts = picked.groupBy("l").applyInPandas(build, "l string, n long, steps binary").collect()
+    return Model({r["l"]: (r["n"], np.frombuffer(r["steps"], "<i4").reshape(-1, 3).astype(np.int64)) for r in parts})
+
+
+def _over(model: Model) -> int:
+    return max(1 << 16, CHUNK // max(1, len(model.languages)))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,18 +287,19 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     has no letter or nothing was learned; ``score`` is 1 less the ratio of the
     best estimate to the second best, from 0 to 1; ``bits`` is the best
     estimate, in bits a symbol. Ties go to the first language by name. Empty
-    tables give empty results, repeated rows equal results, and other columns
-    are not read.
+    tables give empty results, repeated rows equal results, null ids are
+    carried through, very long texts are parsed whole, and other columns are
+    not read, whatever their names.
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by MODEL_SYMBOLS
+    shared = spark.sparkContext.broadcast(model)  # bounded by the rows learned
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         m = shared.value
         for b in batches:
-            for i, j, texts in kernel.chunks(b.column(1), CHUNK):
+            for i, j, texts in kernel.chunks(b.column(1), _over(m)):
                 new = m.predict(texts, j - i)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), *(pa.array(new[k]) for k in ("lang_pred", "score", "bits"))],
@@ -226,22 +313,24 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language can be told, with all their columns.
 
-    Rejects what ``predict`` calls ``und`` and texts that the best language does
-    not describe at all: whose estimate reaches the bits of a symbol drawn at
-    random from the alphabet.
+    Rejects what ``predict`` calls ``und`` (null, empty and letterless texts)
+    and texts that no language describes at all: whose phrases, less ``ENDS`` of
+    them, cost as many bits as symbols drawn at random from the alphabet. Very
+    long texts are parsed whole; repeated rows share their verdict; null ids
+    need no care; an empty table gives an empty result; columns of any names
+    pass through.
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by MODEL_SYMBOLS
+    shared = spark.sparkContext.broadcast(model)  # bounded by the rows learned
     at = docs.columns.index(text_col)
 
     def run(batches):
         m = shared.value
         for b in batches:
-            for i, j, texts in kernel.chunks(b.column(at), CHUNK):
+            for i, j, texts in kernel.chunks(b.column(at), _over(m)):
                 new = m.predict(texts, j - i)
-                told = np.array([x != UNDETERMINED for x in new["lang_pred"]], bool)
-                yield b.slice(i, j - i).filter(pa.array(told & (new["bits"] < math.log2(m.alphabet.size))))
+                yield b.slice(i, j - i).filter(pa.array(new["told"]))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -221,31 +221,55 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert bins.place(4, 8, 4)[0] == 2  # bin 1 has the cluster; bin 2 has room 7
 
 
-def slow_parse(model, lang, symbols):
-    text = model.reference[lang]
+def slow_parse(reference, symbols):
     n, at = 0, 0
     while at < len(symbols):
         k = 1
-        while at + k <= len(symbols) and symbols[at : at + k] in text:
+        while at + k <= len(symbols) and symbols[at : at + k] in reference:
             k += 1
         at += max(1, k - 1)
         n += 1
     return n
 
 
-def test_cross_parsing_counts_phrases():
+def test_cross_parsing_counts_phrases(monkeypatch):
+    import numpy as np
+
     rnd = random.Random(5)
-    a = ["".join(rnd.choice("abc ") for _ in range(300)) for _ in range(3)]
-    model = langid.Model({"x": a[:2], "y": a[2:]})
-    samples = {"x": a[:2], "y": a[2:]}
-    unknown = model.alphabet.size - 1
-    model.reference = {k: b"".join(model.alphabet.symbols(" " + t).tobytes()[: langid.SAMPLE_SYMBOLS] for t in v).replace(bytes([unknown]), b"") for k, v in samples.items()}
-    for _ in range(20):
-        s = model.alphabet.symbols("".join(rnd.choice("abcq ") for _ in range(rnd.randint(1, 60))))
-        import numpy as np
-
-        got = model.phrases(s.astype(np.int32), np.array([0]), np.array([len(s)]))[:, 0]
-        assert list(got) == [slow_parse(model, k, s.tobytes()) for k in model.languages]
+    monkeypatch.setattr(langid, "SEGMENT", 16)
+    for letters in ("abc ", "ab", [chr(c) for c in range(0x4E00, 0x5300)]):
+        parts = {k: ["".join(rnd.choice(letters) for _ in range(300)) for _ in range(2)] for k in "xyz"}
+        parts["w"] = ["a" * 50, "ab" * 40]
+        model = langid.Model({k: langid.learn(v) for k, v in parts.items()})
+        reference = {k: "".join(map(chr, (c for t in v for c in langid.letters(t)))) for k, v in parts.items()}
+        texts = ["".join(rnd.choice([*letters, "q", "Z"]) for _ in range(rnd.randint(0, 90))) for _ in range(30)]
+        texts += [rnd.choice(parts["x"])[:200], "a" * 70, "ab" * 60 + "a" * 30, "", "."]
+        raw = [t.encode() for t in texts]
+        x = kernel.Texts(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+        got = model.phrases(*model.symbols(x))
+        for i, t in enumerate(texts):
+            plain = "".join(map(chr, langid.letters(t)))
+            plain = plain[1:] if t and t[0].isalpha() else plain[:1] * bool(t) + plain[1:]
+            assert [slow_parse(reference[k], plain) for k in model.languages] == list(got[:, i])
+
+
+def test_scripts_of_many_letters_are_told(spark):
+    """Two languages over the same thousands of letters, and one over few, told by whole texts."""
+    rnd = random.Random(8)
+    han, kana = [chr(c) for c in range(0x4E00, 0x5A00)], [chr(c) for c in range(0x3041, 0x3090)]
+    pairs = {k: ["".join(rnd.choice(pool) for _ in range(2)) for pool in pools for _ in range(400)] for k, pools in {"zh": [han], "zz": [han], "ja": [han, kana]}.items()}
+    pairs["en"] = ["".join(rnd.choice("abcdefghij") for _ in range(4)) + " " for _ in range(200)]
+    rows = [(4 * i + 1, "".join(rnd.choice(pairs[k]) for _ in range(200)), k) for i, k in enumerate(list(pairs) * 30)]
+    docs = spark.createDataFrame([(f"{i}", t, k) for i, t, k in rows], "doc_id string, text string, lang string")
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert all(out[str(i)] == k for i, _, k in rows)
+
+
+def test_short_clean_texts_stay(docs, spark):
+    model = langid.fit(docs)
+    texts = [(1, "A."), (2, "the"), (3, "A.\nstally oning"), (4, "字" * 40), (5, "1 2 3"), (6, None)]
+    kept = langid.identified(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    assert [r["doc_id"] for r in kept] == [1, 2, 3]
 
 
 def test_language_id(docs, rows, empty):
