@@ -1,12 +1,11 @@
 """Similarity digests from statistically improbable features.
 
-A feature is a window of ``WINDOW`` bytes that starts with a word, or anywhere
-in a word longer than itself that holds it whole. Its entropy,
-over sixteen classes of bytes, falls into a bin; how rare that bin is over the
-whole corpus ranks the feature. Among every ``NEIGHBOURS`` consecutive features
-the rarest gains a point, and features with ``POINTS`` or more are selected.
-Selected features set five bits each in a Bloom filter of 2048 bits; a filter
-that holds ``CAPACITY`` features is full and the next in the chain begins.
+A feature is any window of ``WINDOW`` bytes of a text. Its byte entropy falls
+into a bin; how rare that bin is over the whole corpus ranks the feature. Among
+every ``NEIGHBOURS`` consecutive features the rarest gains a point, and features
+with ``POINTS`` or more are selected. Selected features set five bits each in a
+Bloom filter of 2048 bits; a filter that holds ``CAPACITY`` features is full and
+the next in the chain begins.
 
 Two digests are compared by the bits that filters share, beyond the share that
 chance would give: every filter of the shorter chain takes its best match in
@@ -26,58 +25,63 @@ from larkspan.llm import kernel
 from larkspan.session import ship
 
 WINDOW = 32
-NEIGHBOURS = 6
-POINTS = 2
+NEIGHBOURS = 32
+POINTS = 8
 CAPACITY = 160
 BITS = 2048
 PROBES = 5
 BINS = 1000
 #: Share of the room between chance and full overlap that still counts as chance, as do three deviations of chance.
 NOISE = 0.1
+#: Rows sampled for each range of ids.
+SAMPLE = 64
 _FILTER = BITS // 8
-_ONE = (np.uint64(1) << ((np.arange(256, dtype=np.uint64) & np.uint64(7)) * np.uint64(8)))
-_LOW = np.where(np.arange(256) & 8, np.uint64(0), _ONE)
-_HIGH = np.where(np.arange(256) & 8, _ONE, np.uint64(0))
-_k = np.arange(256, dtype=np.float64)
-_XLOGX = np.where(_k > 0, _k * np.log2(np.maximum(_k, 1)), 0.0)
-#: Sum of k log k over the two counts in each 16-bit half-word, in 1/64.
-_PAIR = np.round(64 * (_XLOGX[np.arange(65536) & 255] + _XLOGX[np.arange(65536) >> 8])).astype(np.int32)
-_FULL = int(round(64 * WINDOW * np.log2(WINDOW)))
-_TOP = 64 * WINDOW * 4  # sixteen classes: at most four bits a byte
+_k = np.arange(WINDOW + 1, dtype=np.float64)
+#: k log k in 1/64 bit, and what one occurrence more adds to it.
+_XLOGX = np.round(64 * np.where(_k > 0, _k * np.log2(np.maximum(_k, 1)), 0.0)).astype(np.int32)
+_MORE = np.diff(_XLOGX)
+_FULL = int(_XLOGX[WINDOW])
+
+
+def byte_entropy(buf: np.ndarray) -> np.ndarray:
+    """Bin of the byte entropy of every ``WINDOW`` consecutive bytes.
+
+    The sum of k log k over the counts of a window changes by the byte that
+    enters and the byte that leaves; how often either occurs in the window is
+    counted by comparing the bytes with themselves at each lag.
+    """
+    n = len(buf)
+    if n < WINDOW:
+        return np.zeros(0, np.int64)
+    before, after = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+    for lag in range(1, WINDOW):
+        same = (buf[lag:] == buf[:-lag]).view(np.uint8)
+        before[lag:] += same
+        after[:-lag] += same
+    change = _MORE[before]
+    change[WINDOW:] -= _MORE[after[: n - WINDOW]]
+    return (_FULL - np.cumsum(change)[WINDOW - 1 :]).astype(np.int64) * (BINS - 1) // _FULL
 
 
 def features(texts: kernel.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, text, entropy bin) of every feature: windows at word starts that lie within their text,
-    and those at every other byte of a longer word that lie within the word.
+    """(start, text, entropy bin) of every window within a text.
 
-    A text that has no such window is one feature by itself, in bin 0, if it has any bytes.
+    A text shorter than a window is one feature by itself, in bin 0, if it has any bytes.
     """
-    start, end, _ = texts.words()
-    more = np.maximum(0, end - start - WINDOW)
-    if more.any():
-        inside = np.repeat(start - np.cumsum(more) + more, more) + np.arange(1, more.sum() + 1)
-        start = np.sort(np.concatenate([start, inside]), kind="stable")
-    doc = np.searchsorted(texts.at, start, side="right") - 1
-    fits = start + WINDOW <= texts.at[1:][doc]
-    start, doc = start[fits], doc[fits]
-    low, high = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(t[texts.buf])]) for t in (_LOW, _HIGH))
-    inner = np.zeros(len(start), np.int32)
-    for sums in (low, high):
-        counts = (sums[start + WINDOW] - sums[start]).view(np.uint16).reshape(-1, 4)
-        for k in range(4):
-            inner += _PAIR[counts[:, k]]
-    entropy = np.clip((_FULL - inner) * BINS // _TOP, 0, BINS - 1)
-    none = np.setdiff1d(np.flatnonzero(np.diff(texts.at) > 0), doc)
-    if len(none):
-        order = np.argsort(np.concatenate([doc, none]), kind="stable")
-        start, doc, entropy = (np.concatenate(p)[order] for p in ((start, texts.at[:-1][none]), (doc, none), (entropy, np.zeros(len(none), entropy.dtype))))
+    size = np.diff(texts.at)
+    per = np.where(size >= WINDOW, size - WINDOW + 1, np.minimum(size, 1))
+    doc = np.repeat(np.arange(len(size)), per)
+    start = np.arange(len(doc)) + np.repeat(texts.at[:-1] - np.cumsum(per) + per, per)
+    entropy = np.zeros(len(doc), np.int64)
+    whole = size[doc] >= WINDOW
+    entropy[whole] = byte_entropy(texts.buf)[start[whole]]
     return start, doc, entropy
 
 
-def select(doc: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Indices of the features that are rarest of enough of their neighbourhoods.
+def select(start: np.ndarray, doc: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Indices of the features that are rarest of enough of their neighbourhoods, the first of equals.
 
-    A text with fewer than ``NEIGHBOURS`` features has one neighbourhood, and what is rarest there is selected.
+    A text with hardly more features than a neighbourhood has one neighbourhood, and what is rarest there is selected.
     """
     n = len(rank)
     if not n:
@@ -86,24 +90,25 @@ def select(doc: np.ndarray, rank: np.ndarray) -> np.ndarray:
     size = np.diff(np.concatenate([at, [n]]))
     points = np.zeros(n, np.int64)
     if n >= NEIGHBOURS:
-        view = np.lib.stride_tricks.sliding_window_view(rank, NEIGHBOURS)
-        whole = np.flatnonzero(doc[: n - NEIGHBOURS + 1] == doc[NEIGHBOURS - 1 :])
-        if len(whole):
-            best = whole + view[whole].argmin(axis=1)
-            points = np.bincount(best, minlength=n)
+        best, width = rank.astype(np.int64) << 32 | np.arange(n), 1
+        while width < NEIGHBOURS:
+            step = min(width, NEIGHBOURS - width)
+            best = np.minimum(best[: len(best) - step], best[step:])
+            width += step
+        whole = doc[: n - NEIGHBOURS + 1] == doc[NEIGHBOURS - 1 :]
+        points = np.bincount(best[whole] & 0xFFFFFFFF, minlength=n)
     few = size < NEIGHBOURS + POINTS
     if few.any():
         of = np.repeat(np.arange(len(at)), size)
         least = np.minimum.reduceat(rank, at)
-        lone = few[of] & (rank == least[of])
-        points[lone] = POINTS
+        points[few[of] & (rank == least[of])] = POINTS
     return np.flatnonzero(points >= POINTS)
 
 
 def digests(texts: kernel.Texts, rows: int, ranks: np.ndarray) -> list[np.ndarray]:
     """The chain of filters of each text, as (filters, 256) bytes; no filters for an empty text."""
     start, doc, entropy = features(texts)
-    chosen = select(doc, ranks[entropy])
+    chosen = select(start, doc, ranks[entropy])
     start, doc = start[chosen], doc[chosen]
     end = np.minimum(start + WINDOW, texts.at[1:][doc])
     h = texts.span_hash(start, end)
@@ -179,18 +184,13 @@ def _edited(text: bytes, chars: int, follower: bytes) -> bytes:
     return (t[: chars - half] + follower.decode("utf-8")[:half]).encode("utf-8")
 
 
-class _Walk:
-    """Documents of one bucket in order, each with its successor."""
-
-    def __init__(self, ranks: np.ndarray) -> None:
-        self.ranks, self.last = ranks, None
-
-    def pairs(self, rows):
-        """Yields (row, next row) for rows of (bucket, extra, id, text)."""
-        for row in rows:
-            if self.last is not None and self.last[0] == row[0] and not self.last[1]:
-                yield self.last, row
-            self.last = row
+def _pairs(rows):
+    """(row, next row) for consecutive rows of (bucket, extra, id, text); an extra row only follows."""
+    last = None
+    for row in rows:
+        if last is not None and last[0] == row[0] and not last[1]:
+            yield last, row
+        last = row
 
 
 def _texts(parts: list[bytes]) -> kernel.Texts:
@@ -220,46 +220,63 @@ def _emit(pairs: list, ranks: np.ndarray, id_type: pa.DataType) -> pa.RecordBatc
     ], names=["_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
+def _descending(key, cuts: list, low: int, high: int):
+    """The range of ``key``, ``low`` to ``high``, by binary search in ``cuts`` (descending)."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(key > cuts[mid], _descending(key, cuts, low, mid)).otherwise(_descending(key, cuts, mid + 1, high))
+
+
 def with_successors(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
     """(bucket, extra, _id, text): every document in the bucket of its id's range, and at its end the next bucket's first.
 
-    Buckets are ranges of ids in descending order, cut at approximate
-    quantiles; the first document of each (``buckets`` rows) is copied to the
-    bucket before it, the very first to the last.
+    Documents are ordered by id, descending with nulls last, then by the hash
+    of their text, so that rows of one id fall into several ranges too. The
+    ranges are cut at quantiles of a sample of about ``SAMPLE`` ids a bucket;
+    it bounds what the driver holds, and every row is dealt. The first
+    document of each bucket is copied to the bucket before it, the very first
+    to the last.
     """
     src = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = src.agg(F.percentile_approx("_id", [i / buckets for i in range(1, buckets)], 10000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = sum((F.when(F.col("_id") <= c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
-    dealt = src.withColumn("bucket", bucket)
-    heads = {r[0]: r[1] for r in dealt.groupBy("bucket").agg(F.max("_id")).collect()}  # at most ``buckets`` rows
+    src = src.withColumn("k", F.struct("_id", F.xxhash64("text").alias("h")))
+    id_type = src.schema["_id"].dataType
+    value = lambda r: F.struct(F.lit(r[0]).cast(id_type).alias("_id"), F.lit(r[1]).alias("h"))
+    nth = max(1, docs.count() // (SAMPLE * buckets))
+    picked = F.pmod(F.xxhash64("_id", "k.h"), F.lit(nth)) == 0
+    sample = [r[0] for r in src.where(picked).select("k").orderBy(F.col("k").desc()).collect()]
+    cuts = [value(k) for k in dict.fromkeys(sample[i * len(sample) // buckets] for i in range(1, buckets))] if sample else []
+    dealt = src.withColumn("bucket", _descending(F.col("k"), cuts, 0, len(cuts)))
+    heads = {r[0]: r[1] for r in dealt.groupBy("bucket").agg(F.max("k")).collect()}  # at most ``buckets`` rows
+    if not heads:
+        return dealt.select("bucket", F.lit(False).alias("extra"), "_id", "text")
     order = sorted(heads)
-    before = [(heads[b], order[k - 1]) for k, b in enumerate(order)]  # the first bucket's head follows the last bucket
-    extra = None
-    if before:
-        of = F.create_map(*[F.lit(x) for pair in before for x in pair])
-        extra = (
-            src.where(F.col("_id").isin([h for h, _ in before])).groupBy("_id").agg(F.min("text").alias("text"))
-            .select("_id", "text", of[F.col("_id")].alias("bucket"))
-        )
-    rows = dealt.select("bucket", F.lit(False).alias("extra"), "_id", "text")
-    return rows if extra is None else rows.union(extra.select("bucket", F.lit(True), "_id", "text"))
+    before = {b: order[k - 1] for k, b in enumerate(order)}  # the first bucket's head follows the last bucket
+    first = F.array(*[value(heads.get(b, heads[order[0]])) for b in range(order[-1] + 1)])
+    home = F.array(*[F.lit(before.get(b, b)) for b in range(order[-1] + 1)])
+    own = F.struct(F.col("bucket"), F.lit(False).alias("extra"))
+    other = F.struct(F.get(home, "bucket").alias("bucket"), F.lit(True).alias("extra"))
+    places = F.when(F.get(first, "bucket").eqNullSafe(F.col("k")), F.array(own, other)).otherwise(F.array(own))
+    return dealt.select(F.inline(places), "_id", "text")
 
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Digest of every text and of its edited text, and how alike they and the successor's are.
 
     The successor of a document is the next in descending order of id, of the
-    last the first; rows of one id follow each other by text. The edited text
-    has the last half of the code points (rounded down) replaced by the first
-    as many of the successor's, or all it has. Returns the id, ``n_chars``,
-    ``edited_sha256``, ``fingerprint`` and ``edited_fingerprint`` (base64 of the
-    chained filters, empty for an empty text), ``near_edited`` and
-    ``near_next``. A null text counts as empty; the only document is its own
-    successor; an empty table gives an empty result; ids are integers and not
-    null; other columns are not read.
-
-    Text is shuffled once, by ranges of ids, and each task walks its ranges.
+    last the first; null ids come last, and rows of one id follow each other by
+    a hash of their texts. The edited text has the last half of the code points
+    (rounded down) replaced by the first as many of the successor's, or all it
+    has. Returns the id, ``n_chars``, ``edited_sha256``, ``fingerprint`` and
+    ``edited_fingerprint`` (base64 of the chained filters, empty for an empty
+    text), ``near_edited`` and ``near_next``. A null text counts as empty, a
+    very long text is a longer chain; the only document is its own successor;
+    an empty table gives an empty result; ids are of any type with an order;
+    repeated rows follow each other; other columns are not read, whatever
+    their names.
+
+    Text is shuffled once, by ranges of ids, one range a task. The corpus
+    counts and the ranges are computed while the plan is built.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -267,25 +284,25 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = with_successors(docs, id_col, text_col, n)
     id_type = rows.schema["_id"].dataType.simpleString()
-    arrow_id = pa.int64() if id_type == "bigint" else pa.int32()
 
     def run(batches):
-        walk, ready, size = _Walk(ranks), [], 0
-
         def records():
+            nonlocal kind
             for b in batches:
+                kind = b.column(2).type
                 yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True)
 
-        for pair in walk.pairs(records()):
+        kind, ready, size = None, [], 0
+        for pair in _pairs(records()):
             ready.append(pair)
             size += len(pair[0][3])
             if size >= kernel.CHUNK:
-                yield _emit(ready, ranks, arrow_id)
+                yield _emit(ready, ranks, kind)
                 ready, size = [], 0
         if ready:
-            yield _emit(ready, ranks, arrow_id)
+            yield _emit(ready, ranks, kind)
 
-    dealt = rows.repartition(n, "bucket").sortWithinPartitions(F.col("bucket"), F.col("extra"), F.col("_id").desc(), F.col("text"))
+    dealt = rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "extra", F.col("_id").desc_nulls_last(), F.xxhash64("text").desc(), "text")
     return dealt.mapInArrow(run, f"_id {id_type}, {OUT}").withColumnRenamed("_id", id_col)
 
 
