@@ -212,7 +212,7 @@ def _again(rows: DataFrame, by: list[str], *more) -> DataFrame:
 
 
 def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """``base`` (r1, r2, _id, compressed text, copies, lends) and ``found`` (r1, r2, blocks) of the rows that hold repeated blocks.
+    """``base`` (r1, r2, _id, compressed text, copies, lends) and ``found`` (r1, r2, starts, places) of the rows that hold repeated blocks.
 
     Text is shuffled once, by the row's key (r1, r2); the stages that read it share that exchange.
     """
@@ -243,7 +243,9 @@ def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.shiftleft(F.shiftrightunsigned("r1", POSITION_BITS + 1), POSITION_BITS) + F.least(F.col("start"), F.lit(last))
     found = _again(blocks, ["d1", "d2"], F.min(place).alias("least"), F.max(place).alias("greatest"))
     source = F.when(F.col("least") == place, F.col("greatest")).otherwise(F.col("least"))
-    return base, found.groupBy("r1", "r2").agg(F.collect_list(F.struct("start", source.alias("place"))).alias("blocks"))
+    found = found.select("r1", "r2", "start", source.alias("place"))
+    # both lists gather the same rows in the same order; a list of structs would be three times as long
+    return base, found.groupBy("r1", "r2").agg(F.collect_list("start").alias("starts"), F.collect_list("place").alias("places"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -271,15 +273,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         unzip = zstandard.ZstdDecompressor().decompress
         for b in batches:
             n_words, n_removed, kept, where, parsed = [], [], [], [], []
-            for text, copies, blocks in zip(b.column(3), b.column(4), b.column(6), strict=True):
+            for text, copies, starts, places in zip(b.column(3), b.column(4), b.column(6), b.column(7), strict=True):
                 words = WORD.findall(unzip(text.as_py()).decode("utf-8") if text.is_valid else "")
                 factor = []
                 if (copies.as_py() or 1) > 1 and len(words) >= window:
                     cover = [(0, len(words))]
                 else:
-                    if blocks.is_valid:
-                        pairs = blocks.values.flatten()
-                        factor = list(factors(sorted(zip(pairs[0].to_pylist(), pairs[1].to_pylist(), strict=True)), window))
+                    if starts.is_valid:
+                        factor = list(factors(sorted(zip(starts.as_py(), places.as_py(), strict=True)), window))
                     cover = spans(factor)
                 left, last = [], 0
                 for a, e in cover:
