@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import IntegralType
 
+from larkspan.llm import rows as keyed
 from larkspan.session import materialize
 
 LANES = 16
@@ -51,27 +52,9 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, cap:
     return t.select("source", "source_size", F.when(F.col("_capped"), F.col("_cap")).otherwise(F.col("_w") * F.col("_left") / F.col("_free")).alias("target"))
 
 
-def copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: str = SEED,
-) -> DataFrame:
-    """(id, size, source_size, target, copies) for every row of ``docs``.
-
-    Size is the number of runs other than 0x20 and 0x09-0x0D in the text; a null
-    text has size 0. A null source is a source of its own, the last. An empty
-    source has target 0, an empty table gives an empty result, repeated rows are
-    separate rows of the mix, and other columns are not read. No row gets more
-    copies than ``cap`` rounded up. The same rows and seed give the same copies.
-    """
-    integral = isinstance(docs.schema[id_col].dataType, IntegralType)
-    rows = materialize(docs.select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    ), "sizes")
-    rows = rows.withColumns({
-        "_class": F.floor(F.sqrt("size")),
-        "_lane": F.pmod(F.col("_id") if integral else F.xxhash64("_id"), F.lit(LANES)),
-    })
+def _copies(rows: DataFrame, weights: tuple, share: float, cap: float, seed: str) -> DataFrame:
+    """``rows`` (_id, source, size, lane, ...) with source_size, target and copies."""
+    rows = rows.withColumn("_class", F.floor(F.sqrt("size")))
     cells = rows.groupBy("source", "_class", "_lane").agg(F.count("*").alias("_c"), F.sum("size").alias("_b"))
     goal = targets(cells.groupBy("source").agg(F.sum("_b").alias("source_size")), weights, share, cap)
     before = Window.partitionBy("source").orderBy("_class", "_lane").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,7 +63,7 @@ def copies(
     plan = cells.join(goal, F.col("c.source").eqNullSafe(F.col("t.source"))).select(
         F.col("c.source").alias("_src"), F.col("_class").alias("_k1"), F.col("_lane").alias("_k2"), "_start", "source_size", "target",
     )
-    here = Window.partitionBy("source", "_class", "_lane").orderBy("_id", "size")
+    here = Window.partitionBy("source", "_class", "_lane").orderBy("_id", "size", *[c for c in ("r1", "r2") if c in rows.columns])
     ranked = rows.withColumn("_n", F.row_number().over(here)).join(
         plan, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_class") == F.col("_k1")) & F.col("_lane").eqNullSafe(F.col("_k2")),
     )
@@ -88,20 +71,54 @@ def copies(
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
     ranked = ranked.withColumns({"_r": rate, "_u": offset, "_k": F.col("_start") + F.col("_n")})
     crossed = F.floor(F.col("_u") + F.col("_k") * F.col("_r")) - F.floor(F.col("_u") + (F.col("_k") - 1) * F.col("_r"))
-    return ranked.select(
-        F.col("_id").alias(id_col), "size", "source_size", "target",
-        F.least(crossed, F.ceil(F.lit(float(cap)))).cast("long").alias("copies"),
-    )
+    return ranked.withColumn("copies", F.least(crossed, F.ceil(F.lit(float(cap)))).cast("long"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it; ids identify rows."""
-    taken = copies(docs, id_col, **options).where("copies > 0").groupBy(id_col).agg(F.max("copies").alias("_copies"))
-    return (
-        docs.join(taken.hint("shuffle_hash"), id_col)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-        .select(docs.columns)
-    )
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, lanes: int, *more) -> DataFrame:
+    integral = isinstance(docs.schema[id_col].dataType, IntegralType)
+    rows = materialize(docs.select(
+        F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *more,
+    ), "sizes")
+    return rows.withColumn("_lane", F.pmod(F.col("_id") if integral else F.xxhash64("_id"), F.lit(lanes)))
+
+
+def copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: str = SEED, lanes: int = LANES,
+) -> DataFrame:
+    """(id, size, source_size, target, copies) for every row of ``docs``.
+
+    Size is the number of runs other than 0x20 and 0x09-0x0D in the text; a null
+    or empty text has size 0, a very long one is a row like any other. A null
+    source is a source of its own, the last. A source without words has target
+    0, an empty table gives an empty result, repeated rows are separate rows of
+    the mix, null ids are ids like any other, and other columns are not read,
+    whatever their names. Documents of one size are taken in the order of
+    their lanes and ids. No row gets more copies than ``cap`` rounded up. The
+    same rows, lanes and seed give the same copies.
+
+    ``lanes`` spreads documents of one source and size class; give it more
+    where a class of a source has more rows than a task should sort.
+    """
+    rows = _sizes(docs, id_col, text_col, source_col, lanes)
+    return _copies(rows, weights, share, cap, seed).select(F.col("_id").alias(id_col), "size", "source_size", "target", "copies")
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: str = SEED, lanes: int = LANES,
+) -> DataFrame:
+    """``docs`` with every row as often as ``copies`` says, all its columns with it.
+
+    Rows are told apart by all their columns, so null and repeated ids and
+    clashing column names need no care; rows equal in all of them share what
+    they get together. Null, empty and very long texts, ties and empty tables
+    are as for ``copies``.
+    """
+    rows = _sizes(docs, id_col, text_col, source_col, lanes, *keyed.whole_key(docs))
+    taken = _copies(rows, weights, share, cap, seed).groupBy("r1", "r2").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"))
+    return keyed.repeat(docs, taken)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
