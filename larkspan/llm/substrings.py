@@ -2,8 +2,7 @@
 
 The reference is the corpus itself: every block of ``window`` consecutive words
 of every distinct text. Its index holds the blocks that start at two places or
-more, by a 128-bit cryptographic digest of their words, with the least and the
-greatest place. Two steps keep unique blocks out of it:
+more, by a 128-bit cryptographic digest of their words, with the least place. Two steps keep unique blocks out of it:
 
 * Winnowing. Of the ``window - gram + 1`` word n-grams in any ``window`` words,
   the one of the least hash is an anchor. Both places of a repeated block
@@ -241,9 +240,7 @@ def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = _map(near, lookup, "r1 long, r2 long, start int, d1 long, d2 long", lambda b: pc.and_(b.column(5), pc.is_valid(b.column(6))))
     last = (1 << POSITION_BITS) - 1
     place = F.shiftleft(F.shiftrightunsigned("r1", POSITION_BITS + 1), POSITION_BITS) + F.least(F.col("start"), F.lit(last))
-    found = _again(blocks, ["d1", "d2"], F.min(place).alias("least"), F.max(place).alias("greatest"))
-    source = F.when(F.col("least") == place, F.col("greatest")).otherwise(F.col("least"))
-    found = found.select("r1", "r2", "start", source.alias("place"))
+    found = _again(blocks, ["d1", "d2"], F.min(place).alias("place")).select("r1", "r2", "start", "place")
     # both lists gather the same rows in the same order; a list of structs would be three times as long
     return base, found.groupBy("r1", "r2").agg(F.collect_list("start").alias("starts"), F.collect_list("place").alias("places"))
 
@@ -254,7 +251,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns the id, ``n_words``, ``n_removed``, ``kept`` (the other words, joined
     by one space), ``spans``, pairs of first word and end, and ``factors``,
     triples of first word, end and the place copied from: ``place >> 25`` tells
-    source texts apart, the rest is the word there; a text that occurs again as
+    source texts apart, the rest is the word there; at the least place of all
+    that is the place itself, the original of the others; a text that occurs again as
     a whole is one span without factors. A word goes if a block of ``window``
     consecutive words that covers it starts anywhere else too, in the same row
     or another. A null or empty text has no words, a text of fewer than
