@@ -11,6 +11,12 @@ Manhattan distance ``r``, at most ``r`` blocks differ, so the two share the
 grid cell formed by some ``BLOCKS - r`` whole blocks; every such choice of
 blocks is one grid, and points of one cell of one grid are compared: first by
 the bound, then exactly.
+
+Components are asked for, so the pairs of a family are not listed. First each
+point is compared with the least of its cell and with its neighbours there in
+the order of fingerprints; only cells that still hold several components are
+then joined with themselves, across components, and what leaves the join is
+one row for each two components that meet.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from larkspan.llm import graphs
+from larkspan.llm import graphs, rows as keyed
 from larkspan.session import materialize, ship
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -59,16 +65,17 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3) -> DataFrame:
-    """(id, fp): the SimHash of every whole text, as a signed 64-bit integer."""
+    """(_id, r1, r2, fp): id, key of id and text, and SimHash of every whole text as a signed 64-bit integer."""
     ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(3)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps.view(np.int64))], names=["_id", "r1", "r2", "fp"])
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col)).mapInArrow(run, f"_id {id_type}, fp long")
+    src = docs.select(F.col(id_col).alias("_id"), *keyed.key(id_col, text_col), F.col(text_col).alias("text"))
+    return src.mapInArrow(run, f"_id {id_type}, r1 long, r2 long, fp long")
 
 
 def embedding(fp):
@@ -100,23 +107,42 @@ def grids(radius: int, blocks: int = BLOCKS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
+def _near(a, b, radius: int):
+    """Whether two fingerprints differ in at most ``radius`` bits, by the bound first."""
+    return (manhattan(embedding(a), embedding(b)) <= radius) & (F.bit_count(a.bitwiseXOR(b)) <= radius)
+
+
 def links(points: DataFrame, radius: int = 3, blocks: int = BLOCKS) -> DataFrame:
-    """Pairs (u, v) of ``points`` (node, fp; distinct fp) within ``radius`` differing bits, each once.
+    """(node, component) of the distinct ``fp`` of ``points``, for those that are not the least of their component.
 
-    A cell's points are compared inside the join; only verified pairs leave it.
-    Spark splits cells whose rows outgrow a task (adaptive skew join).
+    A component is what is reachable over links of at most ``radius`` differing
+    bits. Cells of one point are dropped at once; Spark splits cells whose rows
+    outgrow a task (adaptive skew join).
     """
     pc = embedding(F.col("fp"))
-    cells = points.select("node", "fp", F.explode(F.array(*[
+    cells = points.select("fp", F.explode(F.array(*[
         F.xxhash64(F.lit(i), pc.bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(grids(radius, blocks))
     ])).alias("cell"))
-    f, g = F.col("a.fp"), F.col("b.fp")
-    near = (
-        (F.col("a.node") < F.col("b.node")) & (manhattan(embedding(f), embedding(g)) <= radius)
-        & (F.bit_count(f.bitwiseXOR(g)) <= radius)
-    )
-    pairs = cells.alias("a").join(cells.alias("b"), (F.col("a.cell") == F.col("b.cell")) & near)
-    return pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    cell, ordered = Window.partitionBy("cell"), Window.partitionBy("cell").orderBy("fp")
+    held = cells.select("fp", "cell", F.count("*").over(cell).alias("n"), F.min("fp").over(cell).alias("least"), F.lag("fp").over(ordered).alias("before"))
+    held = materialize(held.where("n > 1").drop("n"), "cells")
+    tried = held.select("fp", F.explode(F.array("least", "before")).alias("other")).where("other <> fp")
+    star = tried.where(_near(F.col("fp"), F.col("other"), radius)).select(F.col("fp").alias("v"), F.col("other").alias("u")).distinct()
+    star = materialize(star, "star")
+    found = graphs.components(star)
+    labelled = held.select("fp", "cell").join(found, F.col("fp") == F.col("node"), "left").select("fp", "cell", F.coalesce("component", "fp").alias("c"))
+    apart = labelled.select("*", F.min("c").over(cell).alias("lo"), F.max("c").over(cell).alias("hi")).where("lo < hi")
+    apart = materialize(apart.select("fp", "cell", "c"), "apart")
+    meet = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.c") < F.col("b.c")) & _near(F.col("a.fp"), F.col("b.fp"), radius)
+    more = apart.alias("a").join(apart.alias("b"), meet).select(F.col("a.c").alias("u"), F.col("b.c").alias("v")).distinct()
+    return graphs.components(found.select(F.col("component").alias("u"), F.col("node").alias("v")).union(more))
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, words: int = 3, radius: int = 3, blocks: int = BLOCKS) -> DataFrame:
+    """(_id, r1, r2, fp, group) of every row: rows of one ``group`` are near-duplicates."""
+    fps = materialize(fingerprints(docs, id_col, text_col, words), "simhash")
+    found = links(fps.select("fp").distinct(), radius, blocks)
+    return fps.join(found, F.col("fp") == F.col("node"), "left").select("_id", "r1", "r2", "fp", F.coalesce("component", "fp").alias("group"))
 
 
 def near_duplicates(
@@ -125,38 +151,40 @@ def near_duplicates(
     """Fingerprint and component of every row of ``docs``.
 
     Returns the id, ``fp`` (signed 64-bit) and ``component_id``, the smallest id
-    reachable over links of at most ``radius`` differing bits, itself included.
+    reachable over links of at most ``radius`` differing bits, itself included;
+    null ids are carried through and are the component only where no other is.
     Equal fingerprints link without a join; texts that are null, empty or
-    without words have fingerprint zero and link like any other. Empty tables
-    give empty results, repeated rows are kept, other columns are not read.
+    without words have fingerprint zero and link like any other, very long
+    texts are read whole. Empty tables give empty results, repeated rows are
+    kept, other columns are not read, whatever their names.
 
     Copies are folded by a partial aggregate before anything is shuffled by
     fingerprint, so the range-join sees each distinct fingerprint once however
-    many documents carry it. Handing the classes back to the documents is an
-    inner equi-join whose hot fingerprints Spark splits (adaptive skew join).
+    many documents carry it. Handing the classes back to the documents are
+    equi-joins whose hot fingerprints Spark splits (adaptive skew join).
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, words), "simhash")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("_id").alias("node")), "nodes")
-    found = graphs.components(links(nodes, radius, blocks))
-    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(classes, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    rows = materialize(grouped(docs, id_col, text_col, words, radius, blocks), "grouped")
+    least = rows.groupBy("group").agg(F.min("_id").alias("component_id"))
+    return rows.join(least, "group").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest id, with all its columns; repeated rows count once."""
-    return one_of_each(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
+    """One row of each group of near-duplicates with all its columns, as ``one_of_each`` chooses it."""
+    return one_of_each(docs, grouped(docs, id_col, text_col, **options), id_col, text_col)
 
 
-def one_of_each(docs: DataFrame, out: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is its own component in ``out`` (id, component_id), each id once.
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each ``group`` of ``groups`` (_id, r1, r2, group): the one of the smallest id, nulls last, ties by the key.
 
-    The ids that stay are hashed against the shuffled rows, so text is never sorted but for the rows of repeated ids.
+    Repeated rows count once. The keys that stay are hashed against the shuffled rows, so text is never sorted but for
+    rows that repeat; columns of any names pass through. An empty table gives an empty result.
     """
-    kept = out.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_n"))
-    joined = docs.join(kept.hint("shuffle_hash"), id_col)
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
-    many = joined.where("_n > 1").withColumn("_first", first).where("_first = 1")
-    return joined.where("_n = 1").select(docs.columns).union(many.select(docs.columns))
+    least = F.min(F.struct(F.isnull("_id").alias("null"), "_id", "r1", "r2"))
+    first = groups.groupBy("group").agg(least.alias("k")).select("group", "k.r1", "k.r2")
+    n = groups.join(first, ["group", "r1", "r2"]).groupBy("r1", "r2").agg(F.count("*").alias("n"))
+    found = keyed.look_up(docs, n, keyed.key(id_col, text_col))
+    many = found.where("n > 1").groupBy("r1", "r2").agg(F.first("row").alias("row"))
+    return found.where("n = 1").select("row.*").union(many.select("row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

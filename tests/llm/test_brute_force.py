@@ -119,9 +119,11 @@ def test_grids_find_every_near_pair(spark):
     rnd = random.Random(3)
     base = [rnd.getrandbits(64) for _ in range(40)]
     fps = list(dict.fromkeys(base + [b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(1, 4))) for b in base for _ in range(6)]))
-    nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "node long, fp long")
-    got = {tuple(r) for r in simhash.links(nodes).collect()}
-    assert got == {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 3}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = {r["node"]: r["component"] for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
+    want = closure(sorted(signed), [(a, b) for k, a in enumerate(signed) for b in signed[k + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3])
+    assert {f: got.get(f, f) for f in signed} == want
+    assert len(set(want.values())) < len(want)
 
 
 def test_manhattan_is_a_lower_bound(spark):
