@@ -9,13 +9,14 @@ the language that needs least wins.
 
 Whole texts of the sampled documents make the automata, over all their letters.
 An automaton has at most three transitions a symbol, so those of all languages
-are kept in one open-addressing hash table, and thousands of lanes of documents
-advance through all languages together, a few numpy operations a symbol.
+are interleaved in one array (a state is an offset at which its transitions fit
+between those of others), and thousands of lanes of documents advance through
+all languages together, a few numpy operations a symbol.
 
 A lane is at most ``SEGMENT`` symbols. A longer document is parsed as several
 lanes that all start a phrase; then the true parse of the lane before is
-carried into each lane until it starts a phrase where the lane's own parse
-starts one, from where the two are one. So every text has the phrases of one
+carried into each lane until both are in one state, from where they are the
+same. So every text has the phrases of one
 greedy parse from its first symbol to its last.
 """
 
@@ -33,16 +34,13 @@ from larkspan.session import ship
 
 UNDETERMINED = "und"
 #: Labelled documents that teach one language; they are learned whole.
-SAMPLE_DOCS = 24
+SAMPLE_DOCS = 12
 SEGMENT = 1024
 #: Symbols times languages parsed at once.
 CHUNK = 1 << 23
 #: Phrases that the two ends of a text may cost beyond what its language explains.
 ENDS = 2
-_NEXT, _SYMBOL = 24, 16
-_MASK = np.uint64((1 << _NEXT) - 1)
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
-_EMPTY = np.uint64((1 << 64) - 1)
+_NEXT = 32
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -87,6 +85,48 @@ def letters(text: str) -> list[int]:
     return out
 
 
+def interleave(state: np.ndarray, symbol: np.ndarray, to: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The offset of every state, and the array that holds the transitions: state ``b``'s by symbol ``c`` at ``b + c``, marked as its own.
+
+    States of many transitions are placed first. In each round all that are
+    left draw an offset, and those whose places are free and not claimed by
+    another are placed; half of the array stays empty, so few rounds do.
+    """
+    order = np.lexsort((symbol, state))
+    state, symbol, to = state[order], symbol[order], to[order]
+    n = int(max(state.max(initial=0), to.max(initial=0))) + 1
+    first = np.searchsorted(state, np.arange(n + 1))
+    degree = np.diff(first)
+    room = 2 * max(len(state), n) + symbols
+    used, taken, offset = np.zeros(room + symbols, bool), np.zeros(room, bool), np.zeros(n, np.int64)
+    rng = np.random.default_rng(n)
+    for low, high in ((64, symbols), (16, 63), (8, 15), (4, 7), (2, 3), (1, 1), (0, 0)):
+        left = np.flatnonzero((degree >= low) & (degree <= high))
+        while len(left):
+            draw = rng.integers(0, room, len(left))
+            size = degree[left]
+            at = np.concatenate([[0], np.cumsum(size)])
+            own = np.repeat(np.arange(len(left)), size)
+            slot = draw[own] + symbol[np.repeat(first[left] - at[:-1], size) + np.arange(at[-1])]
+            fits = ~taken[draw]
+            fits[own[used[slot]]] = False
+            live = fits[own]
+            claimed, claim = np.unique(slot[live], return_index=True)
+            late = np.ones(live.sum(), bool)
+            late[claim] = False
+            fits[own[live][late]] = False
+            alone = np.zeros(len(left), bool)
+            alone[np.unique(draw, return_index=True)[1]] = True
+            fits &= alone
+            used[slot[fits[own]]] = True
+            taken[draw[fits]] = True
+            offset[left[fits]] = draw[fits]
+            left = left[~fits]
+    out = np.full(len(used), -1, np.int64)
+    out[offset[state] + symbol] = offset[state] << _NEXT | offset[to]
+    return offset, out
+
+
 class Model:
     """Automata of all languages.
 
@@ -98,63 +138,32 @@ class Model:
         self.languages = sorted(parts)
         points = np.unique(np.concatenate([np.zeros(1, np.int64), *(parts[k][1][:, 1] for k in self.languages)]))
         self.size = len(points) + 1  # 0 for anything but letters, the reference's letters, and one for other letters
-        if self.size >= 1 << _SYMBOL:
-            raise ValueError("more letters than there are symbols")
-        self.table = np.zeros(0x110000, np.uint16)
+        self.table = np.zeros(0x110000, np.int32)
         self.table[[i for i in range(0x110000) if chr(i).isalpha()]] = self.size - 1
         for k, point in enumerate(points[1:].tolist(), 1):
             for form in {chr(point), chr(point).upper()}:
                 if len(form) == 1:
                     self.table[ord(form)] = k
-        self.root = np.full((len(self.languages), self.size), -1, np.int64)
-        self.start, self.bits, keys, to = [], [], [], []
-        base = 0
-        for row, lang in enumerate(self.languages):
-            length, steps = parts[lang]
-            symbol = np.searchsorted(points, steps[:, 1])
-            keys.append(((steps[:, 0] + base) << _SYMBOL) | symbol)
-            to.append(steps[:, 2] + base)
-            first = steps[:, 0] == 0
-            self.root[row, symbol[first]] = steps[first, 2] + base
-            self.start.append(base)
-            self.bits.append(math.log2(max(2, length)))
-            base += int(steps[:, 2].max(initial=0)) + 1
-        if base >= 1 << _NEXT:
-            raise ValueError("more states than the table can number")
-        self._enter(np.concatenate([np.zeros(0, np.int64), *keys]).astype(np.uint64), np.concatenate([np.zeros(0, np.int64), *to]).astype(np.uint64))
-
-    def _enter(self, keys: np.ndarray, to: np.ndarray) -> None:
-        size = 1 << max(4, (4 * len(keys)).bit_length())
-        self.shift = np.uint64(64 - size.bit_length() + 1)
-        self.slots = np.full(size + 1, _EMPTY)
-        at = ((keys * _SPREAD) >> self.shift).astype(np.int64)
-        value = (keys << np.uint64(_NEXT)) | to
-        left = np.arange(len(keys))
-        while len(left):
-            free = left[self.slots[at[left]] == _EMPTY]
-            self.slots[at[free]] = value[free]  # of several keys for one slot the last stays
-            left = left[self.slots[at[left]] != value[left]]
-            at[left] = (at[left] + 1) % size
+        base, columns = [0], [np.zeros((0, 3), np.int64)]
+        for lang in self.languages:
+            steps = parts[lang][1]
+            columns.append(np.stack([steps[:, 0] + base[-1], np.searchsorted(points, steps[:, 1]), steps[:, 2] + base[-1]], 1))
+            base.append(base[-1] + int(steps[:, 2].max(initial=0)) + 1)
+        state, symbol, to = np.concatenate(columns).T
+        offset, self.slots = interleave(state, symbol, to, self.size)
+        self.bits = [math.log2(max(2, parts[lang][0])) for lang in self.languages]
+        self.home = offset[np.array(base[:-1], np.int64)][:, None]
+        self.root = np.repeat(self.home, self.size, axis=1)
+        for row, first in enumerate(base[:-1]):
+            own = state == first
+            self.root[row, symbol[own]] = offset[to[own]]
 
     def _step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language, lane): the next states, and where a phrase starts with this symbol."""
-        key = np.ascontiguousarray((state.astype(np.uint64) << np.uint64(_SYMBOL)) | symbol.astype(np.uint64))
-        at = ((key * _SPREAD) >> self.shift).astype(np.int64)
-        slot = self.slots.take(at)
-        miss = (slot >> np.uint64(_NEXT)) != key
-        todo = np.flatnonzero(miss & (slot != _EMPTY))
-        while len(todo):
-            to = (at.ravel()[todo] + 1) % (len(self.slots) - 1)
-            at.ravel()[todo] = to
-            seen = self.slots.take(to)
-            hit = (seen >> np.uint64(_NEXT)) == key.ravel()[todo]
-            slot.ravel()[todo[hit]] = seen[hit]
-            miss.ravel()[todo[hit]] = False
-            todo = todo[~hit & (seen != _EMPTY)]
-        home = np.array(self.start, np.int64)[:, None]
-        begins = miss | (state == home)
-        root = self.root[:, symbol]
-        return np.where(miss, np.where(root < 0, home, root), (slot & _MASK).astype(np.int64)), begins
+        slot = self.slots.take(state + symbol)
+        hit = (slot >> _NEXT) == state
+        begins = ~hit | (state == self.home)
+        return np.where(hit, slot & 0xFFFFFFFF, self.root.take(symbol, axis=1)), begins
 
     def phrases(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Phrases (language, text) of the greedy parse of each text; ``at`` has the start of each and the end of the last."""
@@ -165,45 +174,47 @@ class Model:
         start = at[owner] + nth * SEGMENT
         length = np.minimum(SEGMENT, at[owner + 1] - start)
         begins = np.zeros((len(self.languages), len(symbols)), bool)
-        last = np.repeat(np.array(self.start, np.int64)[:, None], len(start), axis=1)
+        states = np.zeros(begins.shape, np.int32)  # after each symbol
         order = np.argsort(-length, kind="stable")
-        state = last[:, order]
-        for t in range(int(length.max(initial=0))):
-            k = int(np.searchsorted(-length[order], -t, side="left"))
+        state = np.repeat(self.home, len(start), axis=1)
+        active = np.searchsorted(-length[order], -np.arange(length.max(initial=0)), side="left")
+        for t, k in enumerate(active.tolist()):
             where = start[order[:k]] + t
-            state[:, :k], begins[:, where] = self._step(state[:, :k], symbols[where])
-        last[:, order] = state
+            state, begins[:, where] = self._step(state[:, :k], symbols[where])
+            states[:, where] = state
         follows = np.flatnonzero(nth > 0)
         while len(follows):
-            follows = self._carry(symbols, begins, last, follows, start, length)
-        sums = np.concatenate([np.zeros((len(begins), 1), np.int64), np.cumsum(begins, axis=1, dtype=np.int64)], axis=1)
-        return sums[:, at[1:]] - sums[:, at[:-1]]
-
-    def _carry(self, symbols, begins, last, lanes, start, length) -> np.ndarray:
+            follows = self._carry(symbols, begins, states, follows, start, length)
+        if not len(symbols):
+            return np.zeros((len(self.languages), len(size)), np.int64)
+        counts = np.zeros((len(self.languages), len(size)), np.int64)
+        some = size > 0
+        counts[:, some] = np.add.reduceat(begins, at[:-1][some], axis=1, dtype=np.int64)
+        return counts
+
+    def _carry(self, symbols, begins, states, lanes, start, length) -> np.ndarray:
         """Carry the parse of the lane before into each of ``lanes``; the lanes behind those whose end that changes."""
-        state, changed = last[:, lanes - 1].copy(), np.zeros(len(lanes), bool)
-        open_ = np.ones(state.shape, bool)
-        active = np.arange(len(lanes))
+        entry = states[:, start[lanes] - 1].astype(np.int64)
+        lang, lane = np.nonzero(entry != self.home)
+        state, lane = entry[lang, lane], lanes[lane]
+        home = self.home[lang, 0]
+        changed = []
         for t in range(SEGMENT):
-            ended = active[length[lanes[active]] == t]
-            if len(ended):
-                moved = open_[:, ended] & (last[:, lanes[ended]] != state[:, ended])
-                last[:, lanes[ended]] = np.where(open_[:, ended], state[:, ended], last[:, lanes[ended]])
-                changed[ended] = moved.any(axis=0)
-            active = active[(length[lanes[active]] > t) & open_[:, active].any(axis=0)]
-            if not len(active):
+            if not len(lane):
                 break
-            where = start[lanes[active]] + t
-            nxt, new = self._step(state[:, active], symbols[where])
-            own = begins[:, where]
-            still = open_[:, active] & ~(new & own)
-            begins[:, where] = np.where(still, new, own)
-            state[:, active], open_[:, active] = nxt, still
-        if len(active):
-            moved = open_[:, active] & (last[:, lanes[active]] != state[:, active])
-            last[:, lanes[active]] = np.where(open_[:, active], state[:, active], last[:, lanes[active]])
-            changed[active] = moved.any(axis=0)
-        after = lanes[changed] + 1
+            where = start[lane] + t
+            symbol = symbols[where]
+            slot = self.slots.take(state + symbol)
+            hit = (slot >> _NEXT) == state
+            begins[lang, where] = ~hit | (state == home)
+            state = np.where(hit, slot & 0xFFFFFFFF, self.root[lang, symbol])
+            apart = states[lang, where] != state
+            states[lang, where] = state
+            ended = apart & (length[lane] == t + 1)
+            changed.append(lane[ended])
+            on = apart & ~ended
+            lang, lane, state, home = lang[on], lane[on], state[on], home[on]
+        after = np.unique(np.concatenate([np.zeros(0, np.int64), *changed])) + 1
         after = after[after < len(start)]
         return after[start[after] == start[after - 1] + SEGMENT] if len(after) else after
 
@@ -215,7 +226,7 @@ class Model:
         keep = np.ones(len(s), bool)
         keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
         keep[at[:-1][at[:-1] < len(s)]] = True
-        return s[keep].astype(np.int64), np.concatenate([[0], np.cumsum(keep)])[at]
+        return s[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
     def predict(self, texts: kernel.Texts, rows: int) -> dict:
         """``lang_pred``, ``score``, ``bits`` a symbol and ``told``, whether the best language explains the text at all."""
