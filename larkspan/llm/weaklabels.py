@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from larkspan.llm import kernel
+from larkspan.llm import kernel, rows as keyed
 from larkspan.session import materialize, ship
 
 U = np.uint64
@@ -146,10 +146,9 @@ class Scorer:
             out = out + np.diff(sums) / np.maximum(1, np.diff(at))
         return out
 
-    def fit(self, texts: list[str], target: np.ndarray, weight: np.ndarray, epochs: int = 120, rate: float = 40.0) -> None:
-        """Gradient descent on the weighted logistic loss, with momentum; ``target`` are posteriors."""
+    def fit(self, sparse: list, target: np.ndarray, weight: np.ndarray, epochs: int = 120, rate: float = 40.0) -> None:
+        """Gradient descent on the weighted logistic loss, with momentum; ``target`` are posteriors, ``sparse`` the streams' shares."""
         weight = weight / weight.sum()
-        sparse = _shares(texts)
         speed, drift = np.zeros_like(self.weights), 0.0
         for _ in range(epochs):
             z = self.bias + sum(np.bincount(doc, w[ids] * x, minlength=len(target)) for w, (doc, ids, x) in zip(self.weights, sparse, strict=True))
@@ -162,21 +161,35 @@ class Scorer:
             self.bias += drift
 
 
-def _shares(texts: list[str], block: int = 50) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each stream (document, bucket, share of the document's features) of the buckets that occur, built block by block."""
-    parts: list[list] = [[], []]
-    for i in range(0, len(texts), block):
-        for k, (ids, at) in enumerate(_streams(_texts(texts[i : i + block]))):
-            doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            key, n = np.unique(doc * BUCKETS + ids, return_counts=True)
-            doc, ids = key // BUCKETS, key % BUCKETS
-            parts[k].append(((doc + i).astype(np.int32), ids.astype(np.int32), (n / np.maximum(1, np.diff(at))[doc]).astype(np.float32)))
-    return [tuple(np.concatenate(x) for x in zip(*p, strict=True)) for p in parts]
+def _shares(texts: kernel.Texts) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each stream (document, bucket, share of the document's features) of the buckets that occur."""
+    out = []
+    for ids, at in _streams(texts):
+        doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        key, n = np.unique(doc * BUCKETS + ids, return_counts=True)
+        doc, ids = key // BUCKETS, key % BUCKETS
+        out.append((doc.astype(np.int32), ids.astype(np.int32), (n / np.maximum(1, np.diff(at))[doc]).astype(np.float32)))
+    return out
 
 
-def _texts(parts: list[str]) -> kernel.Texts:
-    raw = [p.encode("utf-8") for p in parts]
-    return kernel.Texts(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+def _packed(texts: kernel.Texts, rows: int) -> dict:
+    """The shares of every text as bytes: at most BUCKETS buckets a stream, however long the text."""
+    out = {}
+    for k, (doc, ids, x) in enumerate(_shares(texts)):
+        at = np.searchsorted(doc, np.arange(rows + 1))
+        out[f"ids{k}"] = [ids[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+        out[f"x{k}"] = [x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
+def _unpacked(rows: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    out = []
+    for k in range(2):
+        ids = [np.frombuffer(r[f"ids{k}"], np.int32) for r in rows]
+        doc = np.repeat(np.arange(len(rows)), [len(i) for i in ids])
+        none = [np.zeros(0, np.float32)]
+        out.append((doc, np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate(none + [np.frombuffer(r[f"x{k}"], np.float32) for r in rows])))
+    return out
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
@@ -186,14 +199,20 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     ``score`` the scorer's probability and ``kept`` whether it reaches
     ``threshold``. No outside labels are used. The label model counts all
     documents; the scorer is trained on at most ``sample`` documents of either
-    label, those with the least hash of the id, weighted back to the label's
-    share. A null text counts as empty; an empty table gives an empty result;
-    repeated rows count as often as they occur; other columns are not read.
+    label, those with the least key, weighted back to the label's share. Their
+    features are built in tasks; the driver receives ``BUCKETS`` shares of each
+    at most. A null text counts as empty, a very long one is read whole, equal
+    texts get equal scores; an empty table gives an empty result; repeated rows
+    count as often as they occur; null and repeated ids are carried through;
+    other columns are not read, whatever their names.
+
+    Votes are cast twice, to be counted and to be returned with the score:
+    a second reading costs less than a shuffle that joins them.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *keyed.key(id_col, text_col))
     id_type = src.schema["_id"].dataType.simpleString()
-    seen = materialize(kernel.map_texts(src, ["_id"], "text", lambda t, n: {"pattern": patterns(t, n)}, f"_id {id_type}, pattern int"), "votes")
+    seen = materialize(kernel.map_texts(src, ["r1", "r2"], "text", lambda t, n: {"pattern": patterns(t, n)}, "r1 long, r2 long, pattern int"), "votes")
     counts = dict(seen.groupBy("pattern").count().collect())  # at most 3**L rows
     _, post, _ = fit_labellers(counts)
     scorer = Scorer()
@@ -203,11 +222,15 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     for v in (False, True):
         of = [c for c in counts if label[c] == v]
         if of:
-            picked = seen.where(F.col("pattern").isin(of)).orderBy(F.xxhash64("_id"), "_id").limit(sample).collect()
-            chosen |= {r[0]: (r[1], share[v] / len(picked)) for r in picked}
+            picked = seen.where(F.col("pattern").isin(of)).orderBy("r1", "r2").limit(sample).collect()
+            chosen |= {(r[0], r[1]): (r[2], share[v] / len(picked)) for r in picked}
     if chosen:
-        texts = sorted((r[0], r[1] or "") for r in src.where(F.col("_id").isin(list(chosen))).dropDuplicates(["_id"]).collect())
-        scorer.fit([t for _, t in texts], np.array([post[chosen[i][0]] for i, _ in texts]), np.array([chosen[i][1] for i, _ in texts], float))
+        wanted = spark.createDataFrame(list(chosen), "r1 long, r2 long")  # at most 2 * sample rows
+        texts = src.join(F.broadcast(wanted), ["r1", "r2"]).groupBy("r1", "r2").agg(F.first("text").alias("text"))
+        shares = kernel.map_texts(texts, ["r1", "r2"], "text", _packed, "r1 long, r2 long, ids0 binary, x0 binary, ids1 binary, x1 binary")
+        rows = sorted(shares.collect(), key=lambda r: (r[0], r[1]))
+        said = [chosen[r[0], r[1]] for r in rows]
+        scorer.fit(_unpacked(rows), np.array([post[p] for p, _ in said]), np.array([w for _, w in said], float))
     ship(spark)
     shared = spark.sparkContext.broadcast((scorer, post))  # BUCKETS weights and 3**L posteriors
 
