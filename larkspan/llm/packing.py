@@ -25,6 +25,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from larkspan.functions.text import let
 from larkspan.llm import rows as keyed
 from larkspan.session import materialize, ship
 
@@ -189,10 +190,10 @@ def pack_texts(
     text = F.col(text_col)
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     last = F.greatest(F.ceil(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)) / capacity) - 1, F.lit(0)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * capacity + 1, F.lit(capacity)), " "))
+    cut = let(words, lambda w: F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * capacity + 1, F.lit(capacity)), " ")))
     texts = docs.select(*keyed.key(id_col, source_col, text_col), F.posexplode(F.when(last > 0, cut).otherwise(F.array(text))).alias("piece", "text"))
     texts = texts.groupBy("r1", "r2", F.col("piece").cast("long").alias("piece")).agg(F.first("text").alias("text"))
-    out = places.join(texts.hint("shuffle_hash"), ["r1", "r2", "piece"])
+    out = texts.join(places.hint("shuffle_hash"), ["r1", "r2", "piece"])
     return out.select(F.col("_id").alias(id_col), "source", "cluster", "piece", "size", "bin_id", "start", F.col("text").alias(text_col))
 
 
