@@ -293,3 +293,8 @@ def stale_marks(marks: DataFrame, current: DataFrame, key: str, stamps: list[str
     for s in stamps:
         status = status.when(~F.col(s).eqNullSafe(F.col(f"_{s}")), s)
     return marks.join(c, key, "left").select(key, status.alias("status")).where("status IS NOT NULL")
+
+
+def added_dead(old: DataFrame, new: DataFrame, dead: DataFrame, name: str) -> DataFrame:
+    """Functions that ``new`` has beyond ``old`` and that nothing calls (``dead``)."""
+    return new.join(old.select(name).distinct(), name, "left_anti").join(dead.select(name).distinct(), name, "left_semi")

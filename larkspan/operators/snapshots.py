@@ -107,7 +107,13 @@ def chunk_counts(manifest: DataFrame, chunks: DataFrame, path: str = "path") ->
 
 
 def rebuild_lines(chunks: DataFrame, path: str = "path") -> DataFrame:
-    """(path, line, text, conflict): lines of overlapping chunks, the first chunk's version of each."""
+    """(path, line, text, conflict): lines of overlapping chunks, the first chunk's version of each.
+
+    With a column ``part``, the parts of a line that was cut by characters are one chunk again.
+    """
+    if "part" in chunks.columns:
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"])
+        chunks = chunks.groupBy(path, "start_line").agg(F.array_join(parts, "").alias("text"))
     lines = chunks.select(path, "start_line", F.posexplode(F.split("text", "\n")).alias("pos", "line_text")).withColumn("line", F.col("start_line") + F.col("pos"))
     w = Window.partitionBy(path, "line").orderBy("start_line")
     same = Window.partitionBy(path, "line")

@@ -153,3 +153,31 @@ def debounce(events: DataFrame, by: list[str], ts: str, tie: str, item: Column,
         .agg(F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), F.count("*").alias("events"), F.countDistinct(item).alias("items"))
         .withColumn("full_scan", F.col("items") > overflow)
     )
+
+
+def progress(jobs: DataFrame, done: str, total: str, seconds: str) -> DataFrame:
+    """``jobs`` with the percentage done and the seconds left at the speed so far; null before anything is done."""
+    left = F.greatest(F.col(total) - F.col(done), F.lit(0))
+    return jobs.withColumns({
+        "percent": F.when(F.col(total) > 0, F.floor(100 * F.least(F.col(done), F.col(total)) / F.col(total))),
+        "eta": F.when(F.col(done) > 0, F.ceil(left * F.col(seconds) / F.col(done))),
+    })
+
+
+def coalesced_writes(events: DataFrame, by: list[str], ts: str, tie: str, window: int) -> DataFrame:
+    """(by, at, first, events): what is written where a first write goes out at once and the rest once a window.
+
+    A key that was quiet for a window starts anew. ``at`` is the second of the
+    first write of a run plus whole windows; ``first`` tells the immediate one.
+    """
+    w = Window.partitionBy(*by).orderBy(ts, tie)
+    second = F.unix_micros(F.col(ts)) / 1_000_000
+    timed = events.select(*by, ts, tie, second.alias("_s"))
+    fresh = F.coalesce(F.col("_s") - F.lag("_s").over(w) >= window, F.lit(True))
+    runs = timed.withColumn("_f", fresh).withColumn("_r", F.sum(F.col("_f").cast("int")).over(w))
+    start = F.min("_s").over(Window.partitionBy(*by, "_r"))
+    slot = F.when(F.col("_f"), 0).otherwise(F.floor((F.col("_s") - F.col("_t")) / window) + 1)
+    return (
+        runs.withColumn("_t", start).withColumn("_k", slot).groupBy(*by, "_r", "_k").agg(F.count("*").alias("events"), F.min("_t").alias("_t"))
+        .select(*by, F.floor(F.col("_t") + F.col("_k") * window).alias("at"), (F.col("_k") == 0).alias("first"), "events")
+    )

@@ -141,3 +141,18 @@ def recall_sites(topics: DataFrame, memory: DataFrame, topic: str, similarity: C
 
 def link_kind(target: Column) -> Column:
     return F.when(target.rlike("^(https?:)?//|^mailto:"), "external").when(target.startswith("#"), "anchor").otherwise("local")
+
+
+def query_intent(c: Column) -> tuple[Column, Column]:
+    """(package, security): the npm package that a search asks about, null for none, and whether it asks for security."""
+    low = F.lower(c)
+    scoped = F.regexp_extract(low, "(@[a-z0-9][\\w.-]*/[a-z0-9][\\w.-]*)", 1)
+    named = F.regexp_extract(low, "\\bnpm\\s+(?:install\\s+|i\\s+|package\\s+|module\\s+)?([a-z0-9][a-z0-9._-]*)", 1)
+    package = F.when(scoped != "", scoped).when(named != "", named)
+    return package, low.rlike("\\bcve-[0-9]{4}-[0-9]+|\\b(?:security|vulnerab\\w*|advisor(?:y|ies)|exploit\\w*)\\b")
+
+
+def crawl(pages: DataFrame, by: list[str], order: str, chars: str, budget: int) -> DataFrame:
+    """Pages in order up to ``budget`` characters, with ``taken`` of each: the page that crosses the budget is cut."""
+    before = F.coalesce(F.sum(chars).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return pages.withColumn("taken", F.least(F.col(chars), budget - before)).where(F.col("taken") > 0)

@@ -41,6 +41,17 @@ def skip_reason_counts(spark, d):
     return _docs(spark, d).groupBy(F.coalesce(reason, F.lit("indexed")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query("skip_reasons", """
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN replace(text, chr(10), ' ') WHEN doc_id % 13 = 0 THEN '' ELSE text END AS text FROM documents)
+SELECT doc_id, CASE WHEN strlen(text) = 0 THEN 'empty' WHEN strlen(text) >= 8192 AND NOT contains(decode(encode(text)[1:8192]), chr(10)) THEN 'minified'
+  WHEN strlen(text) > 2000 AND strlen(text) / greatest(length(text) - length(replace(text, chr(10), '')), 1) > 2000 THEN 'minified' ELSE 'indexed' END AS reason FROM d""".replace("decode(encode(text)[1:8192])", "text[1:8192]"))
+def skip_reasons(spark, d):
+    """Row by row, with every eleventh text on one line and every thirteenth empty."""
+    text = F.when(F.col("doc_id") % 11 == 0, F.replace("text", F.lit("\n"), F.lit(" "))).when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("text"))
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    return _docs(spark, d).select("doc_id", F.coalesce(corpus.skip_reason(path, F.encode(text, "UTF-8")), F.lit("indexed")).alias("reason"))
+
+
 @query("manifest_diff", f"WITH {_SNAPS} SELECT change, count(*) AS n FROM (SELECT CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' WHEN o.h <> n.h THEN 'changed' ELSE 'same' END AS change FROM o FULL JOIN n USING (doc_id)) GROUP BY change")
 def manifest_diff(spark, d):
     return sn.manifest_diff(*_snaps(spark, d), "doc_id", "h").groupBy("change").agg(F.count("*").alias("n"))
@@ -93,20 +104,41 @@ def vector_cache_misses(spark, d):
     return sn.cache_misses(docs, cache, contract, F.col("text")).groupBy("key").agg(F.min("lang").alias("lang"))
 
 
-@query("chunk_lines")
+_CHUNKS = r"""
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents{where})),
+d AS (SELECT doc_id, count(*)::INT AS n, list(length(line)::INT ORDER BY k) AS len, list(used ORDER BY k) AS used,
+  list(k ORDER BY k) FILTER (WHERE regexp_matches(line, '^(?:\s*(?:async\s+)?(?:def|class|function)\s|export\s|#{{1,6}}\s)')) AS marks
+  FROM (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k)::INT AS used FROM l) GROUP BY doc_id),
+s(doc_id, a, e) AS (
+  SELECT doc_id, 1::INT, 0::INT FROM d
+  UNION ALL
+  SELECT doc_id, CASE WHEN long THEN e + 1 ELSE greatest(a + 1, e + 1 - least(12, (e - a + 1) // 5)) END::INT, e::INT FROM (
+    SELECT doc_id, a, n, long, CASE WHEN f < n AND f - a + 1 > 40 THEN coalesce(list_max(list_filter(marks, lambda m: m >= a + 30 AND m <= f)) - 1, f) ELSE f END AS e FROM (
+      SELECT s.doc_id, a, n, marks, len[a] > 8000 AS long,
+        CASE WHEN len[a] > 8000 THEN a ELSE list_max(list_filter(range(a, least(a + 199, n)::INT + 1), lambda x: used[x] - used[a] + len[a] <= 8000)) END AS f
+      FROM s JOIN d USING (doc_id) WHERE s.e < n)))
+"""
+_CHUNK_ROWS = """
+c AS (SELECT doc_id, lag(a) OVER (PARTITION BY doc_id ORDER BY e) AS a, e FROM s),
+r AS (SELECT c.doc_id, c.a AS start_line, e AS end_line, used[e] - used[c.a] + len[c.a] AS size FROM c JOIN d USING (doc_id) WHERE e > 0)"""
+
+
+@query("chunk_lines", "WITH RECURSIVE " + _CHUNKS.format(where="") + "," + _CHUNK_ROWS + """
+SELECT doc_id, start_line, end_line, least(8000, size - p)::INT AS chars FROM (SELECT *, unnest(range(0, greatest(size, 1), 8000)) AS p FROM r)""")
 def chunk_lines(spark, d):
     out = corpus.chunks(_docs(spark, d), "doc_id")
     return out.select("doc_id", "start_line", "end_line", F.length("chunk").alias("chars"))
 
 
-@query("chunk_rebuild", "SELECT doc_id, sha256(text) AS digest, 0::BIGINT AS gaps FROM documents WHERE length(text) - length(replace(text, chr(10), '')) < 10000 AND len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 8000)) = 0")
+@query("chunk_rebuild", "SELECT doc_id, sha256(text) AS digest, 0::BIGINT AS gaps FROM documents")
 def chunk_rebuild(spark, d):
-    docs = _docs(spark, d).where(~F.exists(F.split("text", "\n"), lambda x: F.length(x) > 8000))
-    c = corpus.chunks(docs, "doc_id").select(F.col("doc_id").alias("path"), "start_line", F.col("chunk").alias("text"))
+    c = corpus.chunks(_docs(spark, d), "doc_id").select(F.col("doc_id").alias("path"), "start_line", "part", F.col("chunk").alias("text"))
     return sn.rebuild_text(c).select(F.col("path").alias("doc_id"), F.sha2("text", 256).alias("digest"), F.col("gaps").cast("long").alias("gaps"))
 
 
-@query("chunk_counts")
+@query("chunk_counts", "WITH RECURSIVE " + _CHUNKS.format(where=" WHERE doc_id % 5 <> 0") + "," + _CHUNK_ROWS + """,
+t AS (SELECT doc_id, count(*) AS chunks, max(end_line) AS last_line FROM (SELECT *, unnest(range(0, greatest(size, 1), 8000)) AS p FROM r) GROUP BY doc_id)
+SELECT doc_id AS path, coalesce(chunks, 0) AS chunks, last_line FROM documents LEFT JOIN t USING (doc_id)""")
 def chunk_counts(spark, d):
     docs = _docs(spark, d).select(F.col("doc_id").alias("path"), "text")
     return sn.chunk_counts(docs, corpus.chunks(docs.where("path % 5 <> 0")))
@@ -174,7 +206,13 @@ def storage_totals(spark, d):
     return _docs(spark, d).groupBy("lang").agg(F.count("*").alias("views"), F.sum("n_chars").alias("bytes"), F.sum(stale.cast("int")).alias("stale"))
 
 
-@query("budget_fold")
+@query("budget_fold", """
+WITH RECURSIVE r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+f(source, k, doc_id, left_over, taken) AS (
+  SELECT source, 1::BIGINT, doc_id, CASE WHEN n_chars <= 20000 THEN 20000 - n_chars ELSE 20000 END::BIGINT, n_chars <= 20000 FROM r WHERE k = 1
+  UNION ALL
+  SELECT r.source, r.k, r.doc_id, CASE WHEN n_chars <= left_over THEN left_over - n_chars ELSE left_over END::BIGINT, n_chars <= left_over FROM f JOIN r ON r.source = f.source AND r.k = f.k + 1)
+SELECT source, doc_id FROM f WHERE taken""")
 def budget_fold(spark, d):
     """Documents of each source read in order within a budget: those that do not fit are skipped, and a reading that stops at the first overflow."""
     docs = _docs(spark, d).select("source", "doc_id", "n_chars")

@@ -40,7 +40,12 @@ def focus_terms(spark, d):
     return table(spark, d, "benchmark").select("item_id", tx.focus_terms(F.col("text")).alias("terms"))
 
 
-@query("evidence_windows")
+@query("evidence_windows", """
+WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+w AS (SELECT doc_id, pos AS "start", pos + 2 AS "end", contains(lower(line), 'that')::INT + contains(lower(line), 'with')::INT AS score FROM l),
+a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, "start") AS k FROM w WHERE score > 0), f AS (SELECT * FROM a WHERE k = 1),
+b AS (SELECT a.*, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.score DESC, a."start") AS j FROM a JOIN f USING (doc_id) WHERE a."start" > f."end" OR a."end" < f."start")
+SELECT doc_id, 1::INT AS place, "start", "end", score::BIGINT AS score FROM f UNION ALL SELECT doc_id, 2, "start", "end", score FROM b WHERE j = 1""")
 def evidence_windows(spark, d):
     terms = F.array(F.lit("that"), F.lit("with"))
     w = _lines(spark, d).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + 2).alias("end"), tx.matched(terms, F.col("line")).alias("score")).where("score > 0")

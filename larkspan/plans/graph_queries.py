@@ -202,35 +202,42 @@ def entry_points(spark, d):
     return gr.entry_points(_edges(spark, d, 49), n, "node", "s", "t", F.col("node") % 400 == 1)
 
 
-@query("removed_callers", """
+_REMOVED = """
 WITH o AS (SELECT DISTINCT p_brand || '.' || p_type AS name FROM part), n AS (SELECT DISTINCT p_brand || '.' || p_type AS name FROM part WHERE p_type <> 'PROMO'),
 g AS (SELECT name, regexp_extract(name, '[^.]*$') AS short FROM (SELECT * FROM o EXCEPT SELECT * FROM n))
-SELECT DISTINCT g.name, p_partkey AS site FROM g JOIN part ON p_type = short WHERE p_partkey <= 100""")
-def removed_callers(spark, d):
-    p = table(spark, d, "part")
-    name = F.concat_ws(".", "p_brand", "p_type").alias("name")
-    sites = p.where("p_partkey <= 100").select(F.col("p_type").alias("callee"), F.col("p_partkey").alias("site"))
-    return gr.removed_callers(p.select(name), p.where("p_type <> 'PROMO'").select(name), sites, "name", "site")
+SELECT DISTINCT g.name, p_partkey AS site FROM g JOIN part ON p_type = short"""
 
 
-@query("removed_callers_all", """
-WITH o AS (SELECT DISTINCT p_brand || '.' || p_type AS name FROM part), n AS (SELECT DISTINCT p_brand || '.' || p_type AS name FROM part WHERE p_type <> 'PROMO'),
-g AS (SELECT name, regexp_extract(name, '[^.]*$') AS short FROM (SELECT * FROM o EXCEPT SELECT * FROM n))
-SELECT DISTINCT g.name, p_partkey AS site FROM g JOIN part ON p_type = short""")
-def removed_callers_all(spark, d):
-    """As ``removed_callers``, with every part as a call site."""
+@query("removed_callers", _REMOVED)
+def removed_callers(spark, d):
+    """Removed names and the parts that still use them, every part a call site."""
     p = table(spark, d, "part")
     name = F.concat_ws(".", "p_brand", "p_type").alias("name")
     sites = p.select(F.col("p_type").alias("callee"), F.col("p_partkey").alias("site"))
     return gr.removed_callers(p.select(name), p.where("p_type <> 'PROMO'").select(name), sites, "name", "site")
 
 
+query("removed_callers_all", _REMOVED)(removed_callers)
+
+
 @query("changed_signatures", """
-WITH o AS (SELECT p_name, count(*) AS n, any_value(p_size) AS h FROM part WHERE p_partkey % 2 = 0 GROUP BY p_name), n AS (SELECT p_name, count(*) AS n, any_value(p_size) AS h FROM part WHERE p_partkey % 2 = 1 GROUP BY p_name)
-SELECT o.p_name, o.h AS before, n.h AS after FROM o JOIN n USING (p_name) WHERE o.n = 1 AND n.n = 1 AND o.h <> n.h""")
+WITH p AS (SELECT 'f' || (p_partkey // 2) AS name, p_size, p_partkey % 2 AS side FROM part UNION ALL SELECT 'f' || (p_partkey // 2), p_size, 1 FROM part WHERE p_partkey % 14 = 1),
+o AS (SELECT name, count(*) AS n, any_value(p_size) AS h FROM p WHERE side = 0 GROUP BY name), n AS (SELECT name, count(*) AS n, any_value(p_size) AS h FROM p WHERE side = 1 GROUP BY name)
+SELECT o.name, o.h AS before, n.h AS after FROM o JOIN n USING (name) WHERE o.n = 1 AND n.n = 1 AND o.h <> n.h""")
 def changed_signatures(spark, d):
-    p = table(spark, d, "part")
-    return gr.changed_signatures(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), "p_name", "p_size")
+    p = table(spark, d, "part").select(F.concat(F.lit("f"), F.expr("p_partkey div 2")).alias("name"), "p_size", "p_partkey")
+    twice = p.where("p_partkey % 14 = 1")
+    return gr.changed_signatures(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1").union(twice), "name", "p_size")
+
+
+@query("added_dead", """
+WITH c AS (SELECT DISTINCT l_partkey AS name FROM lineitem WHERE l_quantity >= 48)
+SELECT p_partkey AS name FROM part WHERE p_partkey % 3 = 0 AND p_partkey NOT IN (SELECT name FROM c)""")
+def added_dead(spark, d):
+    """Parts new to a view (every third) that no line of 48 or more uses."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("name"))
+    used = table(spark, d, "lineitem").where("l_quantity >= 48").select(F.col("l_partkey").alias("name")).distinct()
+    return gr.added_dead(p.where("name % 3 <> 0"), p, p.join(used, "name", "left_anti"), "name")
 
 
 @query("stale_marks", """

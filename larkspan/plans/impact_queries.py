@@ -87,12 +87,15 @@ def path_union(spark, d):
 
 
 @query("changed_dependencies", """
-SELECT p_brand, p_type FROM part WHERE p_partkey % 2 = 0 EXCEPT SELECT p_brand, p_type FROM part WHERE p_partkey % 2 = 1""")
+SELECT p_brand, p_size FROM part WHERE p_partkey % 2 = 0 EXCEPT SELECT p_brand, p_size FROM part WHERE p_partkey % 2 = 1""")
 def changed_dependencies(spark, d):
     p = table(spark, d, "part")
-    return p.where("p_partkey % 2 = 0").select("p_brand", "p_type").distinct().join(p.where("p_partkey % 2 = 1").select("p_brand", "p_type").distinct(), ["p_brand", "p_type"], "left_anti")
+    return p.where("p_partkey % 2 = 0").select("p_brand", "p_size").distinct().join(p.where("p_partkey % 2 = 1").select("p_brand", "p_size").distinct(), ["p_brand", "p_size"], "left_anti")
 
 
-@query("compact_text")
+@query("compact_text", r"""
+WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '(\p{L})-\n(\p{Ll})', '\1\2', 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(replace(regexp_replace(t, '\n{2,}', chr(1), 'g'), chr(10), ' '), '[ \t]+', ' ', 'g') AS t FROM a)
+SELECT doc_id, length(trim(replace(t, chr(1), chr(10) || chr(10)), ' '))::INT AS chars FROM b""")
 def compact_text(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.compact_pages(F.col("text")).alias("text")).select("doc_id", F.length("text").alias("chars"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from larkspan.functions import text as tx, vectors as vx
-from larkspan.operators import retrieval as rt
+from larkspan.operators import embedding as em, retrieval as rt
 from larkspan.plans.registry import query
 from larkspan.session import table
 
@@ -207,3 +207,9 @@ def rerank_overlap(spark, d):
     out = rt.rerank(hits.select("item_id", "query", "doc_id", "text"))
     w = Window.partitionBy("item_id").orderBy(F.col("rerank_score").desc(), "doc_id")
     return out.select("item_id", "doc_id", F.round("rerank_score", 6).alias("rerank_score"), F.row_number().over(w).alias("rank"))
+
+
+@query("embedded_texts")
+def embedded_texts(spark, d):
+    """Vectors of all conversation turns by the deterministic embedder; tests hold them against a plain version."""
+    return em.embed(table(spark, d, "conversations").select("conv_id", "turn", "text"), "text").drop("text")

@@ -38,12 +38,16 @@ def credential_scan(spark, d):
     return ru.credentials(table(spark, d, "documents"), "doc_id", "text").groupBy("kind").agg(F.count("*").alias("lines"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query("configuration_scan", """
-WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-f AS (SELECT doc_id, pos, unnest(regexp_extract_all(line, '(?i)\\bport\\D{0,3}(\\d{2,5})\\b', 1)) AS name FROM l)
+_PORTS = "'host m' || (doc_id % 9) || chr(10) || 'listens on port ' || (doc_id * 37 % 90000) || ', then PORT: ' || (doc_id % 50 + 8000) || chr(10) || 'report 12345'"
+
+
+@query("configuration_scan", f"""
+WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, string_split({_PORTS}, chr(10)) AS ls FROM documents)),
+f AS (SELECT doc_id, pos, unnest(regexp_extract_all(line, '(?i)\\bport\\D{{0,3}}(\\d{{2,5}})\\b', 1)) AS name FROM l)
 SELECT 'port' AS kind, name, list_sort(list(DISTINCT doc_id || ':' || pos)) AS places FROM f WHERE name::INT <= 65535 GROUP BY name""")
 def configuration_scan(spark, d):
-    return ru.configuration(table(spark, d, "documents"), "doc_id", "text").where("kind = 'port'")
+    text = F.expr(_PORTS.replace("chr(10)", "char(10)")).alias("text")
+    return ru.configuration(table(spark, d, "documents").select("doc_id", text), "doc_id", "text").where("kind = 'port'")
 
 
 @query("pattern_share", """
@@ -78,13 +82,55 @@ def comment_runs(spark, d):
     return runs.select("doc_id", "start", "end", F.length("text").cast("long").alias("chars"))
 
 
-@query("comment_findings")
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_REMARKS = "CASE doc_id % 9 WHEN 0 THEN 'total = count + 1' WHEN 1 THEN 'see ABC-' || doc_id WHEN 2 THEN 'noqa: E' || doc_id WHEN 3 THEN '-----' WHEN 4 THEN 'return value;' WHEN 5 THEN 'added in the spring' END"
+_COMMENTS = "string_split(text || coalesce(chr(10) || " + _REMARKS + ", ''), chr(10))"
+
+
+@query("comment_findings", f"""
+WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM (SELECT doc_id, {_COMMENTS} AS ls FROM documents)),
+f AS (SELECT doc_id, pos, CASE WHEN regexp_matches(line, {_sql(ru.DIRECTIVE)}) OR regexp_matches(line, {_sql(ru.DIVIDER)}) THEN NULL
+  WHEN regexp_matches(line, {_sql(ru.CODE_LINE)}) THEN 'commented_code' WHEN regexp_matches(line, {_sql("|".join(ru.HISTORY_TAG.split("|(?i)")[:1]))}) OR regexp_matches(line, {_sql("(?i)" + "|".join(ru.HISTORY_TAG.split("|(?i)")[1:]))}) THEN 'history_tag'
+  WHEN pos > 0 AND length(line) > 120 THEN 'long_inline' END AS finding FROM l)
+SELECT doc_id, pos::INT AS pos, finding FROM f WHERE finding IS NOT NULL""")
 def comment_findings(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    found = ru.comment_finding(F.col("line"), F.col("pos") > 0, F.col("pos") == 0, F.lit(1))
+    """Every line of a text as a comment, behind one made up for the purpose."""
+    text = F.concat("text", F.coalesce(F.concat(F.lit("\n"), F.expr(_REMARKS)), F.lit("")))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    found = ru.comment_finding(F.col("line"), F.col("pos") > 0, F.lit(False), F.lit(1))
     return lines.select("doc_id", "pos", found.alias("finding")).where("finding IS NOT NULL")
 
 
+@query("redirect_terms", r"""
+WITH c AS (SELECT event_id, 'grep -rn --include=*.py "' || event_type || '_\w+(' || user_id || ')" src/' || event_type AS cmd FROM events),
+w AS (SELECT event_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT event_id, regexp_split_to_array(trim(regexp_replace(cmd, '(?:^|\s)--?[\w-]+(?:=\S*)?|\\[bBdDsSwW]|[^\w\s]', ' ', 'g')), '\s+') AS ws FROM c)),
+k AS (SELECT event_id, w, min(i) AS i FROM w WHERE length(w) >= 2 AND lower(w) NOT IN ('grep', 'rg', 'find', 'ack', 'cat', 'xargs', 'egrep') GROUP BY ALL)
+SELECT event_id, list(w ORDER BY i) AS terms FROM k GROUP BY event_id""")
+def redirect_terms(spark, d):
+    command = F.concat(F.lit('grep -rn --include=*.py "'), "event_type", F.lit("_\\w+("), F.col("user_id").cast("string"), F.lit(')" src/'), "event_type")
+    return table(spark, d, "events").select("event_id", ru.redirect_terms(command).alias("terms"))
+
+
+@query("credential_lines", """
+SELECT doc_id, pos::INT AS line FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+WHERE regexp_matches(line, '\\btoken = "[0-9a-f]{40}"') AND NOT regexp_matches(line, '(?i)\\b(example|sample|placeholder|dummy)\\b')""")
+def credential_lines(spark, d):
+    """The lines behind ``credential_scan``."""
+    return ru.credentials(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "line")
+
+
+@query("redirect_rows", """
+SELECT event_id, CASE WHEN event_type IN ('click', 'view') AND event_id % 2 = 0 AND len(regexp_extract_all(regexp_replace(props, '[\\\\^$.|?*+()\\[\\]{}]', ' ', 'g'), '\\w{2,}')) >= 1 THEN 'search' ELSE 'native' END AS decision FROM events""")
+def redirect_rows(spark, d):
+    """The decisions behind ``redirect_decisions``."""
+    e = table(spark, d, "events")
+    tool = F.when(F.col("event_type").isin("click", "view"), "grep").otherwise("read")
+    return e.select("event_id", ru.redirect(tool, F.concat(F.lit("find "), "props"), F.col("event_id") % 2 == 0).alias("decision"))
+
+
 @query("validation_checks", """
 WITH r AS (SELECT 'has_letters' AS "check", doc_id AS "where", regexp_matches(text, '[A-Za-z]') AS ok FROM documents UNION ALL
   SELECT 'n_chars', doc_id, n_chars = length(text) FROM documents UNION ALL SELECT 'long_enough', doc_id, n_chars >= 50 FROM documents),
@@ -107,10 +153,10 @@ def two_way_consistency(spark, d):
 
 
 @query("relation_sets", """
-WITH s AS (SELECT l_suppkey AS s, list_sort(list(DISTINCT l_partkey % 10) FILTER (WHERE l_quantity > 40)) AS e, list_sort(list(DISTINCT l_partkey % 10) FILTER (WHERE l_quantity < 10)) AS l FROM lineitem GROUP BY l_suppkey)
+WITH s AS (SELECT l_suppkey AS s, list_sort(list(DISTINCT l_partkey % 50) FILTER (WHERE l_quantity > 48)) AS e, list_sort(list(DISTINCT l_partkey % 50) FILTER (WHERE l_quantity < 3)) AS l FROM lineitem GROUP BY l_suppkey)
 SELECT s, list_sort(list_filter(e, lambda x: NOT list_contains(l, x))) AS lacks, list_sort(list_filter(l, lambda x: NOT list_contains(e, x))) AS extra FROM s
 WHERE len(list_filter(e, lambda x: NOT list_contains(l, x))) > 0 OR len(list_filter(l, lambda x: NOT list_contains(e, x))) > 0""")
 def relation_sets(spark, d):
-    li = table(spark, d, "lineitem").withColumn("p", F.col("l_partkey") % 10)
-    sets = li.groupBy(F.col("l_suppkey").alias("s")).agg(F.collect_set(F.when(F.col("l_quantity") > 40, F.col("p"))).alias("e"), F.collect_set(F.when(F.col("l_quantity") < 10, F.col("p"))).alias("l"))
+    li = table(spark, d, "lineitem").withColumn("p", F.col("l_partkey") % 50)
+    sets = li.groupBy(F.col("l_suppkey").alias("s")).agg(F.collect_set(F.when(F.col("l_quantity") > 48, F.col("p"))).alias("e"), F.collect_set(F.when(F.col("l_quantity") < 3, F.col("p"))).alias("l"))
     return ru.set_difference(sets, "s", "e", "l")

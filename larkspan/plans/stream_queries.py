@@ -35,7 +35,13 @@ def stream_breaker(spark, d):
     return st.run_available(st.breaker(e.withColumn("outcome", outcome), "user_id", "ts", "event_id", "outcome"), "append", "breaker")
 
 
-@query("stream_alerts")
+@query("stream_alerts", """
+WITH RECURSIVE a AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'error'),
+s(user_id, x) AS (
+  SELECT user_id, min({'ts': ts, 'event_id': event_id}) FROM a GROUP BY user_id
+  UNION ALL
+  SELECT a.user_id, min({'ts': a.ts, 'event_id': a.event_id}) FROM s JOIN a ON a.user_id = s.user_id AND a.ts >= s.x.ts + INTERVAL 1 DAY GROUP BY a.user_id)
+SELECT user_id, x.event_id AS event_id FROM s""")
 def stream_alerts(spark, d):
     return st.run_available(st.once_a_day(_stream(spark, d).where("event_type = 'error'"), "user_id", "ts", "event_id"), "append", "alerts")
 
@@ -45,7 +51,7 @@ def stream_adaptive_jobs(spark, d):
     return st.run_available(st.adaptive_jobs(_stream(spark, d), "event_type", "ts", "event_id"), "append", "jobs")
 
 
-@query("stream_in_flight")
+@query("stream_in_flight", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_in_flight(spark, d):
     return st.run_available(st.in_flight(_stream(spark, d), ["user_id", "event_type"], "ts", "10 days").select("user_id", "event_type"), "append", "inflight")
 

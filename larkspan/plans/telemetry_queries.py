@@ -189,3 +189,22 @@ def token_estimate(spark, d):
     from larkspan.functions.text import token_estimate as estimate
 
     return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.sum(estimate(F.col("text"))).alias("tokens"))
+
+
+@query("job_progress", """
+SELECT o_orderkey, CASE WHEN n > 0 THEN (100 * least(done, n)) // n END AS percent, CASE WHEN done > 0 THEN ceil(greatest(n - done, 0) * secs / done)::BIGINT END AS eta
+FROM (SELECT o_orderkey, o_orderkey % 40 AS done, o_orderkey % 35 AS n, (o_custkey % 500)::DOUBLE AS secs FROM orders)""")
+def job_progress(spark, d):
+    jobs = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 40).alias("done"), (F.col("o_orderkey") % 35).alias("n"), (F.col("o_custkey") % 500).cast("double").alias("secs"))
+    return tm.progress(jobs, "done", "n", "secs").select("o_orderkey", "percent", "eta")
+
+
+@query("coalesced_writes", """
+WITH t AS (SELECT user_id, ts, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS s FROM events),
+g AS (SELECT *, coalesce(s - lag(s) OVER w >= 86400, true) AS f FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(f::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g), b AS (SELECT *, min(s) OVER (PARTITION BY user_id, run) AS z FROM r),
+k AS (SELECT *, CASE WHEN f THEN 0 ELSE floor((s - z) / 86400) + 1 END AS k FROM b)
+SELECT user_id, floor(min(z) + k * 86400)::BIGINT AS "at", k = 0 AS first, count(*) AS events FROM k GROUP BY user_id, run, k""")
+def coalesced_writes(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return tm.coalesced_writes(e, ["user_id"], "ts", "event_id", 86400)

@@ -202,3 +202,27 @@ def parts_fold(spark, d):
         return [(i, len(p), sum(map(len, p))) for i, p in enumerate(corpus.group_parts(t.split("\n")))]
 
     return corpus.explode_files(table(spark, d, "documents"), parts, "doc_id", "text", "part int, blocks int, chars int")
+
+
+@query("query_intent", r"""
+WITH q AS (SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'npm install ' || regexp_extract(text, '[A-Za-z]+') || ' CVE-2024-' || item_id WHEN 1 THEN 'Is @scope/pkg' || item_id || ' safe' WHEN 2 THEN 'npm ' || text ELSE text || ' security advisories' END AS q FROM benchmark)
+SELECT item_id, CASE WHEN regexp_matches(lower(q), '@[a-z0-9][\w.-]*/[a-z0-9]') THEN regexp_extract(lower(q), '(@[a-z0-9][\w.-]*/[a-z0-9][\w.-]*)', 1)
+  ELSE nullif(regexp_extract(lower(q), '\bnpm\s+(?:install\s+|i\s+|package\s+|module\s+)?([a-z0-9][a-z0-9._-]*)', 1), '') END AS package,
+  regexp_matches(lower(q), '\bcve-[0-9]{4}-[0-9]+|\b(?:security|vulnerab\w*|advisor(?:y|ies)|exploit\w*)\b') AS security FROM q""")
+def query_intent(spark, d):
+    i = F.col("item_id")
+    q = (
+        F.when(i % 5 == 0, F.concat(F.lit("npm install "), F.regexp_extract("text", "[A-Za-z]+", 0), F.lit(" CVE-2024-"), i.cast("string")))
+        .when(i % 5 == 1, F.concat(F.lit("Is @scope/pkg"), i.cast("string"), F.lit(" safe"))).when(i % 5 == 2, F.concat(F.lit("npm "), "text"))
+        .otherwise(F.concat("text", F.lit(" security advisories")))
+    )
+    package, security = web.query_intent(q)
+    return table(spark, d, "benchmark").select("item_id", package.alias("package"), security.alias("security"))
+
+
+@query("deep_crawl", """
+WITH r AS (SELECT source, doc_id, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
+SELECT source, doc_id, least(n_chars, 30000 - before)::BIGINT AS taken FROM r WHERE 30000 - before > 0 AND n_chars > 0""")
+def deep_crawl(spark, d):
+    pages = table(spark, d, "documents").select("source", "doc_id", F.col("n_chars").cast("long").alias("n_chars"))
+    return web.crawl(pages, ["source"], "doc_id", "n_chars", 30000).select("source", "doc_id", "taken")
