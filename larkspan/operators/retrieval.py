@@ -18,6 +18,8 @@ from larkspan.session import spread
 
 ALPHA = 0.75
 K1, B = 1.2, 0.75
+#: Terms of all queries together up to which they are sent to every task; beyond, they are joined by shuffles.
+SENT_TERMS = 100_000
 
 
 def candidate_pool(k: int, least: int = 20) -> int:
@@ -54,27 +56,30 @@ def bm25(
         F.col(doc_id).alias("_doc"), (F.lit(True) if accept is None else accept).alias("_in"),
         *[tx.tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(fields)],
     )
-    dl = sum((F.size(f"_t{i}") for i in range(len(fields))), F.lit(0))
-
-    def marked(i: int, weight: float) -> Column:
-        return F.transform(f"_t{i}", lambda t, k: F.struct(t.alias("head"), k.alias("pos"), F.lit(i).alias("field"), F.lit(float(weight)).alias("w")))
-
-    every = F.concat(*[marked(i, w) for i, w in enumerate(fields.values())])
-    at = tokens.select("_doc", "_in", dl.alias("dl"), F.explode(every).alias("o")).select("_doc", "_in", "dl", "o.*").join(phrases, "head")
+    sizes = [F.size(f"_t{i}") for i in range(len(fields))]
+    dl = sum(sizes, F.lit(0))
+    # positions run through the fields one after the other; the field and the place in it follow from the fields' ends
+    ends = [sum(sizes[: i + 1], F.lit(0)) for i in range(len(fields))]
+    every = tokens.select("_doc", "_in", dl.alias("dl"), F.array(*ends).alias("ends"), F.posexplode(F.concat(*[f"_t{i}" for i in range(len(fields))])).alias("at", "head"))
+    i = sum((F.when(F.col("at") >= F.get("ends", F.lit(k)), 1).otherwise(0) for k in range(len(fields) - 1)), F.lit(0))
+    weight = F.get(F.array(*[F.lit(float(w)) for w in fields.values()]), F.col("field"))
+    at = every.join(phrases, "head").withColumn("field", i).withColumn("w", weight)
     single = at.where(F.size("parts") == 1).select("_doc", "_in", "dl", "phrase", "w")
-    begun = at.where(F.size("parts") > 1)
+    begun = at.where(F.size("parts") > 1).withColumn("pos", F.col("at") - F.when(F.col("field") > 0, F.get("ends", F.col("field") - 1)).otherwise(0))
     field = F.get(F.array(*[F.col(f"_t{i}") for i in range(len(fields))]), F.col("field"))
     several = begun.drop("_in").join(tokens, "_doc").where(F.slice(field, F.col("pos") + 1, F.size("parts")) == F.col("parts"))
     found = single.union(several.select("_doc", "_in", "dl", "phrase", "w"))
-    tf = found.groupBy("phrase", "_doc", "_in", "dl").agg(F.sum("w").alias("f"))
+    # all of a document in one place: scores then need no shuffle of their own where the terms asked for are few enough to send
+    small = F.broadcast if asked.count() <= SENT_TERMS else lambda df: df
+    tf = found.repartition("_doc").groupBy("phrase", "_doc", "_in", "dl").agg(F.sum("w").alias("f"))
     df = tf.groupBy("phrase").agg(F.count("*").alias("n"))
     idf = F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weights = df.crossJoin(stats).select("phrase", "avgdl", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))  # one row of statistics
     gain = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.where("_in").join(weights, "phrase").select("_doc", "phrase", (F.col("idf") * gain).alias("s"))
+    scored = tf.where("_in").join(small(weights), "phrase").select("_doc", "phrase", (F.col("idf") * gain).alias("s"))
     wanted = asked.select(query_id, "term", F.array_join("parts", " ").alias("phrase"))
     return (
-        wanted.join(scored, "phrase").groupBy(query_id, "_doc").agg(F.sum("s").alias("score"))
+        scored.join(small(wanted), "phrase").groupBy(query_id, "_doc").agg(F.sum("s").alias("score"))
         .select(query_id, F.col("_doc").alias(doc_id), "score")
     )
 
