@@ -167,7 +167,7 @@ def assign_layer(items: DataFrame, rules: DataFrame, key: str, matches: Column)
 
     ``rules`` (ordinal, layer, ...) is configuration; the join condition is ``matches``.
     """
-    hit = items.join(F.broadcast(rules), matches).groupBy(key).agg(F.min(F.struct("ordinal", "layer")).alias("_l"))
+    hit = items.join(rules, matches).groupBy(key).agg(F.min(F.struct("ordinal", "layer")).alias("_l"))
     return items.select(key).join(hit, key, "left").select(key, F.col("_l.layer").alias("layer"), F.col("_l.ordinal").alias("ordinal"))
 
 

@@ -54,21 +54,23 @@ def ship(spark: SparkSession) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for expensive work per row on a table of few row groups.
 
-    A table of many files is left as it is.
+    A table of as many partitions is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests,
-    local mode) driver and executors are one machine and a temporary folder
-    serves.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset in local
+    mode (tests), driver and executors are one machine and a temporary folder
+    serves; on a cluster it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="larkspan-")
         atexit.register(shutil.rmtree, folder, True)
         root = "file://" + folder

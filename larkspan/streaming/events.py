@@ -1,7 +1,8 @@
 """Structured Streaming forms of the event operators.
 
-Everything is keyed and event-timed; state is bounded by a watermark or by one
-small value for each key. Tests hold each stream against its batch form.
+Everything is keyed and event-timed; state is bounded by a watermark or is one
+small value for each key, kept for good. The operators that count in order
+hold one key's events of one batch at a time. Tests hold each stream against its batch form.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def parquet_stream(spark: SparkSession, path: str, schema=None) -> DataFrame:
     A stream does not take the path of a single file, but takes a pattern that only that file matches.
     """
     schema = schema or spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path[:-1] + "?")
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:
