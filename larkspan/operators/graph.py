@@ -272,6 +272,37 @@ def affected_tests(symbols: DataFrame, calls: DataFrame, imports: DataFrame, cha
     return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+#: Files that decide how all code is built or tested, and files that only decide where.
+BUILD_FILES = (
+    "(^|/)(?:pyproject\\.toml|setup\\.(?:py|cfg)|[\\w.-]*requirements[\\w.-]*\\.txt|(?:tox|pytest)\\.ini|package(?:-lock)?\\.json|yarn\\.lock|"
+    "tsconfig[\\w.-]*\\.json|go\\.(?:mod|sum)|[Cc]argo\\.(?:toml|lock)|pom\\.xml|build\\.gradle(?:\\.kts)?|Dockerfile|Makefile)$"
+)
+PIPELINE_FILES = "^\\.(?:github|gitlab|circleci)(?:/|-ci)"
+
+
+def run_all_reasons(changes: DataFrame, analysed: DataFrame, kind: Column) -> DataFrame:
+    """(path, reason): changed files for which every test has to run.
+
+    ``configuration`` files say how code is built or tested; ``not analysed`` is
+    code (``kind`` of the path) that the import graph (``analysed`` paths) does not know, so
+    nothing tells which tests reach it.
+    """
+    paths = changes.select("path").distinct().where(~F.col("path").rlike(PIPELINE_FILES))
+    known = analysed.select("path").distinct().withColumn("_known", F.lit(True))
+    reason = F.when(F.col("path").rlike(BUILD_FILES), "configuration").when((kind == "code") & F.col("_known").isNull(), "not analysed")
+    return paths.join(known, "path", "left").select("path", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def fixture_tests(changes: DataFrame, tests: DataFrame) -> DataFrame:
+    """(path, fixtures): tests in or below the folder of a changed ``conftest.py``, with the deepest such file."""
+    folders = changes.where(F.substring_index("path", "/", -1) == "conftest.py").select(
+        F.col("path").alias("fixtures"), F.regexp_replace("path", "/?conftest\\.py$", "").alias("_folder")).distinct()
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    found = tests.select("path", F.explode(above).alias("_folder")).join(folders, "_folder")
+    return found.groupBy("path").agg(F.max_by("fixtures", F.length("_folder")).alias("fixtures"))
+
+
 def removed_callers(old: DataFrame, new: DataFrame, sites: DataFrame, name: str, where: str) -> DataFrame:
     """Call sites of functions that are gone: names on the old side only, matched by their last segment."""
     gone = old.select(name).distinct().join(new.select(name).distinct(), name, "left_anti").select(name, F.substring_index(name, ".", -1).alias("_short"))

@@ -249,3 +249,30 @@ def stale_marks(spark, d):
     s = table(spark, d, "supplier")
     marks = s.select("s_suppkey", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey")).alias("s_nationkey"), F.when(F.col("s_suppkey") % 5 == 0, "x").otherwise(F.col("s_name")).alias("s_name"))
     return gr.stale_marks(marks, s.where("s_suppkey % 9 <> 0"), "s_suppkey", ["s_nationkey", "s_name"])
+
+
+_CHANGED = """CASE doc_id % 12 WHEN 0 THEN 'src/' || source || '/m' || doc_id || '.py' WHEN 1 THEN source || '/requirements-' || lang || '.txt' WHEN 2 THEN '.github/workflows/package.json'
+  WHEN 3 THEN 'tests/' || source || '/conftest.py' WHEN 4 THEN 'docs/n' || doc_id || '.md' WHEN 5 THEN 'conftest.py' WHEN 6 THEN 'web/' || lang || '/package.json'
+  WHEN 7 THEN 'tests/' || source || '/' || lang || '/test_' || doc_id || '.py' WHEN 8 THEN 'tests/' || source || '/' || lang || '/conftest.py' ELSE 'src/x' || doc_id || '.py' END"""
+
+
+def _changed(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.expr(_CHANGED).alias("path"))
+
+
+@query("run_all_reasons", f"""
+WITH c AS (SELECT doc_id, {_CHANGED} AS path FROM documents)
+SELECT DISTINCT path, CASE WHEN path LIKE '%/requirements-%' OR path LIKE 'web/%' THEN 'configuration' ELSE 'not analysed' END AS reason FROM c
+WHERE path LIKE '%/requirements-%' OR path LIKE 'web/%' OR (path LIKE 'src/%' AND path NOT IN (SELECT path FROM c WHERE doc_id % 5 <> 0))""")
+def run_all_reasons(spark, d):
+    c = _changed(spark, d)
+    return gr.run_all_reasons(c, c.where("doc_id % 5 <> 0"), F.when(F.col("path").startswith("src/"), "code").otherwise("other"))
+
+
+@query("fixture_tests", f"""
+WITH c AS (SELECT doc_id, {_CHANGED} AS path FROM documents), f AS (SELECT DISTINCT path AS fixtures, regexp_replace(path, '/?conftest\\.py$', '') AS folder FROM c WHERE path LIKE '%conftest.py' AND doc_id % 7 <> 0),
+t AS (SELECT DISTINCT path FROM c WHERE path LIKE '%/test_%')
+SELECT path, arg_max(fixtures, length(folder)) AS fixtures FROM t JOIN f ON folder = '' OR starts_with(path, folder || '/') GROUP BY path""")
+def fixture_tests(spark, d):
+    c = _changed(spark, d)
+    return gr.fixture_tests(c.where("doc_id % 7 <> 0"), c.where("path LIKE '%/test_%'").select("path").distinct())
