@@ -38,8 +38,6 @@ SAMPLE_DOCS = 12
 SEGMENT = 1024
 #: Symbols times languages parsed at once.
 CHUNK = 1 << 23
-#: Phrases that the two ends of a text may cost beyond what its language explains.
-ENDS = 2
 _NEXT = 32
 
 
@@ -229,9 +227,10 @@ class Model:
         return s[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
     def predict(self, texts: kernel.Texts, rows: int) -> dict:
-        """``lang_pred``, ``score``, ``bits`` a symbol and ``told``, whether the best language explains the text at all."""
+        """``lang_pred``, ``score``, ``bits`` a symbol and ``told``, whether the learned languages know most of the text's letters."""
         s, at = self.symbols(texts)
-        has = np.diff(np.concatenate([[0], np.cumsum(s > 0)])[at]) > 0
+        letters_ = np.diff(np.concatenate([[0], np.cumsum(s > 0)])[at])
+        has = letters_ > 0
         if not self.languages:
             return {"lang_pred": [UNDETERMINED] * rows, "score": np.zeros(rows), "bits": np.zeros(rows), "told": np.zeros(rows, bool)}
         size = np.maximum(1, np.diff(at))
@@ -242,7 +241,8 @@ class Model:
         random = math.log2(self.size)
         second = np.partition(bits, 1, axis=0)[1] if len(bits) > 1 else np.full(rows, random)
         score = np.clip(1 - least / np.maximum(second, 1e-12), 0, 1)
-        told = has & (np.maximum(count - ENDS, 0) * cost < random * size).any(axis=0)
+        unknown = np.diff(np.concatenate([[0], np.cumsum(s == self.size - 1)])[at])
+        told = 2 * unknown < letters_
         return {
             "lang_pred": [self.languages[b] if f else UNDETERMINED for b, f in zip(best, has, strict=True)],
             "score": np.where(has, score, 0.0), "bits": np.where(has, least, 0.0), "told": told,
@@ -325,9 +325,9 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """The rows of ``docs`` whose language can be told, with all their columns.
 
     Rejects what ``predict`` calls ``und`` (null, empty and letterless texts)
-    and texts that no language describes at all: whose phrases, less ``ENDS`` of
-    them, cost as many bits as symbols drawn at random from the alphabet. Very
-    long texts are parsed whole; repeated rows share their verdict; null ids
+    and texts of which half the letters or more are in no learned language's
+    reference, a script unknown to all of them; clean text in any mixture of
+    the learned languages stays. Very long texts are parsed whole; repeated rows share their verdict; null ids
     need no care; an empty table gives an empty result; columns of any names
     pass through.
     """
