@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspan.llm import digests, langid, linededup, mixing, outliers, packing, sharding, simhash, substrings, weaklabels
+from larkspan.llm import digests, langid, linededup, merkle, mixing, outliers, packing, sharding, simhash, substrings, weaklabels
 
 QUERIES = {
     "op1_robust_outliers": outliers.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_improbable_digest": digests.query,
     "op9_weak_label_quality": weaklabels.query,
     "op10_relative_lz": substrings.query,
+    "op12_superblock_merkle": merkle.query,
 }
 ORACLES: dict = {
     "op5_range_line_dedup": linededup.ORACLE,
