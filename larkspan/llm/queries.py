@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspan.llm import digests, langid, linededup, merkle, mixing, outliers, packing, sharding, simhash, substrings, weaklabels
+from larkspan.llm import digests, langid, linededup, merkle, minhash, mixing, outliers, packing, sharding, simhash, substrings, weaklabels
 
 QUERIES = {
     "op1_robust_outliers": outliers.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_weak_label_quality": weaklabels.query,
     "op10_relative_lz": substrings.query,
     "op12_superblock_merkle": merkle.query,
+    "op13_circulant_minhash": minhash.query,
 }
 ORACLES: dict = {
     "op5_range_line_dedup": linededup.ORACLE,
