@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspan.llm import digests, langid, linededup, merkle, minhash, mixing, outliers, packing, sharding, simhash, substrings, weaklabels
+from larkspan.llm import digests, langid, linededup, merkle, minhash, mixing, outliers, packing, phrases, sharding, simhash, substrings, weaklabels
 
 QUERIES = {
     "op1_robust_outliers": outliers.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_improbable_digest": digests.query,
     "op9_weak_label_quality": weaklabels.query,
     "op10_relative_lz": substrings.query,
+    "op11_sketched_collocations": phrases.query,
     "op12_superblock_merkle": merkle.query,
     "op13_circulant_minhash": minhash.query,
 }
@@ -22,4 +23,5 @@ ORACLES: dict = {
     "op5_range_line_dedup": linededup.ORACLE,
     "op6_systematic_mix": mixing.ORACLE,
     "op10_relative_lz": substrings.ORACLE,
+    "op11_sketched_collocations": phrases.ORACLE,
 }
