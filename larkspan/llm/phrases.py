@@ -78,13 +78,13 @@ def segments(buf: np.ndarray, limit: int, longest: int = LONGEST) -> Iterator[tu
         start = end if not context else start + int(after[-context])
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, kernel.Texts, int]]:
+def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, kernel.Texts, int]]:
     """(first row, end row, texts, context words) of pieces of bounded size of a column of texts."""
-    for i, j, texts in kernel.chunks(column, CHUNK):
-        if len(texts.buf) <= 2 * CHUNK:
+    for i, j, texts in kernel.chunks(column, limit):
+        if len(texts.buf) <= 2 * limit:
             yield i, j, texts, 0
             continue
-        for a, b, context in segments(texts.buf, CHUNK):
+        for a, b, context in segments(texts.buf, limit):
             yield i, j, kernel.Texts(texts.buf[a:b], np.array([0, b - a])), context
 
 
@@ -156,7 +156,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for b in batches:
-            for i, j, texts, context in chunks(b.column(2)):
+            for i, j, texts, context in chunks(b.column(2), CHUNK):
                 g = Grams(texts, b.column(1).slice(i, j - i).to_numpy().view(np.uint64), context)
                 hashes = np.concatenate([h[w] for h, w in zip(g.hashes, g.whole, strict=True)])
                 held.append(_summed(np.concatenate([cells(hashes, r, width) for r in range(ROWS)])))
@@ -282,7 +282,7 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     def count(batches):
         bits = shared.value
         for b in batches:
-            for i, j, texts, context in chunks(b.column(2)):
+            for i, j, texts, context in chunks(b.column(2), CHUNK):
                 g = Grams(texts, b.column(1).slice(i, j - i).to_numpy().view(np.uint64), context)
                 yield from count_passing(g, b.column(0).slice(i, j - i), bits, width)
 
