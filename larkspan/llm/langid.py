@@ -17,7 +17,15 @@ A lane is at most ``SEGMENT`` symbols. A longer document is parsed as several
 lanes that all start a phrase; then the true parse of the lane before is
 carried into each lane until both are in one state, from where they are the
 same. So every text has the phrases of one
-greedy parse from its first symbol to its last.
+greedy parse from its first symbol to its last. A text of more than ``CHUNK``
+symbols times languages is parsed block by block, each from the state that the
+one before ended in.
+
+Whether a language can be told at all is read from the phrases too. Beside its
+automaton each language learns how many phrases a symbol it takes, in labelled
+documents that the automaton has not seen, and how many random letters of the
+language take; half-way is the limit. A text is judged by parts of ``PART``
+symbols, each by the language that it is cheapest in for that language's limit.
 """
 
 from __future__ import annotations
@@ -35,6 +43,12 @@ from larkspan.session import ship
 UNDETERMINED = "und"
 #: Labelled documents that teach one language; they are learned whole.
 SAMPLE_DOCS = 12
+#: Characters that teach one language: documents are left out beyond, and one that is longer by itself is cut.
+SAMPLE_CHARS = 1 << 20
+#: Further documents of each language that show what its text costs, and symbols of random letters that show what noise costs.
+SEEN_DOCS, NOISE = 6, 20_000
+#: Symbols of a text that are judged together.
+PART = 64
 SEGMENT = 1024
 #: Symbols times languages parsed at once.
 CHUNK = 1 << 23
@@ -132,8 +146,10 @@ class Model:
     of state, code point, next state).
     """
 
-    def __init__(self, parts: dict[str, tuple[int, np.ndarray]]) -> None:
+    def __init__(self, parts: dict[str, tuple[int, np.ndarray]], limits: dict[str, float] | None = None) -> None:
         self.languages = sorted(parts)
+        #: phrases a symbol from which a text is noise to the language
+        self.limits = np.array([(limits or {}).get(k, 0.5) for k in self.languages])
         points = np.unique(np.concatenate([np.zeros(1, np.int64), *(parts[k][1][:, 1] for k in self.languages)]))
         self.size = len(points) + 1  # 0 for anything but letters, the reference's letters, and one for other letters
         self.table = np.zeros(0x110000, np.int32)
@@ -165,6 +181,18 @@ class Model:
 
     def phrases(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Phrases (language, text) of the greedy parse of each text; ``at`` has the start of each and the end of the last."""
+        begins = self.parse(symbols, at)[0]
+        counts = np.zeros((len(self.languages), len(at) - 1), np.int64)
+        some = np.diff(at) > 0
+        if some.any():
+            counts[:, some] = np.add.reduceat(begins, at[:-1][some], axis=1, dtype=np.int64)
+        return counts
+
+    def parse(self, symbols: np.ndarray, at: np.ndarray, entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(language, symbol): where phrases begin in the greedy parse of each text; and the states behind the last symbol.
+
+        ``entry`` has the states that the first text is entered in, for one that goes on from a block before.
+        """
         size = np.diff(at)
         pieces = -(-size // SEGMENT)
         owner = np.repeat(np.arange(len(size)), pieces)
@@ -175,6 +203,8 @@ class Model:
         states = np.zeros(begins.shape, np.int32)  # after each symbol
         order = np.argsort(-length, kind="stable")
         state = np.repeat(self.home, len(start), axis=1)
+        if entry is not None and len(start):
+            state[:, np.flatnonzero(order == 0)] = entry[:, None]
         active = np.searchsorted(-length[order], -np.arange(length.max(initial=0)), side="left")
         for t, k in enumerate(active.tolist()):
             where = start[order[:k]] + t
@@ -183,12 +213,8 @@ class Model:
         follows = np.flatnonzero(nth > 0)
         while len(follows):
             follows = self._carry(symbols, begins, states, follows, start, length)
-        if not len(symbols):
-            return np.zeros((len(self.languages), len(size)), np.int64)
-        counts = np.zeros((len(self.languages), len(size)), np.int64)
-        some = size > 0
-        counts[:, some] = np.add.reduceat(begins, at[:-1][some], axis=1, dtype=np.int64)
-        return counts
+        last = states[:, -1].astype(np.int64) if len(symbols) else self.home[:, 0] if entry is None else entry
+        return begins, last
 
     def _carry(self, symbols, begins, states, lanes, start, length) -> np.ndarray:
         """Carry the parse of the lane before into each of ``lanes``; the lanes behind those whose end that changes."""
@@ -226,23 +252,54 @@ class Model:
         keep[at[:-1][at[:-1] < len(s)]] = True
         return s[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
+    def _blocks(self, texts: kernel.Texts):
+        """(symbols, at, goes on): the texts, or blocks of one long text."""
+        limit = _over(self)
+        if len(texts.at) != 2 or len(texts.buf) <= 2 * limit:
+            yield *self.symbols(texts), False
+            return
+        start, last = 0, None
+        while start < len(texts.buf):
+            end = min(len(texts.buf), start + limit)
+            while end < len(texts.buf) and texts.buf[end] & 0xC0 == 0x80:  # not inside a letter
+                end += 1
+            s, at = self.symbols(kernel.Texts(texts.buf[start:end], np.array([0, end - start])))
+            if last == 0 and len(s) and s[0] == 0:  # a run that the block before began
+                s, at = s[1:], at - np.array([0, 1])
+            last = s[-1] if len(s) else last
+            yield s, at, start > 0
+            start = end
+
     def predict(self, texts: kernel.Texts, rows: int) -> dict:
-        """``lang_pred``, ``score``, ``bits`` a symbol and ``told``, whether the learned languages know most of the text's letters."""
-        s, at = self.symbols(texts)
-        letters_ = np.diff(np.concatenate([[0], np.cumsum(s > 0)])[at])
-        has = letters_ > 0
+        """``lang_pred``, ``score``, ``bits`` a symbol and ``told``, whether the text costs less than noise in the learned languages."""
         if not self.languages:
             return {"lang_pred": [UNDETERMINED] * rows, "score": np.zeros(rows), "bits": np.zeros(rows), "told": np.zeros(rows, bool)}
-        size = np.maximum(1, np.diff(at))
-        count, cost = self.phrases(s, at), np.array(self.bits)[:, None]
-        bits = count * cost / size
+        size, letters_, count, cost = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros((len(self.languages), rows), np.int64), np.zeros(rows)
+        entry = None
+        for s, at, goes_on in self._blocks(texts):
+            begins, entry = self.parse(s, at, entry if goes_on else None)
+            size += np.diff(at)
+            letters_ += np.diff(np.concatenate([[0], np.cumsum(s > 0)])[at])
+            parts = -(-np.diff(at) // PART)
+            if not len(s):
+                continue
+            of = np.repeat(np.arange(rows), parts)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+            phrases = np.add.reduceat(begins, at[of] + nth * PART, axis=1, dtype=np.int64)
+            for k in range(len(self.languages)):
+                count[k] += np.bincount(of, weights=phrases[k], minlength=rows).astype(np.int64)
+            # each part in the language that it is cheapest in, in symbols of text that may cost as much
+            cost += np.bincount(of, weights=(phrases / self.limits[:, None]).min(axis=0), minlength=rows)
+        has = letters_ > 0
+        bits = count * np.array(self.bits)[:, None] / np.maximum(1, size)
         best = bits.argmin(axis=0)
         least = bits[best, np.arange(rows)]
         random = math.log2(self.size)
         second = np.partition(bits, 1, axis=0)[1] if len(bits) > 1 else np.full(rows, random)
         score = np.clip(1 - least / np.maximum(second, 1e-12), 0, 1)
-        unknown = np.diff(np.concatenate([[0], np.cumsum(s == self.size - 1)])[at])
-        told = 2 * unknown < letters_
+        # phrases are whole numbers: one more, and the root of those expected, is no sign of noise
+        limit = self.limits.min()
+        told = has & (cost * limit <= size * limit + 1 + np.sqrt(size * limit))
         return {
             "lang_pred": [self.languages[b] if f else UNDETERMINED for b, f in zip(best, has, strict=True)],
             "score": np.where(has, score, 0.0), "bits": np.where(has, least, 0.0), "told": told,
@@ -262,29 +319,62 @@ def learn(texts: list[str]) -> tuple[int, np.ndarray]:
     return len(symbols), np.array(rows, np.int64).reshape(-1, 3)
 
 
+def noise(symbols: list[int], n: int = NOISE) -> list[int]:
+    """Up to ``n`` symbols of the text with each letter replaced by any of its letters, all equally likely."""
+    s = np.array(symbols[:n], np.int64)
+    alphabet = np.unique(s[s > 0])
+    drawn = np.random.default_rng(len(s)).choice(alphabet, len(s)) if len(alphabet) else s
+    return np.where(s > 0, drawn, 0).tolist()
+
+
+def noise_limit(learned: tuple[int, np.ndarray], taught: list[str], unseen: list[str]) -> float:
+    """Phrases a symbol half-way between text of a language and random letters of it; without unseen text, half of noise's."""
+    model = Model({"": learned})
+
+    def rate(symbols: list[int]) -> float:
+        if not symbols:
+            return 0.0
+        points = np.frombuffer("".join(chr(c) if c else " " for c in symbols).encode("utf-8", "surrogatepass"), np.uint8)
+        s, at = model.symbols(kernel.Texts(points, np.array([0, len(points)])))
+        return float(model.phrases(s, at)[0, 0]) / max(1, len(s))
+
+    text, random = rate([c for t in unseen for c in letters(t)]), rate(noise([c for t in taught for c in letters(t)]))
+    return max(0.05, (text + random) / 2)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from labelled rows that are not held out.
 
     ``sample_docs`` documents of each language, those of the least hash of the
-    id that have a text, are learned whole, each language in a task of its own; the driver
-    receives the automata.
+    id that have a text, are learned whole, each language in a task of its own,
+    and ``SEEN_DOCS`` more show what its text costs; the driver receives the
+    automata. Documents beyond ``SAMPLE_CHARS`` characters of a language are not
+    taken; if the first is longer by itself, its first ``SAMPLE_CHARS`` are.
     """
     src = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"), (~held_out(id_col)).alias("o"))
     usable = src.where("l IS NOT NULL AND o AND length(t) > 0")
     h = F.xxhash64("i", F.md5("t"))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    chosen = usable.select("l", h.alias("h")).withColumn("r", rank).where(F.col("r") <= sample_docs).select("h").collect()
+    most = F.lit(SAMPLE_CHARS)
+    first = Window.partitionBy("l").orderBy(F.col("n") > most, "h")
+    ranked = usable.select("l", h.alias("h"), F.length("t").alias("n")).withColumn("r", F.row_number().over(first))
+    some = ranked.where(F.col("r") <= sample_docs + SEEN_DOCS).withColumn("sum", F.sum("n").over(Window.partitionBy("l").orderBy("r")))
+    chosen = some.where((F.col("sum") <= 2 * most) | (F.col("r") == 1)).select("l", "h", "r", "sum").collect()
     if not chosen:
         return Model({})
     ship(docs.sparkSession)
+    taught_ = {(c["l"], c["h"]) for c in chosen if c["r"] <= sample_docs and c["sum"] <= SAMPLE_CHARS or c["r"] == 1}
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, steps = learn(pdf.sort_values("h")["t"].tolist())
-        return pd.DataFrame({"l": [pdf["l"].iloc[0]], "n": [n], "steps": [steps.astype("<i4").tobytes()]})
+        pdf, lang = pdf.sort_values("h"), pdf["l"].iloc[0]
+        taught = [t for k, t in zip(pdf["h"], pdf["t"], strict=True) if (lang, k) in taught_]
+        unseen = [t for k, t in zip(pdf["h"], pdf["t"], strict=True) if (lang, k) not in taught_]
+        n, steps = learn(taught)
+        return pd.DataFrame({"l": [lang], "n": [n], "steps": [steps.astype("<i4").tobytes()], "limit": [noise_limit((n, steps), taught, unseen)]})
 
-    picked = usable.select("l", "t", h.alias("h")).where(F.col("h").isin([r[0] for r in chosen])).dropDuplicates(["l", "h"])
-    parts = picked.groupBy("l").applyInPandas(build, "l string, n long, steps binary").collect()
-    return Model({r["l"]: (r["n"], np.frombuffer(r["steps"], "<i4").reshape(-1, 3).astype(np.int64)) for r in parts})
+    picked = usable.select("l", F.substring("t", 1, SAMPLE_CHARS).alias("t"), h.alias("h")).where(F.col("h").isin([r["h"] for r in chosen])).dropDuplicates(["l", "h"])
+    parts = picked.groupBy("l").applyInPandas(build, "l string, n long, steps binary, limit double").collect()
+    model = {r["l"]: (r["n"], np.frombuffer(r["steps"], "<i4").reshape(-1, 3).astype(np.int64)) for r in parts}
+    return Model(model, {r["l"]: r["limit"] for r in parts})
 
 
 def _over(model: Model) -> int:
@@ -325,11 +415,13 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """The rows of ``docs`` whose language can be told, with all their columns.
 
     Rejects what ``predict`` calls ``und`` (null, empty and letterless texts)
-    and texts of which half the letters or more are in no learned language's
-    reference, a script unknown to all of them; clean text in any mixture of
-    the learned languages stays. Very long texts are parsed whole; repeated rows share their verdict; null ids
-    need no care; an empty table gives an empty result; columns of any names
-    pass through.
+    and texts whose parse costs more than half-way from a learned language to
+    random letters of it: noise, and texts mostly in letters that no learned
+    language has. Each part of a text may be in another language, so clean
+    mixtures stay; short texts stay unless their phrases exceed the limit by more
+    than one and the root of what it allows. Very long texts are parsed whole;
+    repeated rows share their verdict; null ids need no care; an empty table
+    gives an empty result; columns of any names pass through.
     """
     spark = docs.sparkSession
     ship(spark)
