@@ -13,9 +13,8 @@ blocks is one grid, and points of one cell of one grid are compared: first by
 the bound, then exactly.
 
 Components are asked for, so the pairs of a family are not listed. First each
-point is compared with the least of its cell and with its neighbours there in
-the order of fingerprints; only cells that still hold several components are
-then joined with themselves, across components, and what leaves the join is
+point is compared with the least of its cell; only cells that still hold several
+components are then joined with themselves, across components, and what leaves the join is
 one row for each two components that meet.
 """
 
@@ -28,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from larkspan.llm import graphs, rows as keyed
 from larkspan.session import materialize, ship
@@ -123,16 +122,16 @@ def links(points: DataFrame, radius: int = 3, blocks: int = BLOCKS) -> DataFrame
     cells = points.select("fp", F.explode(F.array(*[
         F.xxhash64(F.lit(i), pc.bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(grids(radius, blocks))
     ])).alias("cell"))
-    cell, ordered = Window.partitionBy("cell"), Window.partitionBy("cell").orderBy("fp")
-    held = cells.select("fp", "cell", F.count("*").over(cell).alias("n"), F.min("fp").over(cell).alias("least"), F.lag("fp").over(ordered).alias("before"))
-    held = materialize(held.where("n > 1").drop("n"), "cells")
-    tried = held.select("fp", F.explode(F.array("least", "before")).alias("other")).where("other <> fp")
-    star = tried.where(_near(F.col("fp"), F.col("other"), radius)).select(F.col("fp").alias("v"), F.col("other").alias("u")).distinct()
-    star = materialize(star, "star")
+    # counts are written before they are joined back, so that Spark can split a hot cell
+    cells = materialize(cells, "cells")
+    shared = materialize(cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1").select("cell", "least"), "shared")
+    held = materialize(cells.join(shared, "cell"), "held")
+    star = held.where((F.col("fp") != F.col("least")) & _near(F.col("fp"), F.col("least"), radius)).select(F.col("fp").alias("v"), F.col("least").alias("u")).distinct()
     found = graphs.components(star)
     labelled = held.select("fp", "cell").join(found, F.col("fp") == F.col("node"), "left").select("fp", "cell", F.coalesce("component", "fp").alias("c"))
-    apart = labelled.select("*", F.min("c").over(cell).alias("lo"), F.max("c").over(cell).alias("hi")).where("lo < hi")
-    apart = materialize(apart.select("fp", "cell", "c"), "apart")
+    labelled = materialize(labelled, "labelled")
+    mixed = labelled.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("cell")
+    apart = materialize(labelled.join(materialize(mixed, "mixed"), "cell"), "apart")
     meet = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.c") < F.col("b.c")) & _near(F.col("a.fp"), F.col("b.fp"), radius)
     more = apart.alias("a").join(apart.alias("b"), meet).select(F.col("a.c").alias("u"), F.col("b.c").alias("v")).distinct()
     return graphs.components(found.select(F.col("component").alias("u"), F.col("node").alias("v")).union(more))
@@ -164,19 +163,22 @@ def near_duplicates(
     equi-joins whose hot fingerprints Spark splits (adaptive skew join).
     """
     rows = materialize(grouped(docs, id_col, text_col, words, radius, blocks), "grouped")
-    least = rows.groupBy("group").agg(F.min("_id").alias("component_id"))
+    least = materialize(rows.groupBy("group").agg(F.min("_id").alias("component_id")), "least")
     return rows.join(least, "group").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each group of near-duplicates with all its columns, as ``one_of_each`` chooses it."""
+    """One row of each group of near-duplicates with all its columns, as ``one_of_each`` chooses it.
+
+    Null and empty texts and those without words have fingerprint zero and are one group with whatever is near it; very long texts are read whole.
+    """
     return one_of_each(docs, grouped(docs, id_col, text_col, **options), id_col, text_col)
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each ``group`` of ``groups`` (_id, r1, r2, group): the one of the smallest id, nulls last, ties by the key.
 
-    Repeated rows count once. The keys that stay are hashed against the shuffled rows, so text is never sorted but for
+    Null, empty and very long texts are rows like any other. Repeated rows count once. The keys that stay are hashed against the shuffled rows, so text is never sorted but for
     rows that repeat; columns of any names pass through. An empty table gives an empty result.
     """
     least = F.min(F.struct(F.isnull("_id").alias("null"), "_id", "r1", "r2"))

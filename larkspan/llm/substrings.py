@@ -221,7 +221,9 @@ def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = src.schema["_id"].dataType.simpleString()
     keyed = src.select("r1", "r2", "key", F.xxhash64("_id").alias("i"))
     classes = keyed.groupBy("key").agg(F.count("*").alias("copies"), F.min("i").alias("lender"))
-    flags = keyed.join(classes, "key").groupBy("r1", "r2").agg(
+    # joined by the reversed digest: both sides are then exchanges of their own, and Spark can split a hot text
+    back = F.reverse("key").alias("yek")
+    flags = keyed.select("r1", "r2", "i", back).join(classes.select(back, "copies", "lender"), "yek").groupBy("r1", "r2").agg(
         F.max("copies").alias("copies"), F.max(F.col("i") == F.col("lender")).alias("lends"),
     )
     base = _pack(src.drop("key"), f"r1 long, r2 long, _id {id_type}, text binary").join(flags.hint("shuffle_hash"), ["r1", "r2"], "left")
