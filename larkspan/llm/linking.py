@@ -2,14 +2,18 @@
 
 Rows that hold the same set are one node, known by 128 bits of the set and then
 by a number. Nodes that hold one posting key may be similar. The pairs of a
-family are not listed: each node is first compared with one hub, the least
-node of a posting list, then with its other hubs, and only lists that still
-hold several components are joined with themselves, across components. Every
-link is verified on whole sets of 64-bit shingle hashes.
+family are not listed: each node is first compared with one hub, the holder of
+a list that shares most with all others, then with the hubs of its other lists, and
+only lists that still hold several components are joined with themselves,
+across components. Pairs whose parities differ in more bits than similar sets
+have different shingles are dropped; every link is verified on whole sets of
+64-bit shingle hashes.
 
 Keys that many rows share are counted by partial aggregates, and the counts are
 written before they are joined back: both sides of such a join are then plain
-exchanges, so that Spark can split a hot key (adaptive skew join).
+exchanges, so that Spark can split a hot key (adaptive skew join). Whole sets
+are computed where the texts are read, for the rows that a bit map of a fixed
+size lets pass, so texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from larkspan.session import materialize
 
 #: Least 64-bit words of a set's parities: of each class of hashes, whether it holds an odd number.
 PARITIES = 8
-#: Rows up to which the texts asked for may be named by a broadcast.
-SENT = 10_000
+#: Bits of the map that names the rows whose sets are asked for.
+MAP_BITS = 1 << 26
 
 
 def shingle_sets(texts: kernel.Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +95,7 @@ def parities_fit(x: str, y: str) -> Column:
 
     Parities of two sets of different sizes are folded to the shorter length.
     """
-    p, q = F.col(f"{x}.p"), F.col(f"{y}.p")
+    p, q, a, b = F.col(f"{x}.p"), F.col(f"{y}.p"), F.col(f"{x}.size"), F.col(f"{y}.size")
     n = F.least(F.size(p), F.size(q))  # similar sets have as many, or one of them twice as many
 
     def folded(words, i):
@@ -99,7 +103,7 @@ def parities_fit(x: str, y: str) -> Column:
 
     add = lambda total, i: total + F.bit_count(folded(p, i).bitwiseXOR(folded(q, i)))
     differ = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
-    return 9 * differ <= F.col(f"{x}.size") + F.col(f"{y}.size")
+    return (5 * F.least(a, b) >= 4 * F.greatest(a, b)) & (9 * differ <= a + b)
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
@@ -111,52 +115,81 @@ def nodes_of(rows: DataFrame) -> DataFrame:
     return materialize(rows.where("size > 0").groupBy("k1", "k2").agg(*firsts).withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
+def _bit_map(rows: DataFrame) -> np.ndarray:
+    """A map of ``MAP_BITS`` bits in which the two bits of each row's key r1 are set, as bytes."""
+    bit = F.explode(F.array(F.col("r1"), F.shiftrightunsigned("r1", 32))).alias("b")
+    at = rows.select(bit).select(F.col("b").bitwiseAND(F.lit(MAP_BITS - 1)).alias("b"))
+    words = at.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("bits"))
+    out = np.zeros(MAP_BITS // 64, np.uint64)
+    for b in words.toArrow().to_batches():  # at most MAP_BITS / 64 rows
+        out[b.column(0).to_numpy()] = b.column(1).to_numpy().view(np.uint64)
+    return out.view(np.uint8)
+
+
+def _in_map(r1: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    out = np.ones(len(r1), bool)
+    for h in (r1, r1 >> np.uint64(32)):
+        at = h & np.uint64(MAP_BITS - 1)
+        out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
 def wanted_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(node, s): the whole set of each of ``nodes`` (node, k1, k2), from the text of one row (k1, k2, r1, r2, size) of ``docs`` that holds it."""
+    """(node, s): the whole set of each of ``nodes`` (node, k1, k2), from the text of a row (k1, k2, r1, r2, size) of ``docs`` that holds it.
+
+    The map may let other rows pass, more of them the more rows are asked for; a join on the rows' keys drops them.
+    """
     some = rows.where("size > 0").groupBy("k1", "k2").agg(F.min("r1").alias("r1"), F.min_by("r2", "r1").alias("r2"))
-    chosen = materialize(some.join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("r1", "r2", "node"), "wanted")
-    text = docs.select(*keyed.key(id_col, text_col), F.col(text_col).alias("text"))
-    # few rows may be sent to the texts (if Spark's threshold allows); beyond, texts are shuffled but not sorted
-    side = chosen if chosen.count() <= SENT else chosen.hint("shuffle_hash")
-    found = text.join(side, ["r1", "r2"]).groupBy("r1", "r2").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    chosen = materialize(nodes.select("k1", "k2", "node").join(some, ["k1", "k2"]).select("r1", "r2", "node"), "wanted")
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_map(chosen))  # MAP_BITS bits
 
     def run(batches):
+        bits = shared.value
         for b in batches:
-            for i, j, texts in kernel.chunks(b.column(1)):
+            b = b.filter(pa.array(_in_map(b.column(0).to_numpy().view(np.uint64), bits)))
+            for i, j, texts in kernel.chunks(b.column(2)):
                 h, at = shingle_sets(texts, words)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), lists(h, at)], names=["node", "s"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), lists(h, at)], names=["r1", "r2", "s"])
 
-    return found.select("node", "text").mapInArrow(run, "node long, s array<long>")
+    text = docs.select(*keyed.key(id_col, text_col), F.col(text_col).alias("text"))
+    found = text.mapInArrow(run, "r1 long, r2 long, s array<long>").join(chosen, ["r1", "r2"])
+    # rows that repeat give a set once
+    return found.groupBy("node").agg(F.first("s").alias("s"))
 
 
 def components(
-    nodes: DataFrame, posts: DataFrame, sizes_fit: Callable[[Column, Column, Column, Column], Column], sets: Callable[[DataFrame], DataFrame],
+    nodes: DataFrame, posts: DataFrame, sets: Callable[[DataFrame], DataFrame], fit: Callable[[Column, Column, Column, Column], Column] | None = None,
 ) -> DataFrame:
     """(node, component) of the ``nodes`` that are not the least of their component.
 
-    ``posts`` has (s, node, size, pos) and is written; ``sizes_fit(size, size,
-    pos, pos)`` says whether two holders of one key may be similar, and
-    ``sets(nodes)`` gives the whole sets (node, s) of some nodes.
+    ``posts`` has (s, node) and is written; with ``fit(size, size, pos, pos)``,
+    which says whether two holders of one key may be similar, also size and
+    pos. ``sets(nodes)`` gives the whole sets (node, s) of some nodes.
     """
-    kind = F.floor(F.log("size") / F.log(F.lit(1.25))).cast("int")
-    # sets of one class of sizes meet at one hub for each key; the others are seen to below
-    hubs = posts.groupBy("s", kind.alias("kind")).agg(F.min(F.struct("node", "size", "pos")).alias("hub"), F.count("*").alias("n"))
-    hubs = materialize(hubs.where("n > 1").select("s", "kind", "hub"), "hubs")
-    met = posts.withColumn("kind", kind).join(hubs, ["s", "kind"]).where(F.col("node") != F.col("hub.node"))
-    star = met.where(sizes_fit(F.col("hub.size"), F.col("size"), F.col("hub.pos"), F.col("pos"))).groupBy(F.col("hub.node").alias("u"), F.col("node").alias("v"))
-    star = materialize(star.agg(F.count("*").alias("n")), "star")
-    known = nodes.select("node", "size", "p")
+    more = [] if fit is None else ["size", "pos"]
+    counts = materialize(posts.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    held = materialize(posts.join(counts, "s"), "held")
+    # the set that most of a family was made from shares most with the others: as a hub it links them all
+    weight = materialize(held.groupBy("node").agg(F.sum("n").alias("w")), "weights")
+    known = materialize(nodes.join(weight, "node").select("node", "k1", "k2", "size", "p"), "known")
+    first = F.max(F.struct("w", (-F.col("node")).alias("node"), *more)).alias("hub")
+    hubs = materialize(held.join(weight, "node").groupBy("s").agg(first).select("s", (-F.col("hub.node")).alias("u"), *[F.col(f"hub.{c}").alias(f"u_{c}") for c in more]), "hubs")
+    met = held.join(hubs, "s").where(F.col("node") != F.col("u"))
+    if fit is not None:
+        met = met.where(fit(F.col("u_size"), F.col("size"), F.col("u_pos"), F.col("pos")))
+    star = materialize(met.groupBy("u", F.col("node").alias("v")).agg(F.count("*").alias("n")), "star")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(known.alias("y"), F.col("v") == F.col("y.node")).join(known.alias("x"), F.col("u") == F.col("x.node"))
+        some = known.select("node", "size", "p")
+        both = pairs.join(some.alias("y"), F.col("v") == F.col("y.node")).join(some.alias("x"), F.col("u") == F.col("x.node"))
         return both.where(parities_fit("x", "y")).select("u", "v")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(alike(pairs), "candidates")
+        pairs = materialize(pairs, "candidates")
         if pairs.isEmpty():
             return pairs
         wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        whole = materialize(sets(nodes.join(wanted, "node", "left_semi")), "sets")
+        whole = materialize(sets(known.join(wanted, "node", "left_semi")), "sets")
         both = pairs.join(whole.select(F.col("node").alias("v"), F.col("s").alias("y")), "v").join(whole.select(F.col("node").alias("u"), F.col("s").alias("x")), "u")
         shared = F.size(F.array_intersect("x", "y"))
         return materialize(both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("u", "v"), "links")
@@ -169,22 +202,26 @@ def components(
         return ends.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
 
     def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+        if links.isEmpty():
+            return found
         return graphs.components(found.select(F.col("component").alias("u"), F.col("node").alias("v")).union(links))
 
     nearest = star.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select("u", "v")
-    found = graphs.components(verified(nearest))
-    found = joined(found, verified(across(star.select("u", "v"), found)))
-    labelled = materialize(posts.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "labelled")
+    found = graphs.components(verified(alike(nearest)))
+    found = joined(found, verified(alike(across(star.select("u", "v"), found))))
+    labelled = held.drop("n").join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    labelled = materialize(labelled, "labelled")
     mixed = labelled.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
-    apart = materialize(labelled.join(materialize(mixed, "mixed"), "s"), "apart")
-    meet = (
-        (F.col("x.s") == F.col("y.s")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
-        & sizes_fit(F.col("x.size"), F.col("y.size"), F.col("x.pos"), F.col("y.pos"))
-    )
-    rest = apart.alias("x").join(apart.alias("y"), meet).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
+    apart = labelled.drop("size").join(materialize(mixed, "mixed"), "s").join(known.select("node", "size", "p"), "node")
+    apart = materialize(apart, "apart")
+    meet = (F.col("x.s") == F.col("y.s")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
+    if fit is not None:
+        meet = meet & fit(F.col("x.size"), F.col("y.size"), F.col("x.pos"), F.col("y.pos"))
+    # the bound is part of the join, so pairs that cannot be similar never leave it
+    rest = apart.alias("x").join(apart.alias("y"), meet & parities_fit("x", "y")).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
     # pairs that were compared at a hub are not compared again
-    rest = rest.join(star.select("u", "v"), ["u", "v"], "left_anti")
-    return joined(found, verified(rest))
+    hubbed = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return joined(found, verified(rest.join(hubbed, ["u", "v"], "left_anti")))
 
 
 def row_groups(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:

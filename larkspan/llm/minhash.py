@@ -82,10 +82,6 @@ def points(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> D
     return src.mapInArrow(run, f"_id {id_type}, r1 long, r2 long, k1 long, k2 long, size int, p array<long>, post array<long>")
 
 
-def _sizes_fit(a, b, i, j):
-    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of ``docs``.
 
@@ -101,8 +97,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(docs.sparkSession)
     rows = materialize(points(docs, id_col, text_col, words), "points")
     nodes = linking.nodes_of(rows)
-    posts = materialize(nodes.select("node", "size", F.explode("post").alias("s"), F.lit(0).alias("pos")), "bands")
-    found = linking.components(nodes, posts, _sizes_fit, lambda some: linking.wanted_sets(docs, rows, some, id_col, text_col, words))
+    posts = materialize(nodes.select("node", F.explode("post").alias("s")), "bands")
+    found = linking.components(nodes, posts, lambda some: linking.wanted_sets(docs, rows, some, id_col, text_col, words))
     grouped = linking.row_groups(rows.select("_id", "size", "k1", "k2"), nodes, found)
     least = materialize(grouped.groupBy("group").agg(F.min("_id").alias("component_id")), "least")
     linked = grouped.join(least, "group").select("_id", "size", "component_id")
