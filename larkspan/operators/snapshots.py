@@ -63,7 +63,10 @@ def write_partitions(df: DataFrame, where: str, by: list[str]) -> None:
 
 
 def publish(df: DataFrame, where: str, failures: int = 0) -> bool:
-    """Write a new generation beside the old one and swap it in, only when nothing failed; readers see one or the other."""
+    """Write a new generation beside the old one and swap it in by two renames, only when nothing failed.
+
+    Between the renames there is no table at ``where``; ``store.Store`` has no such moment, for readers that go through it.
+    """
     if failures:
         return False
     spark = df.sparkSession
