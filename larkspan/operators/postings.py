@@ -5,7 +5,7 @@ Tables of the store (``store.py``), each in generations:
 * ``postings``: blocks of up to ``BLOCK`` postings of one term in one shard of documents, in the order of the documents:
   their ids, weighted frequencies, lengths and the positions of the term; and for the block its first and last document,
   the highest frequency, the least length and its best posting. Folders by bucket of the term's hash.
-* ``documents``: length, distinct terms and kept columns of each document.
+* ``documents``: length, tokens and kept columns of each document.
 * ``terms``: by how many documents a generation changes a term's document frequency; sums are those of the live documents.
 * ``dead``: documents that a generation replaces or removes, and the generation that has them.
 
@@ -24,11 +24,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspan.functions import text as tx
 from larkspan.operators.store import Store
-from larkspan.session import ship
+from larkspan.session import ship, spread
 
 K1, B = 1.2, 0.75
 BLOCK = 128
@@ -49,38 +51,62 @@ def _shards(n: int, size: int) -> int:
     return max(1, -(-n // size))
 
 
-def _cut(listed: DataFrame) -> DataFrame:
-    """Blocks of sorted postings (bucket, shard, term, p)."""
-    starts = F.sequence(F.lit(0), F.floor((F.size("p") - 1) / BLOCK).cast("int"))
-    cut = listed.select("bucket", "shard", "term", F.posexplode(F.transform(starts, lambda i: F.slice("p", i * BLOCK + 1, F.lit(BLOCK)))).alias("block", "p"))
-    # the best posting by lengths of about 200; whichever it is, it is a document that scores so much
-    gain = lambda x: x["f"] / (x["f"] + K1 * (1 - B + B * x["dl"] / 200.0))
-    best = F.array_max(F.transform("p", lambda x: F.struct(gain(x).alias("g"), x["f"].alias("f"), x["dl"].alias("dl"))))
-    each = lambda name: F.transform("p", lambda x: x[name]).alias(f"{name}s")
-    out = cut.select(
-        "bucket", "shard", "term", "block", F.size("p").alias("n"), F.get("p", F.lit(0))["doc"].alias("first"), F.element_at("p", -1)["doc"].alias("last"),
-        F.array_max(F.transform("p", lambda x: x["f"])).alias("max_f"), F.array_min(F.transform("p", lambda x: x["dl"])).alias("min_dl"),
-        best["f"].alias("best_f"), best["dl"].alias("best_dl"), each("doc"), each("f"), each("dl"), each("at"),
-    )
-    return out.sortWithinPartitions("bucket", "shard", "term", "block")
-
-
 def _frequency(at: Column, weights: list[float]) -> Column:
     """The weighted number of positions."""
     weight = F.array(*[F.lit(float(w)) for w in weights])
     return F.aggregate(at, F.lit(0.0), lambda s, a: s + F.get(weight, F.shiftright(a, 26)))
 
 
+def shard_blocks(table: pa.Table, weights: list[float]) -> pa.Table:
+    """The blocks (shard, term, block, ...) of the documents (doc, dl, shard, toks: an array of tokens for each field) of one shard."""
+    toks, docs, length = table.column("toks").combine_chunks(), table.column("doc").combine_chunks(), table.column("dl").to_numpy()
+    by_id = pc.sort_indices(docs)
+    rank = np.empty(len(docs), np.int64)
+    rank[by_id.to_numpy()] = np.arange(len(docs))
+    fields, tokens = toks.flatten(), toks.flatten().flatten()
+    size = pc.list_value_length(fields).to_numpy()
+    doc = np.repeat(np.repeat(rank, pc.list_value_length(toks).to_numpy()), size)
+    field = np.repeat(np.tile(np.arange(len(weights)), len(docs)), size)
+    at = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size) + field * FIELD
+    coded = tokens.dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    order = np.lexsort((at, doc, code))
+    code, doc, at, field = code[order], doc[order], at[order], field[order]
+    # occurrences are runs of a posting, postings runs of a term, and blocks pieces of those runs
+    starts = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])) if len(code) else np.zeros(0, np.int64)
+    f = np.add.reduceat(np.array(weights)[field], starts) if len(starts) else np.zeros(0)
+    dl, term, doc = length[by_id.to_numpy()][doc[starts]], code[starts], doc[starts]
+    first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+    nth = np.arange(len(term)) - np.repeat(first, np.diff(np.append(first, len(term))))
+    cut = np.flatnonzero(nth % BLOCK == 0)
+    ends = np.append(cut, len(term))
+    reached = f / (f + K1 * (1 - B + B * dl / 200.0))  # by any one length; whichever posting it is, its document scores that much
+    top = np.maximum.reduceat(reached, cut) if len(cut) else reached
+    best = np.flatnonzero(reached == np.repeat(top, np.diff(ends)))
+    best = best[np.searchsorted(best, cut)]
+    listed = lambda values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+    ids, places = docs.take(by_id).take(pa.array(doc)), pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)).astype(np.int32)), pa.array(at.astype(np.int32)))
+    least = np.minimum.reduceat(dl, cut) if len(cut) else dl
+    most = np.maximum.reduceat(f, cut) if len(cut) else f
+    return pa.table({
+        "shard": pa.array(np.full(len(cut), table.column("shard")[0].as_py(), np.int32)), "term": coded.dictionary.take(pa.array(term[cut])),
+        "block": pa.array((nth[cut] // BLOCK).astype(np.int32)), "n": pa.array(np.diff(ends).astype(np.int32)), "first": ids.take(pa.array(cut)),
+        "last": ids.take(pa.array(ends[1:] - 1)), "max_f": pa.array(most), "min_dl": pa.array(least.astype(np.int32)), "best_f": pa.array(f[best]),
+        "best_dl": pa.array(dl[best].astype(np.int32)), "docs": listed(ids), "fs": listed(pa.array(f)), "dls": listed(pa.array(dl.astype(np.int32))), "ats": listed(places),
+    })
+
+
 def _blocks(docs: DataFrame, weights: list[float], shards: int, buckets: int) -> DataFrame:
-    """The blocks of documents (doc, dl, toks: an array of tokens for each field)."""
-    every = F.flatten(F.transform("toks", lambda t, i: F.transform(t, lambda w, j: F.struct(w.alias("term"), (i * FIELD + j).cast("int").alias("at")))))
-    rows = docs.select("doc", "dl", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int").alias("shard"), F.inline(every))
-    # a term's postings of a shard are counted and cut into blocks where they land
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition(n, "bucket", "shard")
-    posting = rows.groupBy("bucket", "shard", "term", "doc", "dl").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    listed = posting.groupBy("bucket", "shard", "term").agg(F.array_sort(F.collect_list(F.struct("doc", _frequency("at", weights).alias("f"), "dl", "at"))).alias("p"))
-    return _cut(listed)
+    """The blocks of documents (doc, dl, toks); tokens are shuffled once, a shard at a time is cut into blocks."""
+    ship(docs.sparkSession)
+    kind = docs.schema["doc"].dataType.simpleString()
+    schema = (
+        f"shard int, term string, block int, n int, first {kind}, last {kind}, max_f double, min_dl int, best_f double, best_dl int, "
+        f"docs array<{kind}>, fs array<double>, dls array<int>, ats array<array<int>>"
+    )
+    rows = docs.select("doc", "dl", "toks", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int").alias("shard"))
+    out = rows.groupBy("shard").applyInArrow(lambda table: shard_blocks(table, weights), schema)
+    return out.withColumn("bucket", _bucket(F.col("term"), buckets)).sortWithinPartitions("bucket", "shard", "term", "block")
 
 
 def update(
@@ -100,14 +126,13 @@ def update(
     gen = store.generation()
     weights = list(fields.values())
     toks = F.array(*[tx.tokens(F.col(f)) for f in fields])
-    src = docs.select(F.col(doc_id).alias("doc"), *keep, toks.alias("toks"))
+    src = spread(docs).select(F.col(doc_id).alias("doc"), *keep, toks.alias("toks"))
     dl = F.aggregate("toks", F.lit(0), lambda n, t: n + F.size(t))
-    # tokens are written once: lengths, terms and blocks are read from there
-    src = store.write("scratch", gen, src.select("doc", *keep, dl.alias("dl"), "toks"))
-    new = store.write("documents", gen, src.select("doc", "dl", F.array_distinct(F.flatten("toks")).alias("terms"), *keep))
+    # tokens are taken from the texts once: lengths, terms and blocks are read from there
+    new = store.write("documents", gen, src.select("doc", dl.alias("dl"), "toks", *keep))
     total = new.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     shards = _shards(total[0], shard_docs)
-    blocks = store.write("postings", gen, _blocks(src, weights, shards, buckets), ("bucket",))
+    blocks = store.write("postings", gen, _blocks(new, weights, shards, buckets), ("bucket",))
     delta = blocks.groupBy("term").agg(F.sum("n").alias("n"))
     n_docs, length = state["facts"].get("n_docs", 0) + total[0], state["facts"].get("length", 0) + total[1]
     add = {"postings": gen, "documents": gen, "terms": gen, **(extra or {})}
@@ -115,18 +140,18 @@ def update(
     if old is not None:
         changed = new.select("doc") if removed is None else new.select("doc").union(removed.select(F.col(doc_id).alias("doc")))
         gone = old.join(changed.distinct(), "doc", "left_semi")
-        gone = store.write("dead", gen, gone.select("doc", "dl", F.col("gen").alias("of"), "terms"))
+        gone = store.write("dead", gen, gone.select("doc", "dl", F.col("gen").alias("of"), F.array_distinct(F.flatten("toks")).alias("terms")))
         add["dead"] = gen
         left = gone.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         n_docs, length = n_docs - left[0], length - left[1]
         delta = delta.union(gone.select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("n"))).groupBy("term").agg(F.sum("n").alias("n"))
-    store.write("terms", gen, delta.where("n <> 0").withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket").sortWithinPartitions("term"))
+    store.write("terms", gen, _by_term(delta, buckets))
     facts = {"n_docs": n_docs, "length": length, "buckets": buckets, "weights": weights, "shards": state["facts"].get("shards", {}) | {gen: shards}}
     return store.commit(state, add, facts=facts, batch=batch)
 
 
 def live_documents(store: Store, state: dict | None = None) -> DataFrame | None:
-    """(doc, dl, terms, kept columns, gen) of the documents that no later generation replaced or removed."""
+    """(doc, dl, toks, kept columns, gen) of the documents that no later generation replaced or removed."""
     state = state or store.current()
     docs, dead = store.read("documents", state), store.read("dead", state)
     if docs is None or dead is None:
@@ -135,26 +160,24 @@ def live_documents(store: Store, state: dict | None = None) -> DataFrame | None:
 
 
 def compact(store: Store, shard_docs: int = SHARD_DOCS) -> dict:
-    """Rewrite all generations as one, without what is dead; the scores stay."""
+    """Rewrite all generations as one, without what is dead, from the tokens of the live documents; the scores stay."""
     state = store.current()
-    docs, blocks = live_documents(store, state), store.read("postings", state)
+    docs = live_documents(store, state)
     if docs is None:
         return state
     gen, facts = store.generation(), state["facts"]
-    n, shards = int(store.spark.conf.get("spark.sql.shuffle.partitions")), _shards(facts["n_docs"], shard_docs)
-    rows = blocks.select("gen", "bucket", "term", F.inline(F.arrays_zip("docs", "fs", "dls", "ats"))).toDF("gen", "bucket", "term", "doc", "f", "dl", "at")
-    dead = store.read("dead", state)
-    if dead is not None:
-        rows = rows.join(dead.select("doc", F.col("of").alias("gen")), ["doc", "gen"], "left_anti")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int")).repartition(n, "bucket", "shard")
-    listed = rows.groupBy("bucket", "shard", "term").agg(F.array_sort(F.collect_list(F.struct("doc", "f", "dl", "at"))).alias("p"))
-    store.write("postings", gen, _cut(listed), ("bucket",))
-    store.write("documents", gen, docs.drop("gen"))
-    store.write("terms", gen, store.read("terms", state).groupBy("term", "bucket").agg(F.sum("n").alias("n")).where("n <> 0").repartition("bucket").sortWithinPartitions("term"))
+    shards = _shards(facts["n_docs"], shard_docs)
+    new = store.write("documents", gen, docs.drop("gen"))
+    blocks = store.write("postings", gen, _blocks(new, facts["weights"], shards, facts["buckets"]), ("bucket",))
+    store.write("terms", gen, _by_term(blocks.groupBy("term").agg(F.sum("n").alias("n")), facts["buckets"]))
     state["tables"].pop("dead", None)
     return store.commit(state, {}, {"postings": gen, "documents": gen, "terms": gen}, facts={"shards": {gen: shards}})
 
 
+def _by_term(counts: DataFrame, buckets: int) -> DataFrame:
+    return counts.where("n <> 0").withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket").sortWithinPartitions("term")
+
+
 class Plan:
     """What every shard needs to know: the queries' phrases by number, the phrases' weights, the average length, and k."""
 
@@ -308,7 +331,7 @@ def _search(store: Store, state: dict, asked: DataFrame, k: int, accept: Column
     mine: list[list[int]] = [[] for _ in ids]
     for r in rows:  # different terms may come to one phrase; each counts
         mine[at[r["query"]]].append(number[r["phrase"]])
-    keep = [f.name for f in store.read("documents", state).schema if f.name not in ("doc", "dl", "terms", "gen")]
+    keep = [f.name for f in store.read("documents", state).schema if f.name not in ("doc", "dl", "toks", "gen")]
     dead = store.read("dead", state)
     shard_of = F.pmod(F.xxhash64("doc"), F.element_at(F.create_map(*[F.lit(x) for g, n in facts["shards"].items() for x in (g, n)]), F.col("gen")))
     chosen = accept is not None or group is not None

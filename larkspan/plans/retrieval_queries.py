@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from larkspan.functions import text as tx, vectors as vx
-from larkspan.operators import embedding as em, retrieval as rt
+from larkspan.operators import embedding as em, postings, retrieval as rt
+from larkspan.operators.store import Store
 from larkspan.plans.registry import query
-from larkspan.session import table
+from larkspan.session import scratch_root, table
 
 
 _TOKENS = r"regexp_extract_all(lower(strip_accents(coalesce({c}, ''))), '[\p{{L}}\p{{N}}]+')"
@@ -40,8 +43,35 @@ def _benchmark_terms(spark, d):
     return table(spark, d, "benchmark").select("item_id", tx.query_terms(F.col("text")).alias("terms"))
 
 
-def _bm25(spark, d, accept=None):
-    return rt.bm25(_benchmark_terms(spark, d), table(spark, d, "documents"), {"source": 3.0, "text": 1.0}, "item_id", accept=accept, filters=("lang",))
+#: Indexes that this process has built, by application and by what they were built from.
+_BUILT: dict[tuple, Store] = {}
+SHARD_DOCS, BUCKETS = 1280, 8
+
+
+def _files(spark, d, name):
+    """The files of a table as a value: it changes where the table does."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.listStatus(path) if fs.getFileStatus(path).isDirectory() else [fs.getFileStatus(path)]
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
+
+
+def index(spark, d):
+    """The stored postings index of ``documents`` in the shared folder; built by the first query that asks for it."""
+    key = (spark.sparkContext.applicationId, *_files(spark, d, "documents"), *_files(spark, d, "embeddings"))
+    if key not in _BUILT:
+        store = Store(spark, f"{scratch_root(spark)}/larkspan/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}")
+        vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("has_vector")).distinct()
+        docs = table(spark, d, "documents").select("doc_id", "source", "text", "lang").join(vectors, "doc_id", "left")
+        postings.update(store, docs, {"source": 3.0, "text": 1.0}, keep=("lang", "has_vector"), shard_docs=SHARD_DOCS, buckets=BUCKETS)
+        _BUILT[key] = store
+    return _BUILT[key]
+
+
+def _bm25(spark, d, k, **options):
+    """(item_id, doc_id, score, rank): the first ``k`` documents of each benchmark item."""
+    hits = postings.search(index(spark, d), _benchmark_terms(spark, d), k, "item_id", **options)
+    return hits
 
 
 def _ranked(hits, k):
@@ -55,7 +85,7 @@ SELECT item_id, doc_id, score, rank FROM (
          row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM sc
 ) WHERE rank <= 10""")
 def bm25_topk(spark, d):
-    return _ranked(_bm25(spark, d), 10).select("item_id", "doc_id", "score", "rank")
+    return _bm25(spark, d, 10).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("bm25_filtered_topk", _BM25 + """
@@ -64,7 +94,7 @@ SELECT item_id, doc_id, score, rank FROM (
          row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM sc WHERE lang = 'en'
 ) WHERE rank <= 10""")
 def bm25_filtered_topk(spark, d):
-    return _ranked(_bm25(spark, d, F.col("lang") == "en"), 10).select("item_id", "doc_id", "score", "rank")
+    return _bm25(spark, d, 10, accept=F.col("lang") == "en").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("keyword_overlap_rank", f"""
@@ -122,12 +152,11 @@ SELECT item_id, doc_id, score, rank FROM (
 ) WHERE rank <= 10""")
 def hybrid_fusion_topk(spark, d):
     """Lexical hits of each benchmark item fused with the neighbours of its best document that has a vector."""
-    lex = _bm25(spark, d)
+    lex = _bm25(spark, d, 40)
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    order = [F.round("score", 6).desc(), F.col("doc_id")]
-    seed = rt.top_k(lex.join(vectors, "doc_id"), ["item_id"], order, 1).select("item_id", "embedding")
+    seed = _bm25(spark, d, 1, accept=F.col("has_vector")).join(vectors, "doc_id").select("item_id", "embedding")
     near = rt.knn(seed, vectors, 40, "item_id", "doc_id").select("item_id", "doc_id", "score")
-    return _ranked(rt.fuse(near, rt.top_k(lex, ["item_id"], order, 40), ["item_id"], "doc_id"), 10)
+    return _ranked(rt.fuse(near, lex.select("item_id", "doc_id", "score"), ["item_id"], "doc_id"), 10)
 
 
 @query("group_topk_limits", _BM25 + """
@@ -136,9 +165,7 @@ SELECT item_id, lang, doc_id, score, rank FROM (
          row_number() OVER (PARTITION BY item_id, lang ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM sc
 ) WHERE rank <= CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 3 ELSE 2 END""")
 def group_topk_limits(spark, d):
-    lang = table(spark, d, "documents").select("doc_id", "lang")
-    hits = _bm25(spark, d).withColumn("score", F.round("score", 6)).join(lang, "doc_id")
-    pool = rt.top_k(hits, ["item_id", "lang"], [F.col("score").desc(), F.col("doc_id")], rt.candidate_pool(5))
+    pool = _bm25(spark, d, rt.candidate_pool(5), group="lang").withColumn("score", F.round("score", 6))
     limit = F.when(F.col("lang") == "en", 5).when(F.col("lang") == "de", 3).otherwise(2)
     return pool.where(F.col("rank") <= limit).select("item_id", "lang", "doc_id", "score", "rank")
 
@@ -203,7 +230,7 @@ def vector_quality(spark, d):
 @query("rerank_overlap")
 def rerank_overlap(spark, d):
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
-    hits = _ranked(_bm25(spark, d), 10).join(items, "item_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    hits = _bm25(spark, d, 10).select("item_id", "doc_id").join(items, "item_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     out = rt.rerank(hits.select("item_id", "query", "doc_id", "text"))
     w = Window.partitionBy("item_id").orderBy(F.col("rerank_score").desc(), "doc_id")
     return out.select("item_id", "doc_id", F.round("rerank_score", 6).alias("rerank_score"), F.row_number().over(w).alias("rank"))

@@ -117,7 +117,7 @@ def test_changes_file_by_file(spark, tmp_path):
     po.update(s, frame(spark, changed), FIELDS, keep=("lang",), removed=spark.createDataFrame([(i,) for i in removed], "doc_id string"), shard_docs=90)
     after = files(tmp_path)
     assert all(after[f] == t for f, t in before.items())
-    written = sum(os.path.getsize(f) for f in after if f not in before and "postings" in f and f.endswith(".parquet") and "scratch" not in f)
+    written = sum(os.path.getsize(f) for f in after if f not in before and "postings" in f and f.endswith(".parquet"))
     assert written < 0.5 * sum(os.path.getsize(f) for f in before if "postings" in f and f.endswith(".parquet"))
     now = {r[0]: r for r in rows} | {r[0]: r for r in changed}
     live = [r for i, r in now.items() if i not in removed]
