@@ -1,16 +1,17 @@
 """Collocations: frequent phrases whose parts belong together.
 
-The first pass counts all n-grams of one to ``LONGEST`` words of each language in
-count-min sketches. A task's sketch is sparse, blocks of cells and their
+The first pass counts the n-grams of each language in count-min sketches, first
+those of one and two words, then those of three and four whose pairs of words
+pass the first sketch. A task's sketch is sparse, blocks of cells and their
 counts; the blocks of all tasks are merged by a shuffle, and what remains of a
 cell is whether it reaches ``MIN_COUNT``. A cell counts all n-grams that hash to
 it, so an n-gram below ``MIN_COUNT`` may pass and one at ``MIN_COUNT`` or above
 always does. The second pass reads the texts again and counts exactly those
-n-grams that pass in every row of the sketch, and whose parts do; each task
+n-grams that pass in every row of the sketches, and whose parts do; each task
 counts its own with exact dictionaries of words and of their sequences, and
 Spark sums them by the phrase itself.
 
-The sketch grows with the text up to ``MOST_CELLS`` a row, 64 MB of bits. Beyond
+A sketch grows with the text up to ``MOST_CELLS`` a row, 64 MB of bits. Beyond
 that more n-grams pass, so the second pass counts more of them; none is lost
 and none is miscounted.
 
@@ -34,12 +35,14 @@ from larkspan.session import materialize, ship
 UNKNOWN = "und"
 LONGEST, MIN_COUNT, MOST, COVER = 4, 30, 2000, 80
 ROWS = 2
+#: Words of the n-grams that are counted together, in this order.
+LEVELS = ((1, 2), (3, 4))
 #: Least and most cells of a row of the sketch, and bytes of text for which there is one.
 LEAST_CELLS, MOST_CELLS, BYTES_A_CELL = 1 << 22, 1 << 29, 16
 #: Cells of a block; entries of a task's sketch that are held before they are sent.
-BLOCK, HELD = 1 << 16, 1 << 23
+BLOCK, HELD = 1 << 16, 1 << 22
 #: Bytes of text handled at once; a longer text is cut.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 SPACE = np.zeros(256, bool)
@@ -95,7 +98,7 @@ class Grams:
     piece and end behind the context.
     """
 
-    def __init__(self, texts: kernel.Texts, seeds: np.ndarray, context: int = 0) -> None:
+    def __init__(self, texts: kernel.Texts, seeds: np.ndarray, context: int = 0, longest: int = LONGEST) -> None:
         self.texts = kernel.Texts(kernel.LOWER[texts.buf], texts.at)
         broken = BREAK[texts.buf]
         self.start, self.end = texts.runs(~(broken | SPACE[texts.buf]))
@@ -106,7 +109,7 @@ class Grams:
         n = len(h)
         g = kernel.mix(h ^ seeds[self.doc]) if n else h
         self.hashes, self.whole = [g], [np.arange(n) >= context]
-        for k in range(1, LONGEST):
+        for k in range(1, longest):
             m = max(0, n - k)
             g = kernel.mix(g[:m] * _M + h[k : k + m])
             self.hashes.append(g)
@@ -114,20 +117,22 @@ class Grams:
 
 
 def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
-    """The cell of each hash in one row of the sketch, rows one after the other."""
+    """The cell of each hash in one row of the sketch, rows one after the other; all rows together have less than 2**32."""
     h = hashes if not row else kernel.mix(hashes + np.uint64(row))
-    return (h & np.uint64(width - 1)) + np.uint64(row * width)
+    return (h & np.uint64(width - 1)).astype(np.uint32) + np.uint32(row * width)
 
 
 def _summed(at: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct cells in order and their counts, up to ``MIN_COUNT``."""
+    if not len(at):
+        return at, np.zeros(0, np.uint8)
     if n is None:
         at = np.sort(at)
-    else:
-        order = np.argsort(at, kind="stable")
-        at, n = at[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
-    count = np.diff(np.append(first, len(at))) if n is None else np.add.reduceat(n.astype(np.int64), first) if len(at) else n
+    else:  # cell and count in one number, so that sorting moves both
+        both = np.sort(at.astype(np.uint64) << np.uint64(8) | n)
+        at, n = (both >> np.uint64(8)).astype(np.uint32), (both & np.uint64(255)).astype(np.int32)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    count = np.diff(np.append(first, len(at))) if n is None else np.add.reduceat(n, first)
     return at[first], np.minimum(count, MIN_COUNT).astype(np.uint8)
 
 
@@ -150,16 +155,22 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.frombuffer(raw, np.uint16, n), dtype=np.uint16), np.frombuffer(raw, np.uint8, n, 2 * n)
 
 
-def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """(block, bits): of each block of cells that some n-gram of ``docs`` (lang, seed, text) falls into, which cells reach ``MIN_COUNT``."""
+def sketch(docs: DataFrame, width: int, level: int, before: list[np.ndarray]) -> DataFrame:
+    """(block, bits): of each block of cells that some n-gram of ``docs`` (lang, seed, text) falls into, which cells reach ``MIN_COUNT``.
+
+    Counts the n-grams of a level whose parts pass in the sketches of the levels before.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(before)  # ROWS * MOST_CELLS bits a level
+
     def count(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for b in batches:
             for i, j, texts, context in chunks(b.column(2), CHUNK):
-                g = Grams(texts, b.column(1).slice(i, j - i).to_numpy().view(np.uint64), context)
-                hashes = np.concatenate([h[w] for h, w in zip(g.hashes, g.whole, strict=True)])
-                held.append(_summed(np.concatenate([cells(hashes, r, width) for r in range(ROWS)])))
+                g = Grams(texts, b.column(1).slice(i, j - i).to_numpy().view(np.uint64), context, LEVELS[level][-1])
+                live = alive(g, shared.value, width, level)
+                held.append(_summed(np.concatenate([cells(g.hashes[k - 1][live[k - 1] & g.whole[k - 1]], r, width) for k in LEVELS[level] for r in range(ROWS)])))
+                del g, live
                 size += len(held[-1][0])
                 if size >= HELD:
                     held = [_summed(np.concatenate([a for a, _ in held]), np.concatenate([n for _, n in held]))]
@@ -202,6 +213,20 @@ def passing(hashes: np.ndarray, bits: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def alive(g: Grams, sketches: list[np.ndarray], width: int, most: int) -> list[np.ndarray]:
+    """For each number of words, which n-grams may be frequent: they and their parts pass in the sketches of the levels below ``most``."""
+    out: list[np.ndarray] = []
+    for level, lengths in enumerate(LEVELS[: most + 1]):
+        for k in lengths:
+            may = np.ones(len(g.hashes[0]), bool) if k == 1 else out[-1][: len(g.hashes[k - 1])] & out[-1][1 : len(g.hashes[k - 1]) + 1]
+            if level < most:
+                at = np.flatnonzero(may)
+                may = np.zeros(len(may), bool)
+                may[at[passing(g.hashes[k - 1][at], sketches[level], width)]] = True
+            out.append(may)
+    return out
+
+
 def _codes(values: np.ndarray) -> tuple[np.ndarray, int]:
     """Equal values as equal numbers from 0 on, and how many there are."""
     d = pa.array(values).dictionary_encode()
@@ -216,8 +241,8 @@ def _strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
 
 
-def count_passing(g: Grams, lang: pa.Array, bits: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
-    """(lang, k, phrase, n): exact counts of the n-grams of ``g`` that pass in the sketch, with all their parts; k = 0 counts all words."""
+def count_passing(g: Grams, lang: pa.Array, sketches: list[np.ndarray], width: int) -> Iterator[pa.RecordBatch]:
+    """(lang, k, phrase, n): exact counts of the n-grams of ``g`` that pass in the sketches, with all their parts; k = 0 counts all words."""
     lang = lang.dictionary_encode()
     of = lang.indices.to_numpy()[g.doc]
     names = lang.dictionary
@@ -229,26 +254,22 @@ def count_passing(g: Grams, lang: pa.Array, bits: np.ndarray, width: int) -> Ite
     total = np.bincount(of[g.whole[0]], minlength=len(names))
     yield rows(np.arange(len(names)), 0, pa.array([""] * len(names), pa.large_string()), total)
     # an n-gram's parts pass wherever it is frequent; context words take part in phrases that end behind them
-    live = passing(g.hashes[0], bits, width)
-    at = np.flatnonzero(live)
+    lives = alive(g, sketches, width, len(LEVELS))
+    at = np.flatnonzero(lives[0])
     if not len(at):
         return
     words = _strings(g.texts.buf, g.start[at], g.end[at]).dictionary_encode()
-    word = np.zeros(len(live), np.int64)
+    word = np.zeros(len(lives[0]), np.int64)
     word[at] = words.indices.to_numpy()
     code, parts = of.astype(np.int64) << 32 | word, [word]
     for k in range(1, LONGEST + 1):
-        if k > 1:
-            m = max(0, len(g.hashes[0]) - k + 1)
-            live = live[:m] & live[1 : m + 1]
-            at = np.flatnonzero(live)
-            at = at[passing(g.hashes[k - 1][at], bits, width)]
-            live = np.zeros(m, bool)
-            live[at] = True
-            parts.append(word[k - 1 :])
-            code = code[:m] << 32 | parts[-1]
+        live = lives[k - 1]
+        at = np.flatnonzero(live)
         if not len(at):
             return
+        if k > 1:
+            parts.append(word[k - 1 :])
+            code = code[: len(live)] << 32 | parts[-1]
         number, n = _codes(code[at])
         code = np.zeros(len(live), np.int64)
         code[at] = number
@@ -274,17 +295,20 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     width = LEAST_CELLS
     while width < MOST_CELLS and width * BYTES_A_CELL < size:
         width *= 2
-    whole = np.zeros(ROWS * width // 8, np.uint8)
-    for r in sketch(src, width).toLocalIterator():  # at most ROWS * MOST_CELLS bits
-        whole[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(whole)
+    sketches: list[np.ndarray] = []
+    for level in range(len(LEVELS)):
+        whole = np.zeros(ROWS * width // 8, np.uint8)
+        for b in sketch(src, width, level, list(sketches)).toArrow().to_batches():  # at most ROWS * MOST_CELLS bits
+            for block, bits in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                whole[block * BLOCK // 8 : (block + 1) * BLOCK // 8] = np.frombuffer(bits.as_py(), np.uint8)
+        sketches.append(whole)
+    shared = spark.sparkContext.broadcast(sketches)
 
     def count(batches):
-        bits = shared.value
         for b in batches:
             for i, j, texts, context in chunks(b.column(2), CHUNK):
                 g = Grams(texts, b.column(1).slice(i, j - i).to_numpy().view(np.uint64), context)
-                yield from count_passing(g, b.column(0).slice(i, j - i), bits, width)
+                yield from count_passing(g, b.column(0).slice(i, j - i), shared.value, width)
 
     parts = src.mapInArrow(count, "lang string, k int, phrase string, n long")
     f = parts.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f"))
