@@ -104,7 +104,7 @@ def _blocks(docs: DataFrame, weights: list[float], shards: int, buckets: int) ->
         f"shard int, term string, block int, n int, first {kind}, last {kind}, max_f double, min_dl int, best_f double, best_dl int, "
         f"docs array<{kind}>, fs array<double>, dls array<int>, ats array<array<int>>"
     )
-    rows = docs.select("doc", "dl", "toks", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int").alias("shard"))
+    rows = docs.where("dl > 0").select("doc", "dl", "toks", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int").alias("shard"))
     out = rows.groupBy("shard").applyInArrow(lambda table: shard_blocks(table, weights), schema)
     return out.withColumn("bucket", _bucket(F.col("term"), buckets)).sortWithinPartitions("bucket", "shard", "term", "block")
 
@@ -375,7 +375,7 @@ def _search(store: Store, state: dict, asked: DataFrame, k: int, accept: Column
             groups[at[hit]] = side["g"].astype("category").cat.codes.to_numpy()[hit] if chosen else -1
         gains = gain(np.concatenate(blocks["fs"].tolist()), np.concatenate(blocks["dls"].tolist()).astype(float), plan.avgdl)
         out, _ = score_shard(plan, np.array([number[t] for t in blocks["term"]]), np.split(where, cut), np.split(gains, cut), groups, len(docs))
-        return pd.DataFrame({"q": [q for q, _, _ in out], "doc": [docs[i] for _, i, _ in out], "score": [s for _, _, s in out]})
+        return pd.DataFrame({"q": [q for q, _, _ in out], "doc": pd.Series([docs[i] for _, i, _ in out], dtype=docs.dtype), "score": [s for _, _, s in out]})
 
     schema = f"q int, doc {doc_type}, score double"
     by = found.groupBy("gen", "shard")

@@ -13,7 +13,8 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 class Conflict(RuntimeError):
@@ -44,26 +45,52 @@ class Store:
         numbers = self._numbers()
         if not numbers:
             return {"version": 0, "tables": {}, "facts": {}, "batches": {}}
-        stream = self._fs.open(self._path(f"_commits/{version or numbers[-1]:012d}.json"))
+        return json.loads(self._text(f"_commits/{version or numbers[-1]:012d}.json"))
+
+    def _text(self, name: str) -> str:
+        stream = self._fs.open(self._path(name))
         try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
+    def _put(self, name: str, text: str) -> bool:
+        """A file that is there as a whole or not at all; False where one of that name is there already."""
+        fresh, final = self._path(f"{name.rpartition('/')[0]}/.{uuid.uuid4().hex}"), self._path(name)
+        out = self._fs.create(fresh, False)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        rename = self._hadoop.Options.Rename
+        mode = self.spark.sparkContext._gateway.new_array(rename, 1)
+        mode[0] = rename.NONE
+        try:
+            self._hadoop.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(fresh, final, mode)
+        except Exception:
+            self._fs.delete(fresh, False)
+            if not self._fs.exists(final):
+                raise
+            return False
+        return True
+
     def read(self, table: str, state: dict | None = None) -> DataFrame | None:
         """The rows of ``table`` in all its generations, with the generation as ``gen``; None where there is none."""
         gens = (state or self.current())["tables"].get(table, [])
         if not gens:
             return None
         base = f"{self.where}/{table}"
-        return self.spark.read.option("basePath", base).parquet(*[f"{base}/gen={g}" for g in gens]).withColumn("gen", F.col("gen").cast("string"))
+        schema = StructType.fromJson(json.loads(self._text(f"{table}/_schema"))).add("gen", "string")
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/gen={g}" for g in gens])
 
     def write(self, table: str, gen: str, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         """Write the rows of one generation of ``table`` and read them back; no reader sees them before a commit names them."""
         out = df.write.mode("overwrite")
         path = f"{self.where}/{table}/gen={gen}"
         (out.partitionBy(*by) if by else out).parquet(path)
-        return self.spark.read.parquet(path)
+        if not self._fs.exists(self._path(f"{table}/_schema")):
+            self._put(f"{table}/_schema", df.schema.json())
+        return self.spark.read.schema(df.schema).parquet(path)
 
     @staticmethod
     def generation() -> str:
@@ -80,22 +107,8 @@ class Store:
             "version": base["version"] + 1, "tables": tables, "facts": base["facts"] | (facts or {}),
             "batches": base["batches"] | ({batch[0]: batch[1]} if batch else {}),
         }
-        fresh, final = self._path(f"_commits/.{uuid.uuid4().hex}"), self._path(f"_commits/{state['version']:012d}.json")
-        out = self._fs.create(fresh, False)
-        try:
-            out.write(bytearray(json.dumps(state).encode()))
-        finally:
-            out.close()
-        rename = self._hadoop.Options.Rename
-        mode = self.spark.sparkContext._gateway.new_array(rename, 1)
-        mode[0] = rename.NONE
-        try:
-            self._hadoop.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(fresh, final, mode)
-        except Exception as e:
-            self._fs.delete(fresh, False)
-            if self._fs.exists(final):
-                raise Conflict(f"version {state['version']} of {self.where} is taken") from e
-            raise
+        if not self._put(f"_commits/{state['version']:012d}.json", json.dumps(state)):
+            raise Conflict(f"version {state['version']} of {self.where} is taken")
         return state
 
     def seen(self, source: str, batch: int, state: dict | None = None) -> bool:
@@ -114,7 +127,7 @@ class Store:
             if name.startswith("_"):
                 continue
             for g in self._fs.listStatus(t.getPath()):
-                if f"{name}/{g.getPath().getName()}" not in live:
+                if g.isDirectory() and f"{name}/{g.getPath().getName()}" not in live:
                     gone += self._fs.delete(g.getPath(), True)
         for n in self._numbers()[:-1]:
             self._fs.delete(self._path(f"_commits/{n:012d}.json"), False)
