@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspan.plans.registry import query
 from larkspan.session import table
-from larkspan.streaming import events as st
+from larkspan.streaming import events as st, timers
 
 
 def _stream(spark, d):
@@ -46,6 +46,50 @@ def stream_alerts(spark, d):
     return st.run_available(st.once_a_day(_stream(spark, d).where("event_type = 'error'"), "user_id", "ts", "event_id"), "append", "alerts")
 
 
+@query("stream_breaker_idle", """
+WITH g AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 7200000000 AS quiet FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum((event_type = 'purchase' OR coalesce(quiet, false))::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g),
+c AS (SELECT *, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS n FROM r)
+SELECT user_id, event_id, n::BIGINT AS busy_count, event_type = 'error' AND n >= 2 AS opens FROM c""")
+def stream_breaker_idle(spark, d):
+    """The breaker of users, forgotten after two quiet hours."""
+    outcome = F.when(F.col("event_type") == "error", "busy").when(F.col("event_type") == "purchase", "ok").otherwise("other")
+    e = _stream(spark, d).withColumn("outcome", outcome)
+    return st.run_available(timers.breaker(e, "user_id", "ts", "event_id", "outcome", trip=2, idle=7200), "append", "idle")
+
+
+@query("stream_muted_alerts", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('error', 'signup')),
+s AS (
+  SELECT user_id, event_id, i, event_type = 'error' AS sent, ts + CASE event_type WHEN 'error' THEN INTERVAL 1 DAY ELSE INTERVAL 7 DAY END AS until FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.i, e.event_type = 'error' AND e.ts >= s.until,
+         CASE WHEN e.event_type = 'signup' THEN greatest(s.until, e.ts + INTERVAL 7 DAY) WHEN e.ts >= s.until THEN e.ts + INTERVAL 1 DAY ELSE s.until END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+SELECT user_id, event_id FROM s WHERE sent""")
+def stream_muted_alerts(spark, d):
+    """Errors alert once a day for a user, and not for a week after a signup."""
+    kind = F.when(F.col("event_type") == "error", "alert").when(F.col("event_type") == "signup", "mute").otherwise("other")
+    return st.run_available(timers.alerts(_stream(spark, d).withColumn("kind", kind), "user_id", "ts", "event_id", "kind"), "append", "muted")
+
+
+@query("stream_requests", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+s AS (
+  SELECT user_id, event_id, event_type, i, CASE WHEN event_type <> 'purchase' THEN event_id END AS work, CASE WHEN event_type <> 'purchase' THEN ts + INTERVAL 1 HOUR END AS until, NULL::BIGINT AS joins FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.event_type, e.i,
+         CASE WHEN e.event_type = 'purchase' THEN NULL WHEN e.ts < s.until THEN s.work ELSE e.event_id END,
+         CASE WHEN e.event_type = 'purchase' THEN NULL WHEN e.ts < s.until THEN s.until ELSE e.ts + INTERVAL 1 HOUR END,
+         CASE WHEN e.event_type <> 'purchase' AND e.ts < s.until THEN s.work END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+SELECT user_id, event_id, joins FROM s WHERE event_type <> 'purchase'""")
+def stream_requests(spark, d):
+    """Views and clicks of a user join the request under way, for an hour at most or until a purchase."""
+    kind = F.when(F.col("event_type").isin("view", "click"), "request").when(F.col("event_type") == "purchase", "done").otherwise("other")
+    return st.run_available(timers.requests(_stream(spark, d).withColumn("kind", kind), "user_id", "ts", "event_id", "kind", most=3600), "append", "requests")
+
+
 @query("stream_adaptive_jobs")
 def stream_adaptive_jobs(spark, d):
     return st.run_available(st.adaptive_jobs(_stream(spark, d), "event_type", "ts", "event_id"), "append", "jobs")
