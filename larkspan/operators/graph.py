@@ -98,16 +98,63 @@ def _spread(edges: DataFrame, colours: DataFrame) -> DataFrame:
         colours = new
 
 
+def contract_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Take out all nodes with one edge in and one edge out, in a number of rounds logarithmic in the longest chain of them.
+
+    ``edges`` (s, t) are distinct and without loops. Returns the edges that are
+    left, with one for each chain between the nodes at its ends; the chains
+    (last, a, b) by their last node and those ends; their nodes (node, last);
+    and (node, component) of the cycles that consist of such nodes alone. Pointers
+    to what follows are doubled each round, with the least name passed on the way.
+    """
+    outs, ins = edges.groupBy(F.col("s").alias("node")).agg(F.count("*").alias("o"), F.min("t").alias("next")), edges.groupBy(F.col("t").alias("node")).agg(F.count("*").alias("i"))
+    inner = materialize(outs.join(ins, "node").where("o = 1 AND i = 1").select("node", "next"), "inner")
+    names = inner.select(F.col("node").alias("next"), F.lit(True).alias("more"))
+    # done: the pointer has left the chain; last: its last node so far; least: the least name up to there
+    start = inner.join(names, "next", "left").select("node", "next", F.col("more").isNull().alias("done"), F.col("node").alias("last"), F.col("node").alias("least"))
+    jump, seen = materialize(start, "jumps"), None
+    while True:
+        n, mins = jump.where("NOT done").agg(F.count("*"), F.bit_xor(F.xxhash64("node", "least"))).first()
+        if not n or (n, mins) == seen:  # what is left goes round and has met all names
+            break
+        seen = (n, mins)
+        to = jump.select(F.col("node").alias("next"), F.col("next").alias("next2"), F.col("done").alias("done2"), F.col("last").alias("last2"), F.col("least").alias("least2"))
+        on = jump.where("NOT done").join(to, "next").select(
+            "node", F.col("next2").alias("next"), F.col("done2").alias("done"), F.col("last2").alias("last"), F.least("least", "least2").alias("least"))
+        jump = materialize(jump.where("done").union(on), "jumps")
+    of = jump.where("done").select("node", "last", F.col("next").alias("b"))
+    entry = edges.join(inner.select(F.col("node").alias("s")), "s", "left_anti").join(of.withColumnRenamed("node", "t"), "t")
+    chains = materialize(entry.select("last", F.col("s").alias("a"), "b"), "chains")
+    gone = inner.select("node")
+    rest = edges.join(gone, F.col("s") == F.col("node"), "left_anti").join(gone, F.col("t") == F.col("node"), "left_anti")
+    rest = materialize(rest.union(chains.where("a <> b").select("a", "b")).distinct(), "contracted")
+    return rest, chains, of.select("node", "last"), jump.where("NOT done").select("node", F.col("least").alias("component"))
+
+
 def strong_components(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(node, component) of strongly connected components of two nodes or more, and of single nodes with a self-loop.
 
-    Trim, then colour forward by the least node that reaches each; a colour's
-    component is what reaches its root backward within the colour. What is
-    settled is taken out and the rest is done again.
+    Chains of nodes with one edge in and one out are contracted and what no
+    cycle can use is trimmed, in turn until neither finds anything; so long
+    chains, closed or not, take a logarithmic number of rounds. What is left is
+    coloured forward by the least node that reaches each; a colour's component
+    is what reaches its root backward within the colour, and what is settled is
+    taken out and the rest is done again. Then chains whose two ends are in one
+    component are put back. A component is named by its least node.
     """
     e = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).distinct()
     loops = e.where("s = t").select(F.col("s").alias("node"), F.col("s").alias("component"))
-    rest, found = trim(e.where("s <> t")), None
+    rest, levels, found = materialize(e.where("s <> t"), "edges"), [], None
+    before = rest.count()
+    while before:
+        rest, chains, nodes, cycles = contract_chains(rest)
+        levels.append((chains, nodes))
+        found = cycles if found is None else found.union(cycles)
+        rest = trim(rest)
+        now = rest.count()
+        if now == before:
+            break
+        before = now
     while rest.limit(1).count():
         nodes = rest.select(F.col("s").alias("node")).union(rest.select("t")).distinct()
         colour = _spread(rest, materialize(nodes.withColumn("colour", F.col("node")), "colours"))
@@ -122,14 +169,21 @@ def strong_components(edges: DataFrame, source: str, target: str) -> DataFrame:
                 break
             seen = seen.union(back)
         seen = materialize(seen, "scc")
-        part = seen.select("node", F.col("colour").alias("component"))
-        found = part if found is None else found.union(part)
+        found = seen.select("node", F.col("colour").alias("component")).union(found)
         gone = seen.select("node")
         rest = trim(rest.join(gone, F.col("s") == F.col("node"), "left_anti").join(gone, F.col("t") == F.col("node"), "left_anti"))
     if found is None:
         return loops
-    size = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    big = found.join(size, "component", "left_semi").select("node", "component")
+    for chains, nodes in reversed(levels):
+        found = materialize(found, "found")
+        # a chain that comes back to the node it left makes a component of that node, if it has none
+        alone = chains.where("a = b").select(F.col("a").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
+        found = found.union(alone.select("node", F.col("node").alias("component")))
+        ends = chains.join(found.toDF("a", "ca"), "a").join(found.toDF("b", "cb"), "b").where("ca = cb").select("last", F.col("ca").alias("component"))
+        found = found.union(nodes.join(ends, "last").select("node", "component"))
+    found = materialize(found, "found")
+    names = found.groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("name")).where("n > 1").select("component", "name")
+    big = found.join(names, "component").select("node", F.col("name").alias("component"))
     return big.union(loops.join(big.select("node"), "node", "left_anti"))
 
 
