@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from larkspan.operators.store import Store
 from larkspan.plans.registry import query
-from larkspan.session import table
-from larkspan.streaming import events as st, timers
+from larkspan.session import scratch_root, table
+from larkspan.streaming import events as st, indexer, timers
 
 
 def _stream(spark, d):
@@ -100,6 +103,37 @@ def stream_in_flight(spark, d):
     return st.run_available(st.in_flight(_stream(spark, d), ["user_id", "event_type"], "ts", "10 days").select("user_id", "event_type"), "append", "inflight")
 
 
+def _indexed(spark, d):
+    """A store into which the turns of ``conversations`` went as changes: each turn rewrites its conversation, a user's takes it out."""
+    where = f"{scratch_root(spark)}/larkspan/{spark.sparkContext.applicationId}/indexer-{uuid.uuid4().hex}"
+    turns = st.parquet_stream(spark, f"{d}/conversations.parquet")
+    changes = turns.select(F.col("conv_id").cast("string").alias("path"), "text", (F.col("role") == "user").alias("deleted"), "turn")
+    store = Store(spark, f"{where}/store")
+    indexer.index_stream(changes, store, F.struct("turn", F.coalesce("text", F.lit(""))), f"{where}/state", "conversations", buckets=8).awaitTermination()
+    return store
+
+
+_LAST_TURNS = """
+WITH l AS (SELECT conv_id::VARCHAR AS path, unnest(max({'turn': turn, 'text': coalesce(text, ''), 'role': role})) FROM conversations GROUP BY conv_id),
+f AS (SELECT path, text FROM l WHERE role <> 'user')"""
+
+
+@query("stream_index_files", _LAST_TURNS + "SELECT path, sha256(text) AS digest, strlen(text) AS size FROM f")
+def stream_index_files(spark, d):
+    """The manifest that the incremental indexer commits."""
+    return indexer.live_files(_indexed(spark, d)).select("path", "digest", F.col("size").cast("long").alias("size"))
+
+
+@query("stream_index_terms", _LAST_TURNS + """,
+t AS (SELECT path, unnest(list_distinct(list_concat(regexp_extract_all(lower(path), '[\\p{L}\\p{N}]+'),
+                                                  regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')))) AS term FROM f WHERE text <> '')
+SELECT term, count(*) AS n FROM t GROUP BY term""")
+def stream_index_terms(spark, d):
+    """The document frequencies of the index that the same commit makes visible; conversations are single chunks here."""
+    store = _indexed(spark, d)
+    return store.read("terms").groupBy("term").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 @query("lease_claims", """
 WITH q AS (SELECT o_orderkey AS id, o_orderdate AS updated_at, (o_orderkey % 40 + 1) AS size, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'leased' ELSE 'done' END AS status, o_orderkey % 3 AS attempts FROM orders),
 f AS (SELECT *, status = 'pending' OR (status = 'leased' AND id % 2 = 0) AS free FROM q),
