@@ -7,6 +7,7 @@ shared scratch folder, so a lost executor never replays the rounds before it.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from larkspan.session import materialize
 
@@ -187,21 +188,38 @@ def strong_components(edges: DataFrame, source: str, target: str) -> DataFrame:
     return big.union(loops.join(big.select("node"), "node", "left_anti"))
 
 
+def closing_chains(edges: DataFrame, added: DataFrame, source: str, target: str, max_depth: int = 20) -> DataFrame:
+    """(source, target, chain) of the ``added`` edges (source, target) that close a cycle: the shortest path back, from target to source.
+
+    Of several shortest paths the one whose names come first. All edges are
+    followed together: a front holds, for every added edge and node, the first
+    path of its length, and goes on from nodes that the edge has not reached
+    before, until its source is reached or ``max_depth`` edges are used.
+    """
+    e = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s <> t").distinct()
+    front = added.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a <> b").distinct()
+    front = materialize(front.withColumns({"node": F.col("b"), "path": F.array("b")}), "chains")
+    seen, found = front.select("a", "b", "node"), front.limit(0)
+    for _ in range(max_depth):
+        step = front.join(e, F.col("node") == F.col("s")).select("a", "b", F.col("t").alias("node"), F.concat("path", F.array("t")).alias("path"))
+        new = step.groupBy("a", "b", "node").agg(F.min("path").alias("path")).join(seen, ["a", "b", "node"], "left_anti")
+        new = materialize(new, "chains")
+        if new.isEmpty():
+            break
+        found, seen = found.union(new.where("node = a")), seen.union(new.select("a", "b", "node"))
+        closed = new.where("node = a").select("a", "b")
+        front = new.join(closed, ["a", "b"], "left_anti")
+    return found.select(F.col("a").alias(source), F.col("b").alias(target), F.col("path").alias("chain"))
+
+
 def closing_chain(edges: DataFrame, source: str, target: str, start, end, max_depth: int = 20) -> list:
     """The shortest path from ``start`` to ``end``, least names first; empty if there is none. Bounded by ``max_depth``."""
-    e = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).distinct()
-    reach = bfs(e, e.sparkSession.createDataFrame([(start,)], ["node"]), "s", "t", max_depth)
-    back = bfs(e, e.sparkSession.createDataFrame([(end,)], ["node"]), "t", "s", max_depth).withColumnRenamed("depth", "back")
-    hit = reach.where(F.col("node") == F.lit(end)).first()
-    if hit is None:
-        return []
-    on = reach.join(back, "node").where(F.col("depth") + F.col("back") == hit["depth"])
-    path, at = [start], start
-    for k in range(1, hit["depth"] + 1):  # at most max_depth steps
-        step = e.where(F.col("s") == F.lit(at)).join(on.where(F.col("depth") == k), F.col("t") == F.col("node")).agg(F.min("t")).first()[0]
-        path.append(step)
-        at = step
-    return path
+    if start == end:
+        return [start]
+    kind = edges.schema[source].dataType
+    one = edges.sparkSession.createDataFrame([(end, start)], StructType([StructField(source, kind), StructField(target, kind)]))
+    row = closing_chains(edges, one, source, target, max_depth).first()
+    return row["chain"] if row else []
 
 
 def dead_nodes(nodes: DataFrame, calls: DataFrame, node: str, source: str, target: str, is_test: Column, exempt: Column) -> DataFrame:

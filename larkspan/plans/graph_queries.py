@@ -87,6 +87,17 @@ def scc_cycles(spark, d):
     return gr.strong_components(_edges(spark, d, 47), "s", "t")
 
 
+@query("closing_chains", f"""
+WITH RECURSIVE {_e(45)}, w AS (
+  SELECT s AS a, t AS b, t AS node, [t] AS path FROM e WHERE s <> t
+  UNION ALL SELECT a, b, e.t, list_append(path, e.t) FROM w JOIN e ON e.s = w.node AND e.t <> e.s WHERE len(path) <= 5 AND node <> a)
+SELECT a AS s, b AS t, path AS chain FROM w WHERE node = a QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY len(path), path) = 1""")
+def closing_chains(spark, d):
+    """Every edge as one that is added to the others: the shortest way back, of five edges at most."""
+    e = _edges(spark, d, 45)
+    return gr.closing_chains(e, e, "s", "t", 5)
+
+
 @query("scc_all_lines")
 def scc_all_lines(spark, d):
     """Components of the graph of all lines; recursive SQL does not end on it in time, tests hold it against a plain search."""

@@ -105,3 +105,32 @@ def test_the_graph_of_all_lines(spark, data):
 
     want = plain([tuple(r) for r in graph_queries._edges(spark, data, 0).select("s", "t").collect()])
     assert {r["node"]: r["component"] for r in graph_queries.scc_all_lines(spark, data).collect()} == want and want
+
+
+def test_closing_chains_of_many_edges_with_ties(spark):
+    rnd = random.Random(5)
+    edges = [(f"n{rnd.randrange(25):02}", f"n{rnd.randrange(25):02}") for _ in range(45)] + [("x", "x")]
+    added = [(f"n{rnd.randrange(25):02}", f"n{rnd.randrange(25):02}") for _ in range(40)] + [("n01", "gone"), ("x", "x")]
+    out = {}
+    for s, t in edges:
+        out.setdefault(s, set()).add(t)
+
+    def chain(a, b):
+        if a == b:
+            return None
+        front, seen = {b: [b]}, {b}
+        for _ in range(6):
+            new: dict = {}
+            for n, p in front.items():
+                for m in out.get(n, ()):
+                    if m not in seen:
+                        new[m] = min(new.get(m, [*p, m]), [*p, m])
+            if a in new:
+                return new[a]
+            seen |= set(new)
+            front = new
+        return None
+
+    want = {(a, b): chain(a, b) for a, b in added if chain(a, b)}
+    got = gr.closing_chains(spark.createDataFrame(edges, "f string, g string"), spark.createDataFrame(added, "f string, g string"), "f", "g", 6)
+    assert {(r["f"], r["g"]): r["chain"] for r in got.collect()} == want and max(map(len, want.values())) > 3
