@@ -136,7 +136,7 @@ def strong_components(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(node, component) of strongly connected components of two nodes or more, and of single nodes with a self-loop.
 
     Chains of nodes with one edge in and one out are contracted and what no
-    cycle can use is trimmed, in turn until neither finds anything; so long
+    cycle can use is trimmed, in turn until they take less than a tenth; so long
     chains, closed or not, take a logarithmic number of rounds. What is left is
     coloured forward by the least node that reaches each; a colour's component
     is what reaches its root backward within the colour, and what is settled is
@@ -153,7 +153,7 @@ def strong_components(edges: DataFrame, source: str, target: str) -> DataFrame:
         found = cycles if found is None else found.union(cycles)
         rest = trim(rest)
         now = rest.count()
-        if now == before:
+        if 10 * now > 9 * before:
             break
         before = now
     while rest.limit(1).count():
