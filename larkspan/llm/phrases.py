@@ -8,10 +8,11 @@ cell is whether it reaches ``MIN_COUNT``. A cell counts all n-grams that hash to
 it, so an n-gram below ``MIN_COUNT`` may pass and one at ``MIN_COUNT`` or above
 always does. The second pass reads the texts again and counts exactly those
 n-grams that pass in every row of the sketches, and whose parts do; each task
-counts its own with exact dictionaries of words and of their sequences, and
-Spark sums them by the phrase itself.
+counts its own with exact dictionaries of words and of their sequences. The
+phrases go by buckets of their hash, sorted and compressed, to where their counts
+are summed by the phrase itself.
 
-A sketch grows with the text up to ``MOST_CELLS`` a row, 64 MB of bits. Beyond
+A sketch grows with the text up to ``MOST_CELLS`` a row, 32 MB of bits. Beyond
 that more n-grams pass, so the second pass counts more of them; none is lost
 and none is miscounted.
 
@@ -38,11 +39,13 @@ ROWS = 2
 #: Words of the n-grams that are counted together, in this order.
 LEVELS = ((1, 2), (3, 4))
 #: Least and most cells of a row of the sketch, and bytes of text for which there is one.
-LEAST_CELLS, MOST_CELLS, BYTES_A_CELL = 1 << 22, 1 << 29, 16
+LEAST_CELLS, MOST_CELLS, BYTES_A_CELL = 1 << 22, 1 << 28, 16
+#: Cells for which there is a bucket of phrases, and phrases that a task holds before it sends them.
+CELLS_A_BUCKET, COUNTED = 1 << 14, 1 << 19
 #: Cells of a block; entries of a task's sketch that are held before they are sent.
-BLOCK, HELD = 1 << 16, 1 << 22
+BLOCK, HELD = 1 << 16, 1 << 21
 #: Bytes of text handled at once; a longer text is cut.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 SPACE = np.zeros(256, bool)
@@ -242,17 +245,17 @@ def _strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def count_passing(g: Grams, lang: pa.Array, sketches: list[np.ndarray], width: int) -> Iterator[pa.RecordBatch]:
-    """(lang, k, phrase, n): exact counts of the n-grams of ``g`` that pass in the sketches, with all their parts; k = 0 counts all words."""
+    """(lang, k, phrase, n, h): exact counts of the n-grams of ``g`` that pass in the sketches, with all their parts, and their hashes; k = 0 counts all words."""
     lang = lang.dictionary_encode()
     of = lang.indices.to_numpy()[g.doc]
     names = lang.dictionary
 
-    def rows(which: np.ndarray, k: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        columns = [names.take(pa.array(which)), pa.array(np.full(len(n), k, np.int32)), phrase.cast(pa.string()), pa.array(n.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "n"])
+    def rows(which: np.ndarray, k: int, phrase: pa.Array, n: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        columns = [names.take(pa.array(which)), pa.array(np.full(len(n), k, np.int32)), phrase.cast(pa.string()), pa.array(n.astype(np.int64)), pa.array(h)]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "n", "h"])
 
     total = np.bincount(of[g.whole[0]], minlength=len(names))
-    yield rows(np.arange(len(names)), 0, pa.array([""] * len(names), pa.large_string()), total)
+    yield rows(np.arange(len(names)), 0, pa.array([""] * len(names), pa.large_string()), total, np.zeros(len(names), np.uint64))
     # an n-gram's parts pass wherever it is frequent; context words take part in phrases that end behind them
     lives = alive(g, sketches, width, len(LEVELS))
     at = np.flatnonzero(lives[0])
@@ -282,7 +285,42 @@ def count_passing(g: Grams, lang: pa.Array, sketches: list[np.ndarray], width: i
         phrase = words.dictionary.take(pa.array(parts[0][some]))
         for part in parts[1:]:
             phrase = pc.binary_join_element_wise(phrase, words.dictionary.take(pa.array(part[some])), pa.scalar(" ", pa.large_string()))
-        yield rows(of[some], k, phrase, count[have])
+        yield rows(of[some], k, phrase, count[have], g.hashes[k - 1][some])
+
+
+_PARTS = "lang string, bucket long, phrases binary, counts binary"
+
+
+def _send(held: list[pa.RecordBatch], buckets: int) -> pa.RecordBatch:
+    """The counts as one row for each language and bucket: its phrases, sorted and compressed, and their counts.
+
+    No phrase holds a line break, as texts are cut there.
+    """
+    t = pa.Table.from_batches(held).group_by(["lang", "phrase", "h"]).aggregate([("n", "sum")])
+    bucket = (t.column("h").to_numpy() % np.uint64(buckets)).astype(np.int64)
+    t = t.append_column("bucket", pa.array(bucket)).sort_by([("lang", "ascending"), ("bucket", "ascending"), ("phrase", "ascending")]).combine_chunks()
+    lang = t.column("lang").combine_chunks().dictionary_encode()
+    key = lang.indices.to_numpy().astype(np.int64) * buckets + t.column("bucket").to_numpy()
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    zip_, phrase, n = zstandard.ZstdCompressor(level=3).compress, t.column("phrase").combine_chunks(), t.column("n_sum").to_numpy()
+    packed = [zip_("\n".join(phrase[i : j].to_pylist()).encode()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    counts = [zip_(n[i:j].astype("<i8").tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    at = pa.array(cut[:-1])
+    return pa.RecordBatch.from_arrays(
+        [t.column("lang").combine_chunks().take(at), t.column("bucket").combine_chunks().take(at), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())],
+        names=["lang", "bucket", "phrases", "counts"],
+    )
+
+
+def _sum(lang: str, parts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    """(lang, k, phrase, f) of the phrases of one language and bucket that are frequent, and the number of words."""
+    unzip = zstandard.ZstdDecompressor().decompress
+    phrases = pa.chunked_array([pa.array(unzip(p).decode().split("\n"), pa.string()) for p, _ in parts])
+    t = pa.table({"phrase": phrases, "n": pa.chunked_array([pa.array(np.frombuffer(unzip(c), "<i8")) for _, c in parts])}).group_by("phrase").aggregate([("n", "sum")])
+    t = t.filter(pc.or_(pc.equal(t.column("phrase"), ""), pc.greater_equal(t.column("n_sum"), MIN_COUNT))).combine_chunks()
+    phrase = pa.array(t.column("phrase").to_pylist(), pa.string())
+    k = pc.if_else(pc.equal(phrase, ""), 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase), pa.string()), k, phrase, pa.array(t.column("n_sum").to_numpy())], names=["lang", "k", "phrase", "f"])
 
 
 def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -304,15 +342,38 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
         sketches.append(whole)
     shared = spark.sparkContext.broadcast(sketches)
 
+    buckets = width // CELLS_A_BUCKET
+
     def count(batches):
+        held, size = [], 0
         for b in batches:
             for i, j, texts, context in chunks(b.column(2), CHUNK):
                 g = Grams(texts, b.column(1).slice(i, j - i).to_numpy().view(np.uint64), context)
-                yield from count_passing(g, b.column(0).slice(i, j - i), shared.value, width)
+                held += [r for r in count_passing(g, b.column(0).slice(i, j - i), shared.value, width) if r.num_rows]
+                size += sum(r.num_rows for r in held[-LONGEST - 1 :])
+                if size >= COUNTED:
+                    yield _send(held, buckets)
+                    held, size = [], 0
+        if held:
+            yield _send(held, buckets)
 
-    parts = src.mapInArrow(count, "lang string, k int, phrase string, n long")
-    f = parts.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f"))
-    return materialize(f.where(f"k = 0 OR f >= {MIN_COUNT}"), "frequent")
+    def add(batches):
+        at, parts = None, []
+        for b in batches:
+            for lang, bucket, phrases, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (lang, bucket) != at:
+                    if parts:
+                        yield _sum(at[0], parts)
+                    at, parts = (lang, bucket), []
+                parts.append((phrases, counts))
+        if parts:
+            yield _sum(at[0], parts)
+
+    parts = src.mapInArrow(count, _PARTS)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the parts of a bucket stream past together, so a task holds one bucket of one language
+    f = parts.repartition(n, "lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(add, "lang string, k int, phrase string, f long")
+    return materialize(f, "frequent")
 
 
 def _exact(c: Column | str) -> Column:
