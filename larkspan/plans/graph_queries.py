@@ -293,3 +293,17 @@ SELECT path, arg_max(fixtures, length(folder)) AS fixtures FROM t JOIN f ON fold
 def fixture_tests(spark, d):
     c = _changed(spark, d)
     return gr.fixture_tests(c.where("doc_id % 7 <> 0"), c.where("path LIKE '%/test_%'").select("path").distinct())
+
+
+@query("span_overlaps", """
+WITH s AS (SELECT user_id, event_type, min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events GROUP BY ALL),
+d AS (SELECT user_id, event_type AS kind, epoch_us(ts) AS c, epoch_us(ts) + 600000000 AS e FROM events)
+SELECT s.user_id, event_type, kind, count(*) AS near, sum(least(b, e) - greatest(a, c))::BIGINT AS shared_us FROM s JOIN d ON s.user_id = d.user_id AND a <= e AND b >= c GROUP BY ALL""")
+def span_overlaps(spark, d):
+    """How long the ten minutes after each event lie between a user's first and last event of each type: spans of microseconds to months."""
+    ev = table(spark, d, "events").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    spans = ev.groupBy("user_id", "event_type").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    after = ev.select("user_id", F.col("event_type").alias("kind"), F.col("t").alias("c"), (F.col("t") + 600_000_000).alias("e"))
+    hit = gr.interval_join(spans, after, "user_id", ("a", "b"), ("c", "e"))
+    shared = F.sum(F.least("b", "e") - F.greatest("a", "c"))
+    return hit.groupBy("user_id", "event_type", "kind").agg(F.count("*").alias("near"), shared.alias("shared_us"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspan.operators import rules as ru
+from larkspan.operators import ignores, rules as ru
 from larkspan.plans.registry import query
 from larkspan.session import table
 
@@ -160,3 +160,23 @@ def relation_sets(spark, d):
     li = table(spark, d, "lineitem").withColumn("p", F.col("l_partkey") % 50)
     sets = li.groupBy(F.col("l_suppkey").alias("s")).agg(F.collect_set(F.when(F.col("l_quantity") > 48, F.col("p"))).alias("e"), F.collect_set(F.when(F.col("l_quantity") < 3, F.col("p"))).alias("l"))
     return ru.set_difference(sets, "s", "e", "l")
+
+
+_TREE = """'repo/' || coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || CASE doc_id % 5 WHEN 0 THEN 'build/' WHEN 1 THEN 'keep/' ELSE '' END || 'n' || doc_id
+  || CASE doc_id % 3 WHEN 0 THEN '.log' WHEN 1 THEN '.md' ELSE '.tmp.txt' END"""
+
+
+@query("ignored_paths", f"""
+WITH p AS (SELECT *, {_TREE} AS path FROM documents), m AS (SELECT source, min(lang) AS first FROM documents GROUP BY source), g AS (SELECT source, lang, max(doc_id) % 10 AS d FROM documents GROUP BY ALL)
+SELECT doc_id, path, (doc_id % 3 = 0 AND NOT starts_with(doc_id || '', d || '')) OR (doc_id % 5 = 0 AND p.lang IS NOT DISTINCT FROM first AND first IS NOT NULL) AS ignored
+FROM p JOIN m ON p.source IS NOT DISTINCT FROM m.source JOIN g ON p.source IS NOT DISTINCT FROM g.source AND p.lang IS NOT DISTINCT FROM g.lang""")
+def ignored_paths(spark, d):
+    """Paths of all documents under an ignore file for each source and one for each of its languages."""
+    docs = table(spark, d, "documents")
+    top = F.concat(F.lit("repo/"), F.coalesce("source", F.lit("-")), F.lit("/"))
+    of_source = docs.groupBy("source").agg(F.min("lang").alias("l")).select(
+        F.concat(top, F.lit(".gitignore")).alias("path"), F.concat(F.lit("# logs\n*.log\n"), F.coalesce(F.concat(F.lit("/"), "l", F.lit("/build/\n")), F.lit(""))).alias("text"))
+    of_lang = docs.groupBy("source", "lang").agg((F.max("doc_id") % 10).cast("string").alias("d")).select(
+        F.concat(top, F.coalesce("lang", F.lit("-")), F.lit("/.gitignore")).alias("path"), F.concat(F.lit("keep\n!keep\n!n"), "d", F.lit("*.log")).alias("text"))
+    rules = ignores.rule_rows(of_source.union(of_lang), "path", "text")
+    return ignores.with_ignored(docs.select("doc_id", F.expr(_TREE).alias("path")), "path", rules)

@@ -157,6 +157,24 @@ def test_interval_join(spark):
     assert got == Counter((s, e, x, y) for _, s, e in a for _, x, y in b if x <= e and y >= s)
 
 
+def test_interval_join_of_any_length(spark):
+    """Long and short, negative, reversed and null ends against all pairs; a long interval gives as few rows as a short one."""
+    rnd = random.Random(6)
+
+    def some(n):
+        rows = [(rnd.randint(0, 2), s, s + rnd.choice([0, 1, 15, 16, 17, 1000, 10**7, -5])) for s in (rnd.randint(-(10**4), 10**7) for _ in range(n))]
+        return rows + rows[:3] + [(1, None, 5), (None, 1, 5), (1, 7, None)]
+
+    a, b = some(120), some(120)
+    left, right = spark.createDataFrame(a, "p int, s int, e int"), spark.createDataFrame(b, "p int, cs long, ce long")
+    joined = gr.interval_join(left, right, "p", ("s", "e"), ("cs", "ce"))
+    assert sorted(joined.columns) == ["ce", "cs", "e", "p", "s"]
+    got = Counter(tuple(r) for r in joined.select("p", "s", "e", "cs", "ce").collect())
+    ok = lambda r: None not in r
+    assert got == Counter((p, s, e, x, y) for p, s, e in filter(ok, a) for q, x, y in filter(ok, b) if p == q and x <= e and y >= s)
+    assert gr.interval_join(left.limit(0), right, "p", ("s", "e"), ("cs", "ce")).count() == 0
+
+
 def test_affected_tests(spark):
     symbols = spark.createDataFrame([("a", "m.py", 1, 20), ("b", "m.py", 5, 9), ("t", "test_m.py", 1, 5), ("u", "test_u.py", 1, 5)], "id string, path string, start_line int, end_line int")
     calls = spark.createDataFrame([("t", "b"), ("u", "a")], "source string, target string")
