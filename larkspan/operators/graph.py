@@ -14,6 +14,9 @@ from larkspan.session import materialize
 TEST_DEPTH, FLOW_DEPTH, FLOW_EDGES, LINES_KEPT = 3, 6, 60, 20
 #: Intervals of up to 2**LEAST_LEVEL are filed together.
 LEAST_LEVEL = 4
+#: Cells of a reach sketch as a power of two, and the standard error of what it estimates.
+SKETCH_BITS = 11
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
 
 
 def collapse(edges: DataFrame, by: list[str], line: str, keep: int = LINES_KEPT) -> DataFrame:
@@ -56,10 +59,10 @@ def flow(edges: DataFrame, entry, source: str, target: str, max_depth: int = FLO
     return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max_edges).select("hop", "caller", "callee", "place")
 
 
-def reach_counts(edges: DataFrame, source: str, target: str, max_depth: int) -> DataFrame:
-    """(node, reach): how many other nodes each node reaches within ``max_depth`` edges."""
+def reach_counts(edges: DataFrame, source: str, target: str, max_depth: int, seeds: DataFrame | None = None) -> DataFrame:
+    """(node, reach): how many other nodes each node, or each of ``seeds`` (node), reaches within ``max_depth`` edges; none, no row."""
     e = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s <> t").distinct()
-    front = materialize(e, "pairs")
+    front = materialize(e if seeds is None else e.join(seeds.toDF("s").distinct(), "s", "left_semi"), "pairs")
     seen = front
     for _ in range(max_depth - 1):
         new = front.join(e.toDF("m", "n"), F.col("t") == F.col("m")).select("s", F.col("n").alias("t")).where("s <> t").distinct().join(seen, ["s", "t"], "left_anti")
@@ -70,13 +73,40 @@ def reach_counts(edges: DataFrame, source: str, target: str, max_depth: int) ->
     return seen.groupBy(F.col("s").alias("node")).agg(F.count("*").alias("reach"))
 
 
-def entry_points(edges: DataFrame, nodes: DataFrame, node: str, source: str, target: str, declared: Column, min_reach: int = 3, most: int = 40) -> DataFrame:
-    """Declared entries; else the nodes nothing calls that reach enough, by reach."""
-    reach = reach_counts(edges, source, target, FLOW_DEPTH)
+def reach_estimates(edges: DataFrame, source: str, target: str, max_depth: int, seeds: DataFrame) -> DataFrame:
+    """(node, estimate) of the reach of ``seeds``, without listing what they reach.
+
+    A node's sketch holds what it reaches within so many edges, itself included; each round unites the sketches of its
+    targets, so a round moves one sketch of 2**SKETCH_BITS bytes at most for each edge.
+    """
+    e = materialize(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s <> t").distinct(), "edges")
+    own = e.select(F.explode(F.array("s", "t")).alias("node")).distinct().groupBy("node").agg(F.hll_sketch_agg("node", SKETCH_BITS).alias("sketch"))
+    own = materialize(own, "sketches")
+    reach = own
+    for depth in range(max_depth):
+        use = e if depth < max_depth - 1 else e.join(seeds.toDF("s").distinct(), "s", "left_semi")
+        came = use.join(reach, F.col("t") == F.col("node")).select(F.col("s").alias("node"), "sketch")
+        reach = materialize(own.union(came).groupBy("node").agg(F.hll_union_agg("sketch").alias("sketch")), "sketches")
+    return seeds.toDF("node").distinct().join(reach, "node").select("node", (F.hll_sketch_estimate("sketch") - 1).alias("estimate"))
+
+
+def entry_points(
+    edges: DataFrame, nodes: DataFrame, node: str, source: str, target: str, declared: Column, min_reach: int = 3, most: int = 40, depth: int = FLOW_DEPTH,
+) -> DataFrame:
+    """Declared entries; else the ``most`` nodes nothing calls that reach enough, by reach.
+
+    Only the declared nodes and those roots are followed whose estimated reach is within six standard errors of the last place.
+    """
     called = edges.where(F.col(source) != F.col(target)).select(F.col(target).alias(node)).distinct()
-    roots = nodes.join(called, node, "left_anti").join(reach.withColumnRenamed("node", node), node, "left").fillna(0, ["reach"])
-    roots = roots.where(~declared & (F.col("reach") >= min_reach)).orderBy(F.col("reach").desc(), node).limit(most).select(node, "reach", F.lit("root").alias("reason"))
-    named = nodes.where(declared).join(reach.withColumnRenamed("node", node), node, "left").select(node, F.coalesce("reach", F.lit(0).cast("long")).alias("reach"), F.lit("declared").alias("reason"))
+    free = materialize(nodes.where(~declared).join(called, node, "left_anti").select(node).distinct(), "roots")
+    if free.limit(most + 1).count() > most:
+        guess = materialize(reach_estimates(edges, source, target, depth, free), "estimates")
+        last = guess.orderBy(F.col("estimate").desc()).limit(most).agg(F.min("estimate")).first()[0] or 0
+        free = guess.where(F.col("estimate") >= last * (1 - 6 * SKETCH_ERROR) / (1 + 6 * SKETCH_ERROR)).select(F.col("node").alias(node))
+    known = materialize(nodes.where(declared).select(node), "declared")
+    reach = reach_counts(edges, source, target, depth, known.select(node).union(free)).withColumnRenamed("node", node)
+    roots = free.join(reach, node).where(F.col("reach") >= min_reach).orderBy(F.col("reach").desc(), node).limit(most).select(node, "reach", F.lit("root").alias("reason"))
+    named = known.join(reach, node, "left").select(node, F.coalesce("reach", F.lit(0).cast("long")).alias("reach"), F.lit("declared").alias("reason"))
     return named.union(roots)
 
 

@@ -219,6 +219,23 @@ def entry_points(spark, d):
     return gr.entry_points(_edges(spark, d, 49), n, "node", "s", "t", F.col("node") % 400 == 1)
 
 
+@query("first_callers", """
+WITH e AS (SELECT DISTINCT -o_custkey AS s, l_partkey AS t FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION
+  SELECT a.l_partkey, b.l_partkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+w AS (SELECT s, t FROM e UNION SELECT a.s, b.t FROM e a JOIN e b ON b.s = a.t),
+r AS (SELECT s AS node, count(*) AS reach FROM w WHERE s <> t GROUP BY s),
+n AS (SELECT p_partkey AS node FROM part UNION ALL SELECT -c_custkey FROM customer)
+SELECT node, coalesce(reach, 0) AS reach, 'declared' AS reason FROM n LEFT JOIN r USING (node) WHERE node % 400 = 1
+UNION ALL (SELECT node, reach, 'root' FROM n JOIN r USING (node) WHERE node % 400 <> 1 AND reach >= 3 AND node NOT IN (SELECT t FROM e WHERE s <> t) ORDER BY reach DESC, node LIMIT 40)""")
+def first_callers(spark, d):
+    """Entry points of the graph of all lines: customers call the parts they order, a part calls the next of its order; within two calls."""
+    li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("t"))
+    of = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (-F.col("o_custkey")).alias("s"))
+    e = of.join(li, "l_orderkey").select("s", "t").distinct().union(_edges(spark, d, 0))
+    n = table(spark, d, "part").select(F.col("p_partkey").alias("node")).union(table(spark, d, "customer").select(-F.col("c_custkey")))
+    return gr.entry_points(e, n, "node", "s", "t", F.col("node") % 400 == 1, depth=2)
+
+
 _REMOVED = """
 WITH o AS (SELECT DISTINCT p_brand || '.' || p_type AS name FROM part), n AS (SELECT DISTINCT p_brand || '.' || p_type AS name FROM part WHERE p_type <> 'PROMO'),
 g AS (SELECT name, regexp_extract(name, '[^.]*$') AS short FROM (SELECT * FROM o EXCEPT SELECT * FROM n))

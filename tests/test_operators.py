@@ -175,6 +175,32 @@ def test_interval_join_of_any_length(spark):
     assert gr.interval_join(left.limit(0), right, "p", ("s", "e"), ("cs", "ce")).count() == 0
 
 
+def test_entry_points_follow_few_roots(spark, monkeypatch):
+    """The first roots by reach against all sets of nodes reached; sketches leave most roots unfollowed."""
+    rnd = random.Random(8)
+    edges = {(-r, rnd.randint(1, 400)) for r in range(1, 301) for _ in range(rnd.choice([1, 2, 3, 30]))} | {(n, rnd.randint(1, 400)) for n in range(1, 401) if n % 3} | {(7, 7)}
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    reach = {}
+    for n in {a for a, _ in edges}:
+        seen = front = {n}
+        for _ in range(3):
+            front = set().union(*(out.get(x, set()) for x in front)) - seen
+            seen = seen | front
+        reach[n] = len(seen) - 1
+    roots = sorted((n for n in reach if n < 0 and n != -5 and reach[n] >= 3), key=lambda n: (-reach[n], n))[:10]
+    followed = []
+    plain = gr.reach_counts
+    monkeypatch.setattr(gr, "reach_counts", lambda e, s, t, d, seeds: followed.append(seeds.count()) or plain(e, s, t, d, seeds))
+    e = spark.createDataFrame(sorted(edges), "s long, t long")
+    nodes = spark.createDataFrame([(n,) for n in [*range(-300, 0), *range(1, 401)]], "node long")
+    got = {tuple(r) for r in gr.entry_points(e, nodes, "node", "s", "t", F.col("node").isin(-5, 3), most=10, depth=3).collect()}
+    assert got == {(n, reach[n], "root") for n in roots} | {(n, reach.get(n, 0), "declared") for n in (-5, 3)}
+    assert followed[0] < 150
+    assert gr.entry_points(e.limit(0), nodes, "node", "s", "t", F.lit(False), most=10, depth=3).count() == 0
+
+
 def test_affected_tests(spark):
     symbols = spark.createDataFrame([("a", "m.py", 1, 20), ("b", "m.py", 5, 9), ("t", "test_m.py", 1, 5), ("u", "test_u.py", 1, 5)], "id string, path string, start_line int, end_line int")
     calls = spark.createDataFrame([("t", "b"), ("u", "a")], "source string, target string")
