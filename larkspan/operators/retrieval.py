@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from larkspan.functions import text as tx, vectors as vx
-from larkspan.session import spread
+from larkspan.session import materialize, spread
 
 ALPHA = 0.75
 K1, B = 1.2, 0.75
 #: Terms of all queries together up to which they are sent to every task; beyond, they are joined by shuffles.
 SENT_TERMS = 100_000
+#: Characters of the pieces by which words that contain a term are found.
+GRAM = 3
 
 
 def candidate_pool(k: int, least: int = 20) -> int:
@@ -84,15 +86,50 @@ def bm25(
     )
 
 
+def _grams(text: str, sizes: list[int]) -> Column:
+    """The distinct pieces of ``text`` of the given lengths."""
+    def of(n: int) -> Column:
+        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n))))
+
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*[of(n) for n in sizes]))))
+
+
+def containing_words(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """(word, part) where a word of ``words`` (word, distinct) contains a part of ``parts`` (part, distinct, not empty).
+
+    A part is looked for where the rarest of its pieces of ``GRAM`` characters occurs; a shorter part is its own piece.
+    """
+    sizes = sorted(r[0] for r in parts.select(F.least(F.length("part"), F.lit(GRAM)).alias("n")).distinct().collect())  # at most GRAM numbers
+    if not sizes:
+        return words.crossJoin(parts.limit(0))
+    has = words.select("word", F.explode(_grams("word", sizes)).alias("gram"))
+    wants = parts.select("part", F.explode(_grams("part", sizes)).alias("gram")).where(F.length("gram") == F.least(F.length("part"), F.lit(GRAM)))
+    common = has.join(wants.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wants.join(common, "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    rarest = materialize(rarest.where("g.n > 0").select("part", "g.gram"), "rarest")
+    return has.join(rarest, "gram").where(F.contains("word", "part")).select("word", "part")
+
+
 def keyword_overlap(queries: DataFrame, docs: DataFrame, text: Column, query_id: str = "query_id", terms: str = "terms", doc_id: str = "doc_id") -> DataFrame:
-    """(query_id, doc_id, score): how many of the query's terms the document contains, where any.
+    """(query_id, doc_id, score): how many of the query's terms the document contains, where any, whatever the case.
 
-    The queries are broadcast only while they are under the broadcast threshold;
-    each document is compared with each query, as substring containment has no
-    equality to join on.
+    A term without white space lies in one word, so terms are looked for in the words of the corpus, once each, and the
+    words found are joined to their documents. Of a term with white space its longest part is, and the documents are then read
+    for the whole of it. Rows of one id are one document; a null text has no words, an empty term counts nowhere.
     """
-    pairs = docs.select(doc_id, F.lower(text).alias("_low")).join(queries.select(query_id, terms), F.lit(True))
-    return pairs.select(query_id, doc_id, tx.matched(F.col(terms), F.col("_low")).alias("score")).where("score > 0")
+    low = docs.select(F.col(doc_id).alias("_doc"), F.lower(text).alias("_low"))
+    asked = queries.select(F.col(query_id), F.explode(terms).alias("term")).withColumn("term", F.lower("term")).where("term <> ''")
+    longest = F.array_sort(F.split("term", "\\s+"), lambda x, y: F.length(y) - F.length(x))
+    term = asked.select("term").distinct().select("term", F.element_at(longest, 1).alias("part"), F.col("term").rlike("\\s").alias("several"))
+    term = materialize(term.where("part <> ''"), "terms")
+    held = low.select("_doc", F.explode(F.array_distinct(F.split("_low", "\\s+"))).alias("word")).where("word <> ''")
+    words = materialize(held.select("word").distinct(), "words")
+    found = containing_words(words, term.select("part").distinct()).join(term, "part").select("word", "term", "several")
+    hit = held.join(found, "word").select("_doc", "term", "several").distinct()
+    if term.where("several").limit(1).count():
+        whole = hit.where("several").join(low, "_doc").where(F.contains("_low", "term")).select("_doc", "term").distinct()
+        hit = hit.where("NOT several").select("_doc", "term").union(whole)
+    return hit.join(asked, "term").groupBy(query_id, F.col("_doc").alias(doc_id)).agg(F.count("*").cast("int").alias("score"))
 
 
 def keyword_scan(docs: DataFrame, text: Column, terms: list[str]) -> DataFrame:

@@ -109,6 +109,12 @@ def keyword_overlap_rank(spark, d):
     return rt.top_k(hits, ["item_id"], [F.col("score").desc(), F.col("doc_id").desc()], 5)
 
 
+@query("keyword_scan", """
+SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'that')""")
+def keyword_scan(spark, d):
+    return rt.keyword_scan(table(spark, d, "documents"), F.col("text"), ["License", "that"]).select("doc_id")
+
+
 _KNN = """
 WITH p AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) /

@@ -175,6 +175,20 @@ def test_interval_join_of_any_length(spark):
     assert gr.interval_join(left.limit(0), right, "p", ("s", "e"), ("cs", "ce")).count() == 0
 
 
+def test_keyword_overlap_finds_parts_of_words(spark):
+    """Every term in every text, by plain containment: parts of words, one letter, white space, case, ties, nulls, empty terms."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcÄ. ") for _ in range(rnd.randint(1, 5)))
+    docs = [(i, " ".join(word() for _ in range(rnd.randint(0, 6)))) for i in range(80)] + [(80, None), (81, ""), (82, "abc\tabc b"), (83, "abc abc b")]
+    queries = [(q, [word() for _ in range(rnd.randint(0, 5))]) for q in range(20)] + [(20, ["", "abc abc", "a", "A", "zzz", " "]), (21, None), (22, ["abc", "abc"])]
+    d, q = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(queries, "query_id int, terms array<string>")
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in rt.keyword_overlap(q, d, F.col("text")).collect()}
+    want = {(k, i): sum(t.strip() != "" and t.lower() in x.lower() for t in ts) for k, ts in queries if ts for i, x in docs if x}
+    assert got == {k: n for k, n in want.items() if n}
+    assert rt.keyword_overlap(q.limit(0), d, F.col("text")).count() == 0
+    assert rt.keyword_overlap(q, d.limit(0), F.col("text")).count() == 0
+
+
 def test_entry_points_follow_few_roots(spark, monkeypatch):
     """The first roots by reach against all sets of nodes reached; sketches leave most roots unfollowed."""
     rnd = random.Random(8)
