@@ -400,12 +400,23 @@ def affected_tests(symbols: DataFrame, calls: DataFrame, imports: DataFrame, cha
     return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-#: Files that decide how all code is built or tested, and files that only decide where.
-BUILD_FILES = (
-    "(^|/)(?:pyproject\\.toml|setup\\.(?:py|cfg)|[\\w.-]*requirements[\\w.-]*\\.txt|(?:tox|pytest)\\.ini|package(?:-lock)?\\.json|yarn\\.lock|"
-    "tsconfig[\\w.-]*\\.json|go\\.(?:mod|sum)|[Cc]argo\\.(?:toml|lock)|pom\\.xml|build\\.gradle(?:\\.kts)?|Dockerfile|Makefile)$"
+# Names of files that decide how all code is built or tested, as patterns, by what reads them.
+BUILD_NAMES = (
+    "package(-lock)?\\.json", "npm-shrinkwrap\\.json", "yarn\\.lock", "pnpm-(lock|workspace)\\.yaml", "bun\\.lockb?",
+    "[tj]sconfig[^/]*\\.json", "(babel|jest|vite|vitest)\\.config\\.[^/]+", "\\.babelrc", "\\.mocharc[^/]*",
+    "pyproject\\.toml", "setup\\.(py|cfg)", "(tox|pytest)\\.ini", "[\\w.-]*requirements[^/]*\\.txt", "(poetry|uv)\\.lock", "Pipfile(\\.lock)?",
+    "go\\.(mod|sum|work|work\\.sum)", "[Cc]argo\\.(toml|lock)",
+    "pom\\.xml", "(build|settings)\\.gradle(\\.kts)?", "gradle\\.properties",
+    "\\.env[^/]*", "Dockerfile", "Makefile",
 )
-PIPELINE_FILES = "^\\.(?:github|gitlab|circleci)(?:/|-ci)"
+# Folders and names of files that only decide where code is built, or say something about the repository.
+PIPELINE_FOLDERS = ("\\.github", "\\.gitlab", "\\.circleci", "\\.buildkite")
+PIPELINE_NAMES = (
+    "\\.gitlab-ci\\.ya?ml", "azure-pipelines\\.ya?ml", "bitbucket-pipelines\\.ya?ml", "\\.travis\\.ya?ml", "Jenkinsfile",
+    "\\.gitignore", "\\.gitattributes", "\\.editorconfig", "\\.mailmap", "\\.npmignore", "CODEOWNERS", "LICENSE(\\.[^/]*)?",
+)
+BUILD_FILES = f"(^|/)({'|'.join(BUILD_NAMES)})$"
+PIPELINE_FILES = f"(^|/)({'|'.join(PIPELINE_FOLDERS)})/|(^|/)({'|'.join(PIPELINE_NAMES)})$"
 
 
 def run_all_reasons(changes: DataFrame, analysed: DataFrame, kind: Column) -> DataFrame:

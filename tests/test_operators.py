@@ -175,6 +175,18 @@ def test_interval_join_of_any_length(spark):
     assert gr.interval_join(left.limit(0), right, "p", ("s", "e"), ("cs", "ce")).count() == 0
 
 
+def test_files_that_ask_for_all_tests(spark):
+    build = [
+        "pnpm-lock.yaml", "pnpm-workspace.yaml", "web/bun.lockb", "poetry.lock", "uv.lock", "Pipfile", "Pipfile.lock", "jest.config.ts", "a/vite.config.js", "vitest.config.mts",
+        "babel.config.json", ".babelrc", ".mocharc.yml", ".env", ".env.local", "settings.gradle.kts", "gradle.properties", "go.work.sum", "jsconfig.json", "npm-shrinkwrap.json",
+        "dev-requirements.txt", "tsconfig.build.json", "package.json", "setup.cfg"]
+    other = [".github/workflows/package.json", "sub/.github/x.py", "Jenkinsfile", "LICENSE.md", "CODEOWNERS", "my.env", "package.json.bak", "jest.config", "go.mod.txt", "xgo.mod", "requirements/base.txt"]
+    changes = spark.createDataFrame([(p,) for p in build + other + ["src/new.py", "src/old.py"]], "path string")
+    kind = F.when(F.col("path").endswith(".py") | (F.col("path") == "Jenkinsfile"), "code").otherwise("other")
+    got = dict(rows(gr.run_all_reasons(changes, spark.createDataFrame([("src/old.py",)], "path string"), kind)))
+    assert got == {"src/new.py": "not analysed"} | {p: "configuration" for p in build}
+
+
 def test_keyword_overlap_finds_parts_of_words(spark):
     """Every term in every text, by plain containment: parts of words, one letter, white space, case, ties, nulls, empty terms."""
     rnd = random.Random(9)
