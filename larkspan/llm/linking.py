@@ -115,7 +115,7 @@ def nodes_of(rows: DataFrame) -> DataFrame:
     return materialize(rows.where("size > 0").groupBy("k1", "k2").agg(*firsts).withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
-def _bit_map(rows: DataFrame) -> np.ndarray:
+def bit_map(rows: DataFrame) -> np.ndarray:
     """A map of ``MAP_BITS`` bits in which the two bits of each row's key r1 are set, as bytes."""
     bit = F.explode(F.array(F.col("r1"), F.shiftrightunsigned("r1", 32))).alias("b")
     at = rows.select(bit).select(F.col("b").bitwiseAND(F.lit(MAP_BITS - 1)).alias("b"))
@@ -126,7 +126,7 @@ def _bit_map(rows: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _in_map(r1: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def in_map(r1: np.ndarray, bits: np.ndarray) -> np.ndarray:
     out = np.ones(len(r1), bool)
     for h in (r1, r1 >> np.uint64(32)):
         at = h & np.uint64(MAP_BITS - 1)
@@ -141,12 +141,12 @@ def wanted_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, id_col: str,
     """
     some = rows.where("size > 0").groupBy("k1", "k2").agg(F.min("r1").alias("r1"), F.min_by("r2", "r1").alias("r2"))
     chosen = materialize(nodes.select("k1", "k2", "node").join(some, ["k1", "k2"]).select("r1", "r2", "node"), "wanted")
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_map(chosen))  # MAP_BITS bits
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(chosen))  # MAP_BITS bits
 
     def run(batches):
         bits = shared.value
         for b in batches:
-            b = b.filter(pa.array(_in_map(b.column(0).to_numpy().view(np.uint64), bits)))
+            b = b.filter(pa.array(in_map(b.column(0).to_numpy().view(np.uint64), bits)))
             for i, j, texts in kernel.chunks(b.column(2)):
                 h, at = shingle_sets(texts, words)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), lists(h, at)], names=["r1", "r2", "s"])

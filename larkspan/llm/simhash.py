@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from larkspan.llm import graphs, rows as keyed
+from larkspan.llm import graphs, linking, rows as keyed
 from larkspan.session import materialize, ship
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -111,21 +111,37 @@ def _near(a, b, radius: int):
     return (manhattan(embedding(a), embedding(b)) <= radius) & (F.bit_count(a.bitwiseXOR(b)) <= radius)
 
 
-def links(points: DataFrame, radius: int = 3, blocks: int = BLOCKS) -> DataFrame:
-    """(node, component) of the distinct ``fp`` of ``points``, for those that are not the least of their component.
+def held_cells(points: DataFrame, radius: int = 3, blocks: int = BLOCKS) -> DataFrame:
+    """(fp, cell, least) of the distinct ``fp`` of ``points``, one row for each of its cells that holds others too; ``least`` is the cell's least.
 
-    A component is what is reachable over links of at most ``radius`` differing
-    bits. Cells of one point are dropped at once; Spark splits cells whose rows
-    outgrow a task (adaptive skew join).
+    Cells are counted by their number alone. A map of a fixed size names those of several points; it may let others pass,
+    more of them the more there are, and a join on the cell drops them. So a point is shuffled for few of its cells.
     """
+    ship(points.sparkSession)
     pc = embedding(F.col("fp"))
     cells = points.select("fp", F.explode(F.array(*[
         F.xxhash64(F.lit(i), pc.bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(grids(radius, blocks))
     ])).alias("cell"))
     # counts are written before they are joined back, so that Spark can split a hot cell
-    cells = materialize(cells, "cells")
-    shared = materialize(cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1").select("cell", "least"), "shared")
-    held = materialize(cells.join(shared, "cell"), "held")
+    several = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "several")
+    shared = points.sparkSession.sparkContext.broadcast(linking.bit_map(several.select(F.col("cell").alias("r1"))))  # MAP_BITS bits
+
+    def run(batches):
+        bits = shared.value
+        for b in batches:
+            yield b.filter(pa.array(linking.in_map(b.column(1).to_numpy().view(np.uint64), bits)))
+
+    some = materialize(cells.mapInArrow(run, "fp long, cell long").join(several, "cell"), "some")
+    return materialize(some.join(materialize(some.groupBy("cell").agg(F.min("fp").alias("least")), "firsts"), "cell"), "held")
+
+
+def links(points: DataFrame, radius: int = 3, blocks: int = BLOCKS) -> DataFrame:
+    """(node, component) of the distinct ``fp`` of ``points``, for those that are not the least of their component.
+
+    A component is what is reachable over links of at most ``radius`` differing
+    bits. Spark splits cells whose rows outgrow a task (adaptive skew join).
+    """
+    held = held_cells(points, radius, blocks)
     star = held.where((F.col("fp") != F.col("least")) & _near(F.col("fp"), F.col("least"), radius)).select(F.col("fp").alias("v"), F.col("least").alias("u")).distinct()
     found = graphs.components(star)
     labelled = held.select("fp", "cell").join(found, F.col("fp") == F.col("node"), "left").select("fp", "cell", F.coalesce("component", "fp").alias("c"))

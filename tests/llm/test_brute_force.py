@@ -490,3 +490,23 @@ def test_all_null_and_repeated_rows(spark, name):
     rows = [(1, None, None, None, None, None, None, None, None, None)] * 3 + [(2, "", "en", "s", 0, "", 0, "", 0, "")] * 2 + [(3, "one two", "en", "s", 7, "", 0, "", 0, "")]
     n = OPERATORS[name](spark.createDataFrame(rows, SCHEMA)).count()
     assert n == {"representatives": 2, "mix": n}.get(name, 6)
+
+
+def test_cells_of_one_point_are_only_counted(spark, monkeypatch):
+    """What no other point shares is neither written nor joined."""
+    rnd = random.Random(11)
+    fps = {rnd.getrandbits(64) for _ in range(400)}
+    fps |= {f ^ 1 for f in sorted(fps)[:20]}
+    written, write = {}, simhash.materialize
+
+    def recorded(df, name="t"):
+        written[name] = write(df, name)
+        return written[name]
+
+    monkeypatch.setattr(simhash, "materialize", recorded)
+    simhash.links(spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").coalesce(1))
+    assert max(df.count() for df in written.values()) < 5 * len(fps) < 35 * len(fps)
+    cells = defaultdict(list)
+    for r in written["held"].collect():
+        cells[r["cell"]].append(r)
+    assert cells and all(len(c) > 1 and {r["least"] for r in c} == {min(r["fp"] for r in c)} for c in cells.values())
