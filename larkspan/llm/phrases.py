@@ -137,7 +137,7 @@ def _summed(at: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np
 
 
 def _pack(at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """(block, cells): each block's cells as differences, then their counts, compressed."""
+    """(block, cells): each block's cells as differences, low bytes before high bytes, then their counts, compressed."""
     block = (at // BLOCK).astype(np.int64)
     cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(at) else []
     zip_ = zstandard.ZstdCompressor(level=1).compress
@@ -145,14 +145,15 @@ def _pack(at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     step = low.copy()
     step[1:] -= low[:-1]
     step[cut[:-1]] = low[cut[:-1]]
-    data = [zip_(step[i:j].tobytes() + n[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    data = [zip_(step[i:j].view(np.uint8).reshape(-1, 2).T.tobytes() + n[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), pa.array(data, pa.binary())], names=["block", "cells"])
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     n = len(raw) // 3
-    return np.cumsum(np.frombuffer(raw, np.uint16, n), dtype=np.uint16), np.frombuffer(raw, np.uint8, n, 2 * n)
+    step = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 2 * n).reshape(2, n).T).view(np.uint16).ravel()
+    return np.cumsum(step, dtype=np.uint16), np.frombuffer(raw, np.uint8, n, 2 * n)
 
 
 def sketch(docs: DataFrame, width: int, level: int, before: list[np.ndarray]) -> DataFrame:
@@ -285,6 +286,11 @@ def count_passing(g: Grams, lang: pa.Array, sketches: list[np.ndarray], width: i
         yield rows(of[some], k, phrase, count[have])
 
 
+def _words(phrase: str) -> Column:
+    """The number of words of a phrase."""
+    return F.length(phrase) - F.length(F.replace(F.col(phrase), F.lit(" "), F.lit(""))) + 1
+
+
 def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, k, phrase, f) of all phrases of ``k`` = 1 to ``LONGEST`` words that occur ``MIN_COUNT`` times or more; k = 0 has the number of words."""
     spark = docs.sparkSession
@@ -311,7 +317,10 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
                 yield from count_passing(g, b.column(0).slice(i, j - i), shared.value, width)
 
     parts = src.mapInArrow(count, "lang string, k int, phrase string, n long")
-    f = parts.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f"))
+    # one string and one number a row are shuffled; a phrase holds no line break, so the first one ends it
+    f = parts.groupBy(F.concat("phrase", F.lit("\n"), "lang").alias("key")).agg(F.sum("n").alias("f"))
+    f = f.select(F.substring_index("key", "\n", 1).alias("phrase"), F.expr("substring(key, instr(key, '\n') + 1)").alias("lang"), "f")
+    f = f.select("lang", F.when(F.col("phrase") == "", 0).otherwise(_words("phrase")).alias("k"), "phrase", "f")
     return materialize(f.where(f"k = 0 OR f >= {MIN_COUNT}"), "frequent")
 
 
@@ -345,11 +354,13 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     words = f.where("k = 0").select("lang", F.col("f").alias("n"))
     c = f.where("k > 1").select("lang", "phrase", "k", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     part = lambda i, n: F.array_join(F.slice("w", i, n), " ")
-    cut = c.select("lang", "phrase", "k", "a", "w", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
-    cut = cut.select("lang", "phrase", "k", "a", "cut", part(F.lit(1), F.col("cut")).alias("first"), part(F.col("cut") + 1, F.col("k") - F.col("cut")).alias("rest"))
+    cut = c.select("lang", "k", "a", "w", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
+    # both parts spell the phrase, and the first has as many words as the cut, so neither is shuffled beside them
+    cut = cut.select("lang", "a", part(F.lit(1), F.col("cut")).alias("first"), part(F.col("cut") + 1, F.col("k") - F.col("cut")).alias("rest"))
     of = f.where(F.col("k").between(1, LONGEST - 1))
     both = cut.join(of.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"])
     both = both.join(of.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
+    both = both.withColumns({"phrase": F.concat_ws(" ", "first", "rest"), "cut": _words("first")})
     both = both.withColumn("score", score("a", _exact("l") + _exact("r")))
     scored = both.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b"))
     # every contiguous part of two words or more of a longer candidate

@@ -124,3 +124,29 @@ def test_products_pass_64_bits(spark):
     a, whole = 7 * 10**18, 7 * 10**18 + 9 * 10**18
     row = spark.range(1).select(F.lit(a).alias("a"), F.lit(7 * 10**18).alias("l"), F.lit(9 * 10**18).alias("r"))
     assert row.select(phrases.score("a", F.col("l").cast("decimal(20,0)") + F.col("r").cast("decimal(20,0)"))).first()[0] == 2000000 * a // whole
+
+
+def test_sketch_blocks_keep_low_and_high_bytes_apart():
+    """Blocks come back as they were, in fewer bytes than with the two bytes of a step side by side."""
+    import zstandard
+
+    rnd = np.random.default_rng(3)
+    at = np.unique(rnd.integers(0, 3 * phrases.BLOCK, 9000)).astype(np.uint32)
+    n = np.minimum(rnd.geometric(0.6, len(at)), phrases.MIN_COUNT).astype(np.uint8)
+    packed = phrases._pack(at, n)
+    got = [(b * phrases.BLOCK + phrases._unpack(d)[0].astype(np.int64), phrases._unpack(d)[1]) for b, d in zip(*(c.to_pylist() for c in packed.columns), strict=True)]
+    assert np.array_equal(np.concatenate([a for a, _ in got]), at) and np.array_equal(np.concatenate([m for _, m in got]), n)
+    plain = 0
+    for b, _ in zip(*(c.to_pylist() for c in packed.columns), strict=True):
+        some = at // phrases.BLOCK == b
+        step = np.diff((at[some] % phrases.BLOCK).astype(np.uint16), prepend=np.uint16(0))
+        plain += len(zstandard.ZstdCompressor(level=1).compress(step.tobytes() + n[some].tobytes()))
+    assert sum(len(d) for d in packed.column(1).to_pylist()) < 0.95 * plain
+
+
+def test_languages_with_line_breaks_stay_apart(spark):
+    rows = [("a b " * 40, "x"), ("a b " * 40, "x\ny"), ("a b " * 40, "\n")]
+    got = phrases.frequent(spark.createDataFrame(rows, "text string, lang string")).collect()
+    want, _ = counted(rows)
+    assert {(r["lang"], *r["phrase"].split(" ")): r["f"] for r in got if r["k"]} == {p: f for p, f in want.items() if f >= 30}
+    assert all(r["k"] == len(r["phrase"].split()) for r in got)
