@@ -107,11 +107,11 @@ def parities_fit(x: str, y: str) -> Column:
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """(node, k1, k2, size, p, post) of the distinct sets of ``rows`` (k1, k2, size, p, post); empty sets have none.
+    """(node, k1, k2, size, p, post) of the distinct sets of ``rows`` (k1, k2, size, p, post), with ``fp`` where rows have it; empty sets have none.
 
     Numbers are dealt while the table is written, so whatever reads it sees the same ones.
     """
-    firsts = [F.first(c).alias(c) for c in ("size", "p", "post")]
+    firsts = [F.first(c).alias(c) for c in ("size", "p", "post", "fp") if c in rows.columns]
     return materialize(rows.where("size > 0").groupBy("k1", "k2").agg(*firsts).withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
@@ -159,12 +159,14 @@ def wanted_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, id_col: str,
 
 def components(
     nodes: DataFrame, posts: DataFrame, sets: Callable[[DataFrame], DataFrame], fit: Callable[[Column, Column, Column, Column], Column] | None = None,
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """(node, component) of the ``nodes`` that are not the least of their component.
 
     ``posts`` has (s, node) and is written; with ``fit(size, size, pos, pos)``,
     which says whether two holders of one key may be similar, also size and
-    pos. ``sets(nodes)`` gives the whole sets (node, s) of some nodes.
+    pos. ``sets(nodes)`` gives the whole sets (node, s) of some nodes. Pairs
+    ``near`` (u, v) are verified first, and what they link is not compared again.
     """
     more = [] if fit is None else ["size", "pos"]
     counts = materialize(posts.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "counts")
@@ -207,7 +209,11 @@ def components(
         return graphs.components(found.select(F.col("component").alias("u"), F.col("node").alias("v")).union(links))
 
     nearest = star.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select("u", "v")
-    found = graphs.components(verified(alike(nearest)))
+    if near is None:
+        found = graphs.components(verified(alike(nearest)))
+    else:
+        found = graphs.components(verified(alike(near)))
+        found = joined(found, verified(alike(across(nearest, found))))
     found = joined(found, verified(alike(across(star.select("u", "v"), found))))
     labelled = held.drop("n").join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     labelled = materialize(labelled, "labelled")

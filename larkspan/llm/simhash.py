@@ -63,6 +63,22 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(total * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def of_sets(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 64-bit SimHash of each set of 64-bit hashes; 0 of an empty one."""
+    out = np.zeros(len(at) - 1, np.uint64)
+    # sets in runs of about 65,536 hashes, or one larger set alone, bit by bit: what is held is a byte a hash
+    i = 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 16), side="right")) - 1)
+        h, first = hashes[at[i] : at[j]], at[i : j + 1] - at[i]
+        some = np.flatnonzero(np.diff(first))
+        for k in range(64) if len(some) else ():
+            ones = np.add.reduceat((h >> np.uint64(k)).astype(np.uint8) & 1, first[:-1][some], dtype=np.int64)
+            out[i + some] |= (2 * ones > np.diff(first)[some]).astype(np.uint64) << np.uint64(k)
+        i = j
+    return out
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3) -> DataFrame:
     """(_id, r1, r2, fp): id, key of id and text, and SimHash of every whole text as a signed 64-bit integer."""
     ship(docs.sparkSession)
@@ -135,22 +151,36 @@ def held_cells(points: DataFrame, radius: int = 3, blocks: int = BLOCKS) -> Data
     return materialize(some.join(materialize(some.groupBy("cell").agg(F.min("fp").alias("least")), "firsts"), "cell"), "held")
 
 
-def links(points: DataFrame, radius: int = 3, blocks: int = BLOCKS) -> DataFrame:
-    """(node, component) of the distinct ``fp`` of ``points``, for those that are not the least of their component.
-
-    A component is what is reachable over links of at most ``radius`` differing
-    bits. Spark splits cells whose rows outgrow a task (adaptive skew join).
-    """
+def _met(points: DataFrame, radius: int, blocks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(u, v) of points near the least of their cell, the components that these give, and (c, d, u, v): one pair for each two components that meet."""
     held = held_cells(points, radius, blocks)
     star = held.where((F.col("fp") != F.col("least")) & _near(F.col("fp"), F.col("least"), radius)).select(F.col("fp").alias("v"), F.col("least").alias("u")).distinct()
+    star = materialize(star, "star")
     found = graphs.components(star)
     labelled = held.select("fp", "cell").join(found, F.col("fp") == F.col("node"), "left").select("fp", "cell", F.coalesce("component", "fp").alias("c"))
     labelled = materialize(labelled, "labelled")
     mixed = labelled.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("cell")
     apart = materialize(labelled.join(materialize(mixed, "mixed"), "cell"), "apart")
     meet = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.c") < F.col("b.c")) & _near(F.col("a.fp"), F.col("b.fp"), radius)
-    more = apart.alias("a").join(apart.alias("b"), meet).select(F.col("a.c").alias("u"), F.col("b.c").alias("v")).distinct()
-    return graphs.components(found.select(F.col("component").alias("u"), F.col("node").alias("v")).union(more))
+    pair = F.min(F.struct(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))).alias("p")
+    more = apart.alias("a").join(apart.alias("b"), meet).groupBy(F.col("a.c").alias("c"), F.col("b.c").alias("d")).agg(pair)
+    return star, found, more.select("c", "d", "p.u", "p.v")
+
+
+def pairs(points: DataFrame, radius: int = 3, blocks: int = BLOCKS) -> DataFrame:
+    """(u, v) of the distinct ``fp`` of ``points``: pairs within ``radius`` bits, as many as connect what ``links`` connects."""
+    star, _, more = _met(points, radius, blocks)
+    return star.select("u", "v").union(more.select("u", "v"))
+
+
+def links(points: DataFrame, radius: int = 3, blocks: int = BLOCKS) -> DataFrame:
+    """(node, component) of the distinct ``fp`` of ``points``, for those that are not the least of their component.
+
+    A component is what is reachable over links of at most ``radius`` differing
+    bits. Spark splits cells whose rows outgrow a task (adaptive skew join).
+    """
+    _, found, more = _met(points, radius, blocks)
+    return graphs.components(found.select(F.col("component").alias("u"), F.col("node").alias("v")).union(more.select("c", "d")))
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, words: int = 3, radius: int = 3, blocks: int = BLOCKS) -> DataFrame:

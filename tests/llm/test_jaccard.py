@@ -3,6 +3,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 import corpus_pipeline
 from larkspan.llm import jaccard
 from larkspan.session import table
@@ -60,3 +62,30 @@ def test_the_stage_finds_every_pair_of_the_table(spark, data):
     texts = {r["doc_id"]: r["text"] for r in table(spark, data, "documents").collect()}
     want = check(spark, texts)
     assert want[177] == 1 and want[145] == 6
+
+
+def test_simhash_gives_pairs_of_its_own(spark, monkeypatch):
+    """Near copies within op2's three bits are linked by its grids even where the shared shingles give no pair; what is not alike is not."""
+    from pyspark.sql import functions as F
+
+    from larkspan.llm import kernel, linking, simhash
+
+    rnd = random.Random(8)
+    texts = {}
+    for n in range(12):
+        words = [f"W{rnd.randrange(10**6)}" for _ in range(600)]
+        texts[2 * n] = " ".join(words)
+        words[rnd.randrange(600)] = "other"
+        texts[2 * n + 1] = " ".join(words)
+    _, _, batch = next(kernel.chunks(pa.chunked_array([pa.array(list(texts.values()))]).combine_chunks()))
+    h, at = linking.shingle_sets(batch, jaccard.WORDS)
+    fp = [int(x) for x in simhash.of_sets(h, at)]
+    for i in range(len(texts)):
+        some = [int(x) for x in h[at[i] : at[i + 1]]]
+        assert fp[i] == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in some) > len(some))
+    near = [i for i in range(0, 24, 2) if (fp[i] ^ fp[i + 1]).bit_count() <= 3]
+    assert near
+    monkeypatch.setattr(jaccard, "_sizes_fit", lambda a, b, i, j: F.lit(False))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = dict(map(tuple, jaccard.near_duplicates(docs).collect()))
+    assert got == {i: i - 1 if i - 1 in near else i for i in texts}
