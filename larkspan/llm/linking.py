@@ -3,7 +3,8 @@
 Rows that hold the same set are one node, known by 128 bits of the set and then
 by a number. Nodes that hold one posting key may be similar. The pairs of a
 family are not listed: each node is first compared with one hub, the holder of
-a list that shares most with all others, then with the hubs of its other lists, and
+a list that shares most with all others, then with the hubs of its other lists
+(with all of them at once where there are pairs to begin with), and
 only lists that still hold several components are joined with themselves,
 across components. Pairs whose parities differ in more bits than similar sets
 have different shingles are dropped; every link is verified on whole sets of
@@ -166,7 +167,8 @@ def components(
     ``posts`` has (s, node) and is written; with ``fit(size, size, pos, pos)``,
     which says whether two holders of one key may be similar, also size and
     pos. ``sets(nodes)`` gives the whole sets (node, s) of some nodes. Pairs
-    ``near`` (u, v) are verified first, and what they link is not compared again.
+    ``near`` (u, v) are verified with those of the hubs, in one round: a round is
+    dozens of jobs, which the driver keeps track of however few pairs there are.
     """
     more = [] if fit is None else ["size", "pos"]
     counts = materialize(posts.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "counts")
@@ -208,13 +210,13 @@ def components(
             return found
         return graphs.components(found.select(F.col("component").alias("u"), F.col("node").alias("v")).union(links))
 
-    nearest = star.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select("u", "v")
     if near is None:
+        nearest = star.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select("u", "v")
         found = graphs.components(verified(alike(nearest)))
+        found = joined(found, verified(alike(across(star.select("u", "v"), found))))
     else:
-        found = graphs.components(verified(alike(near)))
-        found = joined(found, verified(alike(across(nearest, found))))
-    found = joined(found, verified(alike(across(star.select("u", "v"), found))))
+        both = star.select("u", "v").union(near.select("u", "v"))
+        found = graphs.components(verified(alike(both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())))
     labelled = held.drop("n").join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     labelled = materialize(labelled, "labelled")
     mixed = labelled.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")

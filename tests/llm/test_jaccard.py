@@ -89,3 +89,18 @@ def test_simhash_gives_pairs_of_its_own(spark, monkeypatch):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = dict(map(tuple, jaccard.near_duplicates(docs).collect()))
     assert got == {i: i - 1 if i - 1 in near else i for i in texts}
+
+
+def test_what_grids_and_hubs_bring_together_is_verified_at_once(spark, monkeypatch):
+    rnd = random.Random(11)
+    texts, rounds, sets = {}, [], jaccard.linking.wanted_sets
+    for base in range(6):  # some copies that the grids find, others that only shared shingles find
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+        for edits in (0, 1, 6):
+            at = rnd.sample(range(0, 300, 5), edits)
+            texts[len(texts)] = " ".join(f"x{base}{edits}{k}" if k in at else x for k, x in enumerate(w))
+    monkeypatch.setattr(jaccard.linking, "wanted_sets", lambda *a: rounds.append(a) or sets(*a))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = dict(map(tuple, jaccard.near_duplicates(docs).collect()))
+    assert found == brute(texts) and set(found.values()) == set(range(0, 18, 3))
+    assert len(rounds) <= 2  # the other round is of what only lists of several components bring together
