@@ -82,9 +82,13 @@ def publish(df: DataFrame, where: str, failures: int = 0) -> bool:
     return True
 
 
-def cache_misses(texts: DataFrame, cache: DataFrame, contract: Column, text: Column, key: str = "key") -> DataFrame:
-    """Distinct contents that have no vector yet, one row for each content key."""
-    wanted = texts.withColumn(key, tx.content_key(contract, text)).dropDuplicates([key])
+def cache_misses(texts: DataFrame, cache: DataFrame, contract: Column, text: Column, *kept: Column, key: str = "key") -> DataFrame:
+    """Distinct contents that have no vector yet, one row for each content key, with the aggregates ``kept`` over all of its rows.
+
+    A null text has no key. Only what the aggregates need is shuffled, not the texts.
+    """
+    rows = texts.withColumn(key, tx.content_key(contract, text)).where(F.col(key).isNotNull())
+    wanted = rows.groupBy(key).agg(*kept) if kept else rows.select(key).distinct()
     return wanted.join(cache.select(key), key, "left_anti")
 
 

@@ -43,3 +43,9 @@ def test_skip_reason_counts_by_characters(both):
 def test_skip_reasons_by_characters(both):
     got, want = both("skip_reasons", documents=documents(*LONG_STARTS))
     assert got == want and {r[1] for r in want} == {"empty", "minified", "indexed"}
+
+
+def test_a_content_has_the_least_language_of_its_copies(both):
+    texts = [f"text {k % 40}" if k % 3 else f"other {k % 2}" for k in range(1, 300)]
+    got, want = both("vector_cache_misses", documents=documents(*texts, langs=("fr", None, "de", "en", "es", "de", "it")))
+    assert got == want and len(want) > 20
