@@ -1,12 +1,13 @@
 """Queries against their SQL on small tables made for what the given tables rarely have."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import duckdb
 import pytest
 
 from larkspan.plans import registry
+from larkspan.streaming import timers
 
 
 @pytest.fixture
@@ -69,3 +70,19 @@ def apart(kind, *seconds, users=100):
 def test_breaker_of_users_silent_for_exactly_two_hours(both):
     got, want = both("stream_breaker_idle", events=apart("error", 0, 7200, 7200.000001))
     assert got == want and len(want) == 300
+
+
+def state_after_one_batch(spark, folder, fn, kind):
+    """Rows of state when a batch of one key at 400 times has come, and the rows given at the end."""
+    rows = [("k", datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=k), k, kind) for k in range(400)]
+    spark.createDataFrame(rows, "key string, ts timestamp, tie long, kind string").coalesce(1).write.parquet(f"{folder}/in")
+    got: list = []
+    stream = fn(spark.readStream.schema("key string, ts timestamp, tie long, kind string").parquet(f"{folder}/in"), "key", "ts", "tie", "kind")
+    q = stream.writeStream.option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).foreachBatch(lambda b, n: got.extend(b.collect())).start()
+    q.awaitTermination()
+    return q.recentProgress[0]["stateOperators"][0]["numRowsTotal"], len(got)
+
+
+def test_alerts_keep_a_batch_of_a_key_in_a_few_rows(spark, tmp_path):
+    held, given = state_after_one_batch(spark, tmp_path, lambda *a: timers.alerts(*a, every=2), "alert")
+    assert held < 20 and given == 200
