@@ -86,3 +86,8 @@ def state_after_one_batch(spark, folder, fn, kind):
 def test_alerts_keep_a_batch_of_a_key_in_a_few_rows(spark, tmp_path):
     held, given = state_after_one_batch(spark, tmp_path, lambda *a: timers.alerts(*a, every=2), "alert")
     assert held < 20 and given == 200
+
+
+def test_requests_keep_a_batch_of_a_key_in_a_few_rows(spark, tmp_path):
+    held, given = state_after_one_batch(spark, tmp_path, lambda *a: timers.requests(*a, most=100), "request")
+    assert held < 20 and given == 400
