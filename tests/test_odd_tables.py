@@ -8,6 +8,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from larkspan.functions import text as tx
+from larkspan.operators import duplicates as dd
 from larkspan.plans import registry
 from larkspan.streaming import events as streams, timers
 
@@ -103,3 +105,27 @@ def test_bursts_count_items_exactly_and_keep_no_sketches(spark, tmp_path):
     assert "approx_count_distinct" not in out._jdf.queryExecution().logical().toString()
     got = streams.run_available(out, "complete", "t").select("u", "events", "items", "full_scan").collect()
     assert sorted(map(tuple, got)) == [(u, 900, 700, True) for u in range(5)] + [(9, 2, 1, False)]
+
+
+def families():
+    rnd = random.Random(3)
+    base = [[f"w{rnd.randrange(400)}" for _ in range(rnd.choice([5, 6, 20, 60, 90]))] for _ in range(25)]
+    texts = [" ".join(w if rnd.random() > 0.01 else "Zé" for w in base[k % 25]) for k in range(150)]
+    return [*texts, *texts[:30], *[base[0] and " ".join(base[3])] * 20, "", None, "a b c d", "A b C d", "a b c d e", "a b c d e"]
+
+
+def test_near_duplicates_with_copies(both):
+    got, want = both("near_duplicates_jaccard", documents=documents(*families()))
+    assert got == want and len(want) > 300
+
+
+def test_near_duplicates_shuffle_no_whole_sets(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"u{k}x{i}" for i in range(200))) for k in range(60)], "doc_id long, text string")
+    seen = []
+    keep, dd.materialize = dd.materialize, lambda df, name="t": seen.append((name, out := keep(df, name))) or out
+    try:
+        assert dd.jaccard_texts(docs, "doc_id", tx.words(F.col("text"))).count() == 0
+    finally:
+        dd.materialize = keep
+    rows = {name: df for name, df in seen}
+    assert rows["points"].agg(F.sum(F.size("post"))).first()[0] == 60 * 40 and rows["sets"].count() == 0 and "shingles" not in rows
