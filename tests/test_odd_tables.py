@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspan.functions import text as tx
-from larkspan.operators import duplicates as dd
+from larkspan.operators import duplicates as dd, retrieval
 from larkspan.plans import registry
 from larkspan.streaming import events as streams, timers
 
@@ -129,3 +129,17 @@ def test_near_duplicates_shuffle_no_whole_sets(spark):
         dd.materialize = keep
     rows = {name: df for name, df in seen}
     assert rows["points"].agg(F.sum(F.size("post"))).first()[0] == 60 * 40 and rows["sets"].count() == 0 and "shingles" not in rows
+
+
+def test_nearest_with_copies_and_many_blocks(both, spark):
+    rnd = random.Random(4)
+    vectors = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(300)]
+    rows = [(k, vectors[0] if k % 3 == 0 else vectors[k // 2], 1) for k in range(600)]
+    got, want = both("knn_cosine", embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+    assert got == want and len(want) == 60
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    q = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "q")
+    small = retrieval.knn(q, v, 7, "q", "vec_id", block=16)
+    assert "NestedLoopJoin" not in small._jdf.queryExecution().toString() and "Cartesian" not in small._jdf.queryExecution().toString()
+    plain = lambda df: sorted((r["q"], r["vec_id"], round(r["score"], 6), r["rank"]) for r in df.collect())
+    assert plain(small) == plain(retrieval.knn(q, v, 7, "q", "vec_id"))
