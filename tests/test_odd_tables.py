@@ -143,3 +143,8 @@ def test_nearest_with_copies_and_many_blocks(both, spark):
     assert "NestedLoopJoin" not in small._jdf.queryExecution().toString() and "Cartesian" not in small._jdf.queryExecution().toString()
     plain = lambda df: sorted((r["q"], r["vec_id"], round(r["score"], 6), r["rank"]) for r in df.collect())
     assert plain(small) == plain(retrieval.knn(q, v, 7, "q", "vec_id"))
+
+
+def test_best_counterpart_with_copies(both):
+    got, want = both("best_counterpart_jaccard", documents=documents(*families()))
+    assert got == want and len(want) >= 15
