@@ -148,3 +148,24 @@ def test_nearest_with_copies_and_many_blocks(both, spark):
 def test_best_counterpart_with_copies(both):
     got, want = both("best_counterpart_jaccard", documents=documents(*families()))
     assert got == want and len(want) >= 15
+
+
+@pytest.mark.parametrize("sent", [10**6, 3])
+def test_overlap_by_tasks_and_by_joins(spark, monkeypatch, sent):
+    monkeypatch.setattr(retrieval, "SENT_TERMS", sent)
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcÄ.  ") for _ in range(rnd.randint(1, 5)))
+    docs = [(i, " ".join(word() for _ in range(rnd.randint(0, 9)))) for i in range(90)] + [(90, None), (91, ""), (92, "x" * 3000 + "abc")]
+    asked = [(q, [t for _ in range(4) if (t := word()).strip()]) for q in range(15)] + [(15, ["", "abc", "abc"]), (16, None)]
+    d, q = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(asked, "query_id int, terms array<string>")
+    out = retrieval.keyword_overlap(q, d, F.col("text"))
+    want = {(k, i): sum(t != "" and t.lower() in x.lower() for t in ts) for k, ts in asked if ts for i, x in docs if x}
+    assert {(r["query_id"], r["doc_id"]): r["score"] for r in out.collect()} == {k: n for k, n in want.items() if n}
+    assert ("Exchange" in out._jdf.queryExecution().toString()) == (sent == 3)
+
+
+def test_keyword_overlap_with_ids_that_repeat(both):
+    rows, schema = documents(*[f"alpha beta gamma{k % 7} in Delta" * (k % 3) for k in range(60)])
+    items = [(k, f"alpha gamma{k} delta beta{k} ta in") for k in range(6)]
+    got, want = both("keyword_overlap_rank", documents=([*rows, *rows[:5]], schema), benchmark=(items, "item_id long, text string"))
+    assert got == want and len(want) == 30
